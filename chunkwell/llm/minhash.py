@@ -8,9 +8,10 @@ defaults, a pair has more than 31 of 64 differing symbols about once in 100,000
 
 Pairs that meet are confirmed on their full shingle sets.  No group is ever expanded into pairs:
 documents with equal sets are one node; every node is first compared with the smallest node of the
-key it shares most; then only keys whose nodes still lie in different components are compared
-within, in cells of bounded size, and only pairs across components.  A pair that is skipped lies
-within one component already, so the components are those of all links.
+key it shares most; then, under keys whose nodes still lie in different components, twice with its
+nearest node of another component; then all remaining pairs across components are compared there, in
+cells of bounded size.  A pair that is skipped lies within one component already, so the components
+are those of all links.
 
 Defined results: text null, empty or blank has no shingles and is linked with nothing; rows with
 equal text share a component; a null doc_id has a null component and is kept; rows that share a
@@ -42,9 +43,11 @@ from chunkwell.llm.components import connected_components
 
 WORDS, SIMILARITY = 5, 75
 SYMBOLS, CHUNKS, ERRORS = 64, 16, 1
+#: Further one-byte minima only reject: at the similarity sought, 96 of all 256 minima differ about twice in a million.
+EXTRA, MOST_DIFFER = 192, 96
 CELL = 2048
 FILTER_BITS = 1 << 24
-_SEEDS = mix64(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix64(np.arange(1, 2 * (SYMBOLS + EXTRA) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingle_sets(words: Words, size: int = WORDS) -> list[np.ndarray]:
@@ -62,14 +65,18 @@ def shingle_sets(words: Words, size: int = WORDS) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Minima of `SYMBOLS` hash functions, 16 bits of each, of the sets that are not empty."""
+    """A row for each set, none empty: 16 bits of `SYMBOLS` minima, then 8 bits of `EXTRA` minima."""
     length = np.array([len(s) for s in sets])
     flat, first = np.concatenate(sets), np.concatenate(([0], np.cumsum(length)[:-1]))
-    out = np.empty((len(sets), SYMBOLS), dtype=np.uint16)
-    for k in range(SYMBOLS):
-        least = np.minimum.reduceat((flat ^ _SEEDS[2 * k]) * (_SEEDS[2 * k + 1] | np.uint64(1)), first)
-        out[:, k] = (mix64(least) & np.uint64(0xFFFF)).astype(np.uint16)
-    return out
+    main = np.empty((len(sets), SYMBOLS), dtype=np.uint16)
+    extra = np.empty((len(sets), EXTRA), dtype=np.uint8)
+    for k in range(SYMBOLS + EXTRA):
+        least = mix64(np.minimum.reduceat((flat ^ _SEEDS[2 * k]) * (_SEEDS[2 * k + 1] | np.uint64(1)), first))
+        if k < SYMBOLS:
+            main[:, k] = (least & np.uint64(0xFFFF)).astype(np.uint16)
+        else:
+            extra[:, k - SYMBOLS] = (least & np.uint64(0xFF)).astype(np.uint8)
+    return np.concatenate([main.view(np.uint8).reshape(len(sets), -1), extra], axis=1)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +110,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 4096):
             batch = whole.slice(at, 4096)
-            sign = _matrix(batch.column("signature")).astype(np.uint64)
+            sign = _matrix(batch.column("signature"))[0].astype(np.uint64)
             keys = np.empty((len(sign), len(masks)), dtype=np.uint64)
             for tag, symbols in masks:
                 key = np.full(len(sign), tag, dtype=np.uint64)
@@ -114,56 +121,85 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), SYMBOLS)
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 16-bit and the 8-bit minima of signatures."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), 2 * SYMBOLS + EXTRA)
+    return np.ascontiguousarray(rows[:, : 2 * SYMBOLS]).view(np.uint16), rows[:, 2 * SYMBOLS :]
+
+
+def _alike(main: tuple[np.ndarray, np.ndarray], extra: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows within the radius that the keys guarantee and not rejected by the further minima; all distances."""
+    differ = (main[0] != main[1]).sum(axis=1)
+    near = differ < CHUNKS * (ERRORS + 1)
+    at = np.flatnonzero(near)
+    differ[at] += (extra[0][at] != extra[1][at]).sum(axis=1)
+    near[at] = differ[at] <= MOST_DIFFER
+    return near, differ
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures differ in no more symbols than the keys guarantee to find."""
+    """Pairs of alike signatures."""
     for batch in batches:
         for at in range(0, batch.num_rows, 8192):
             part = batch.slice(at, 8192)
-            differ = (_matrix(part.column("sign_a")) != _matrix(part.column("sign_b"))).sum(axis=1)
-            yield part.filter(pa.array(differ < CHUNKS * (ERRORS + 1))).select(["a", "b"])
+            near, _ = _alike(*zip(_matrix(part.column("sign_a")), _matrix(part.column("sign_b")), strict=True))
+            yield part.filter(pa.array(near)).select(["a", "b"])
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Close pairs across components within each cell; rows of a cell stand together."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        key = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "cell_a", "cell_b")], axis=1)
-        if not len(key):
-            continue
-        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)]
-        for i, j in zip(edges[:-1], edges[1:], strict=True):
-            part = batch.slice(i, j - i)
-            if held and any(held[-1].column(n)[0] != part.column(n)[0] for n in ("key", "cell_a", "cell_b")):
-                yield _cell(held)
-                held = []
-            held.append(part)
-    if held:
-        yield _cell(held)
-
-
-def _cell(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _first_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first tag under which two signatures meet, so that a pair is handled once; past the last if none."""
+    out = np.full(len(left), 1 << 15)
+    for tag, symbols in reversed(_masks()):
+        out[(left[:, symbols] == right[:, symbols]).all(axis=1)] = tag
+    return out
+
+
+def _within(nearest: bool):  # noqa: ANN202
+    """Alike pairs across components within each cell, or each row's nearest one; rows of a cell stand together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "cell_a", "cell_b")], axis=1)
+            if not len(key):
+                continue
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(i, j - i)
+                if held and any(held[-1].column(n)[0] != part.column(n)[0] for n in ("key", "cell_a", "cell_b")):
+                    yield _cell(held, nearest)
+                    held = []
+                held.append(part)
+        if held:
+            yield _cell(held, nearest)
+
+    return run
+
+
+def _cell(held: list[pa.RecordBatch], nearest: bool) -> pa.RecordBatch:
     part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     node, label, block = (part.column(n).to_numpy(zero_copy_only=False) for n in ("node", "label", "block"))
-    sign, (a, b) = _matrix(part.column("signature")), (part.column(n)[0].as_py() for n in ("cell_a", "cell_b"))
+    key, a, b = (part.column(n)[0].as_py() for n in ("key", "cell_a", "cell_b"))
+    main, extra = _matrix(part.column("signature"))
     left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(left), 64):
-        i = left[at : at + 64]
+    found = [np.zeros((0, 2), np.int64)]
+    for at in range(0, len(left), 32):
+        i = left[at : at + 32]
         across = label[i][:, None] != label[right][None, :]
-        if a == b:
+        if a == b and not nearest:
             across &= node[i][:, None] < node[right][None, :]
         x, y = np.nonzero(across)
-        for cut in range(0, len(x), 1 << 16):
-            p, q = i[x[cut : cut + (1 << 16)]], right[y[cut : cut + (1 << 16)]]
-            near = (sign[p] != sign[q]).sum(axis=1) < CHUNKS * (ERRORS + 1)
-            found.append((node[p[near]], node[q[near]]))
-    x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-    y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
+        p, q = i[x], right[y]
+        near, differ = _alike((main[p], main[q]), (extra[p], extra[q]))
+        p, q, differ = p[near], q[near], differ[near]
+        if nearest:
+            order = np.lexsort((node[q], differ, p))
+            pick = order[np.unique(p[order], return_index=True)[1]]
+        else:
+            pick = np.flatnonzero(_first_key(main[p], main[q]) == key >> 16 * (SYMBOLS // CHUNKS - ERRORS))
+        found.append(np.stack([node[p[pick]], node[q[pick]]], axis=1))
+    pairs = np.sort(np.concatenate(found), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def _bitset(ids: DataFrame) -> np.ndarray:
@@ -201,6 +237,22 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= union * SIMILARITY).select("a", "b").distinct()
 
 
+def _apart(shared: DataFrame, labels: DataFrame, signs: DataFrame, nearest: bool) -> DataFrame:
+    """Alike pairs across components under keys whose nodes are not yet in one component."""
+    named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = materialise(named, "labelled")
+    apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    members = named.join(materialise(apart, "apart"), "key", "left_semi").join(signs, "node")
+    members = members.withColumn("cells", F.ceil(F.col("n") / CELL).cast("int"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    members = members.select(
+        "key", F.least("block", "other").alias("cell_a"), F.greatest("block", "other").alias("cell_b"), "block", "node", "label", "signature"
+    )
+    dealt = members.repartition("key", "cell_a", "cell_b").sortWithinPartitions("key", "cell_a", "cell_b")
+    return dealt.mapInArrow(_within(nearest), "a long, b long").distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_shingles, component_id, kept; a row per input row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -221,20 +273,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = materialise(confirm(docs, pairs), "confirmed")
     labels = connected_components(links)
 
-    shared = materialise(shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    apart = shared.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    apart = materialise(apart, "apart")
-    members = shared.join(apart, "key", "left_semi").join(signs, "node")
-    cells = F.ceil(F.col("n") / CELL).cast("int")
-    members = members.withColumn("cells", cells).withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    members = members.select("key", F.least("block", "other").alias("cell_a"), F.greatest("block", "other").alias("cell_b"), "block", "node", "label", "signature")
-    dealt = members.repartition("key", "cell_a", "cell_b").sortWithinPartitions("key", "cell_a", "cell_b")
-    more = materialise(dealt.mapInArrow(_within, "a long, b long").distinct(), "pairs")
-    if not is_empty(more):
-        again = materialise(confirm(docs, more), "confirmed")
+    tested = pairs
+    for nearest in (True, True, False):
+        found = materialise(_apart(shared, labels, signs, nearest).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if is_empty(found):
+            continue
+        tested = tested.union(found)
+        again = materialise(confirm(docs, found), "confirmed")
         if not is_empty(again):
-            labels = connected_components(links.union(again))
+            links = links.union(again)
+            labels = connected_components(links)
 
     named = nodes.select("set_id", "node").join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("component"))
     out = spread_join(rows.select("doc_id", "n_shingles", "set_id"), named, "set_id", F.xxhash64("doc_id"))
