@@ -204,3 +204,21 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     stops = np.cumsum(length)
     return np.arange(total) + np.repeat(np.asarray(start, dtype=np.int64) - (stops - length), length)
+
+
+# ---------------------------------------------------------------- binary files
+
+
+def write_blobs(rows: DataFrame, path: str, end: int = 0x0A) -> None:
+    """Write binary column `value` as raw bytes, a file a partition, each row followed by the byte `end`.
+
+    Spark's own committer writes the files, so any store that Spark can write will do and a lost or
+    repeated task leaves no trace.  Formats written so must give that byte a place after each row.
+    """
+    writer = rows.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", chr(end))
+    writer.text(path)
+
+
+def read_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """The files below `path`: path string, content binary."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
