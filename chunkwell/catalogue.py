@@ -1,14 +1,541 @@
-"""Queries over the driver's tables and their SQL equivalents."""
+"""Queries over the driver's tables and their SQL equivalents.
+
+The tables hold no source files, so files, Markdown, digests, answers and chunks are derived from
+them by the same expressions on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chunkwell.functions import text as T
+from chunkwell.operators import chat, chunking, retrieval
+from chunkwell.plans import prompt as prompts
+from chunkwell.plans.engine import ExtractiveGenerator, safe_answer
+from chunkwell.sources import files as sources
+from chunkwell.sources.store import merged, with_ids
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+EXTENSIONS = [".md", ".txt", ".PY", ".js", "", ".tar.gz", ".html", ".json"]
+QUESTION_TOP = 6
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- derived tables
+
+
+def _path() -> Column:
+    extension = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return F.concat(F.lit("src/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), extension)
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("source").alias("repo_name"), _path().alias("file_path"), T.file_type(_path()).alias("file_type"), F.col("text").alias("content"))
+
+
+_EXT_SQL = "CASE doc_id % 8 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.PY' WHEN 3 THEN '.js' WHEN 4 THEN '' WHEN 5 THEN '.tar.gz' WHEN 6 THEN '.html' ELSE '.json' END"
+_PATH_SQL = f"'src/' || lang || '/' || doc_id || {_EXT_SQL}"
+_TYPE_SQL = "CASE doc_id % 8 WHEN 0 THEN 'md' WHEN 1 THEN 'txt' WHEN 2 THEN 'py' WHEN 3 THEN 'js' WHEN 4 THEN 'unknown' WHEN 5 THEN 'gz' WHEN 6 THEN 'html' ELSE 'json' END"
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_RAW_SQL = f"raw AS (SELECT source AS repo_name, {_PATH_SQL} AS file_path, {_TYPE_SQL} AS file_type, text AS content FROM documents)"
+
+
+def _windows_sql(source: str, keys: str, text: str) -> str:
+    """Windows of a table: keys, content, start_line, end_line, seq."""
+    lines = lambda x: f"CAST(1 + length({x}) - length(replace({x}, chr(10), '')) AS INTEGER)"
+    part = f"substring({text}, o + 1, 1500)"
+    return f"""
+        SELECT {keys}, {_STRIP.format(part)} AS content, {lines(f"substring({text}, 1, o)")} AS start_line,
+            {lines(f"substring({text}, 1, least(o + 1500, length({text})) - 1)")} AS end_line, CAST(o // 1300 AS INTEGER) AS seq
+        FROM (SELECT *, unnest(range(0, length({text}), 1300)) AS o FROM {source}) WHERE {_STRIP.format(part)} <> ''"""
+
+
+_GENERIC_SQL = f"{_RAW_SQL}, chunks AS ({_windows_sql('raw', 'repo_name, file_path, file_type', 'content')})"
+_COLUMNS = "repo_name, file_path, start_line, end_line, chunk_type, language, content, seq"
+
+
+def _brief(chunks: DataFrame) -> DataFrame:
+    return chunks.select(*_COLUMNS.split(", "))
+
+
+# ---------------------------------------------------------------- chunking
+
+
+@query(f"WITH {_GENERIC_SQL} SELECT repo_name, file_path, start_line, end_line, 'text_block' AS chunk_type, file_type AS language, content, seq FROM chunks")
+def generic_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _brief(chunking.generic_chunks(raw_files(spark, sf_dir)))
+
+
+_PAGE_WINDOWS = f"w AS ({_windows_sql('pages', 'page_id', 'html')})"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages")
+    return rows.select(F.lit("web").alias("repo_name"), F.col("page_id").cast("string").alias("file_path"), F.lit("html").alias("file_type"), F.col("html").alias("content"))
+
+
+@query(
+    f"""WITH {_PAGE_WINDOWS}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id, start_line, end_line ORDER BY seq) AS n FROM w)
+    SELECT 'web' AS repo_name, CAST(page_id AS VARCHAR) AS file_path, start_line, end_line, 'top_level_code' AS chunk_type, 'html' AS language, content, seq FROM r WHERE n = 1"""
+)
+def html_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _brief(chunking.markup_chunks(_pages(spark, sf_dir)))
+
+
+@query(f"WITH {_PAGE_WINDOWS} SELECT CAST(page_id AS VARCHAR) AS file_path, count(*) AS windows, count(DISTINCT (start_line, end_line)) AS spans FROM w GROUP BY page_id")
+def html_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.markup_chunks(_pages(spark, sf_dir), dedup=False)
+    return rows.groupBy("file_path").agg(F.count("*").alias("windows"), F.countDistinct("start_line", "end_line").alias("spans"))
+
+
+@query(f"WITH {_RAW_SQL} SELECT file_path, file_type FROM raw")
+def file_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_files(spark, sf_dir).select("file_path", "file_type")
+
+
+@query(
+    f"""WITH {_RAW_SQL}, d AS (SELECT CASE file_type WHEN 'md' THEN 'markdown' WHEN 'py' THEN 'python' WHEN 'js' THEN 'code' WHEN 'html' THEN 'markup' ELSE 'generic' END AS strategy,
+        CASE file_type WHEN 'js' THEN 'javascript' WHEN 'html' THEN 'html' END AS grammar FROM raw) SELECT strategy, grammar, count(*) AS files FROM d GROUP BY ALL"""
+)
+def dispatch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.dispatch(raw_files(spark, sf_dir)).groupBy("strategy", "grammar").agg(F.count("*").alias("files"))
+
+
+_BAR = "=" * 48
+
+
+@query(
+    f"""WITH {_RAW_SQL}, f AS (SELECT repo_name, file_path, content FROM raw UNION ALL SELECT repo_name, file_path || '.bak', content FROM raw)
+    SELECT repo_name, file_path, CASE WHEN ends_with(file_path, '.bak') THEN 'bak' ELSE (SELECT any_value(file_type) FROM raw r WHERE r.file_path = f.file_path) END AS file_type,
+        {_STRIP.format('content')} AS content FROM f WHERE {_STRIP.format('content')} <> ''"""
+)
+def digest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw_files(spark, sf_dir)
+    part = lambda path: F.concat(F.lit(f"\n{_BAR}\nFILE: "), path, F.lit(f"\n{_BAR}\n"), F.col("content"), F.lit("\n"))
+    empty = F.lit(f"\n{_BAR}\nFILE: empty.txt\n{_BAR}\n\n")
+    digest = F.concat(F.lit("before"), part(F.col("file_path")), empty, part(F.concat("file_path", F.lit(".bak"))))
+    return sources.split_digest(rows.select("repo_name", digest.alias("digest")))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS raw FROM documents),
+    m AS (SELECT doc_id, pos, CASE WHEN pos % 11 = 0 THEN '```' WHEN pos % 5 = 0 THEN repeat('#', CAST(1 + pos % 3 AS INTEGER)) || ' ' || raw ELSE raw END AS line FROM l),
+    f AS (SELECT *, starts_with({_STRIP.format('line')}, '```') AS fence FROM m),
+    s AS (SELECT *, sum(CAST(fence AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS fences FROM f),
+    h AS (SELECT *, NOT fence AND fences % 2 = 0 AND regexp_matches(line, '^#+\\s') AS heading FROM s),
+    g AS (SELECT *, sum(CAST(heading AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM h),
+    p AS (SELECT doc_id, sec, min(pos) AS a, max(pos) AS b, {_STRIP.format("string_agg(line, chr(10) ORDER BY pos)")} AS content,
+        max(CASE WHEN heading THEN length(regexp_extract(line, '^(#+)\\s', 1)) END) AS level,
+        max(CASE WHEN heading THEN {_STRIP.format("regexp_extract(line, '^#+\\s(.*)', 1)")} END) AS title FROM g GROUP BY doc_id, sec),
+    n AS (SELECT x.doc_id, x.sec, x.level, x.title, (SELECT min(y.sec) FROM p y WHERE y.doc_id = x.doc_id AND y.sec > x.sec AND y.level <= x.level) AS nxt FROM p x WHERE x.level IS NOT NULL),
+    t AS (SELECT i.doc_id, i.sec, string_agg(j.title, '/' ORDER BY j.sec) AS section, list(j.title ORDER BY j.sec) AS names
+        FROM p i JOIN n j ON j.doc_id = i.doc_id AND j.sec <= i.sec AND (j.nxt IS NULL OR i.sec < j.nxt) WHERE i.level IS NOT NULL GROUP BY i.doc_id, i.sec)
+    SELECT CAST(p.doc_id AS VARCHAR) AS file_path, CAST(a + 1 AS INTEGER) AS start_line, CAST(b + 1 AS INTEGER) AS end_line, names[-1] AS name, names[-2] AS parent_name, section, content
+    FROM p LEFT JOIN t USING (doc_id, sec) WHERE content <> ''"""
+)
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+
+    def line(x: Column, i: Column) -> Column:
+        headed = F.concat(F.substring(F.lit("###"), F.lit(1), (1 + i % 3).cast("int")), F.lit(" "), x)
+        return F.when(i % 11 == 0, F.lit("```")).when(i % 5 == 0, headed).otherwise(x)
+
+    text = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    rows = docs.select(F.col("source").alias("repo_name"), F.col("doc_id").cast("string").alias("file_path"), text.alias("content"))
+    return chunking.markdown_sections(rows).select("file_path", "start_line", "end_line", "name", "parent_name", "section", "content")
+
+
+@query(
+    f"""WITH {_GENERIC_SQL}, i AS (SELECT *, translate(repo_name, '/.', '__') || '_' || translate(file_path, '/.', '__') || '_' || start_line || '_' || end_line AS k FROM chunks),
+    n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY file_path, seq, content) AS n FROM i)
+    SELECT CASE WHEN n = 1 THEN k ELSE k || '_' || n END AS id, file_path, start_line, end_line, seq FROM n"""
+)
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_ids(chunking.generic_chunks(raw_files(spark, sf_dir))).select("id", "file_path", "start_line", "end_line", "seq")
+
+
+@query(
+    f"""WITH {_GENERIC_SQL} SELECT translate(repo_name, '/.', '__') || '_' || translate(file_path, '/.', '__') || '_' || start_line || '_' || end_line AS id, count(*) AS n
+    FROM chunks GROUP BY 1 HAVING count(*) > 1"""
+)
+def chunk_id_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.generic_chunks(raw_files(spark, sf_dir))
+    return rows.groupBy(T.chunk_id("repo_name", "file_path", "start_line", "end_line").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(
+    r"""WITH n AS (SELECT c_name AS name FROM customer UNION ALL SELECT url FROM pages)
+    SELECT name, substring(regexp_replace(lower(regexp_replace(name, '[^a-zA-Z0-9_.-]', '_', 'g')), '^[_.]+|[_.]+$', '', 'g'), 1, 63) AS collection FROM n"""
+)
+def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).union(table(spark, sf_dir, "pages").select("url"))
+    return names.select("name", T.collection_name("name").alias("collection"))
+
+
+@query(
+    r"""SELECT url, replace(replace(regexp_replace(regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?|[?#].*$', '', 'g'), '^/+', ''), '.git', ''), '/', '--') AS repo_name FROM pages"""
+)
+def repo_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("url", T.repository_name("url").alias("repo_name"))
+
+
+@query(
+    f"""WITH {_GENERIC_SQL}, k AS (SELECT file_path, start_line, end_line, seq, file_type, CASE file_type WHEN 'html' THEN 'top_level_code' ELSE 'text_block' END AS chunk_type FROM chunks),
+    d AS (SELECT *, row_number() OVER (PARTITION BY file_path, start_line, end_line ORDER BY seq) AS n FROM k)
+    SELECT chunk_type, count(*) AS chunks FROM d WHERE file_type <> 'html' OR n = 1 GROUP BY 1"""
+)
+def chunk_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw_files(spark, sf_dir)
+    both = chunking.generic_chunks(rows.where("file_type <> 'html'")).unionByName(chunking.markup_chunks(rows.where("file_type = 'html'")))
+    return both.groupBy("chunk_type").agg(F.count("*").alias("chunks"))
+
+
+@query(f"WITH {_GENERIC_SQL} SELECT file_path, count(*) AS chunks FROM chunks GROUP BY 1")
+def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.generic_chunks(raw_files(spark, sf_dir)).groupBy("file_path").agg(F.count("*").alias("chunks"))
+
+
+@query(f"WITH {_GENERIC_SQL} SELECT count(DISTINCT (repo_name, file_path)) AS files, count(*) AS chunks, count(DISTINCT (repo_name, file_path, start_line, end_line)) AS spans FROM chunks")
+def chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.generic_chunks(raw_files(spark, sf_dir))
+    return rows.agg(
+        F.countDistinct("repo_name", "file_path").alias("files"), F.count("*").alias("chunks"), F.countDistinct("repo_name", "file_path", "start_line", "end_line").alias("spans")
+    )
+
+
+@query(
+    f"""WITH {_GENERIC_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY file_path, seq) AS n FROM chunks)
+    SELECT repo_name, file_path, seq, substring(content, 1, 200) AS preview FROM r WHERE n <= 5"""
+)
+def chunk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five chunks of each repository, shortened: a report of five rows is the feature."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("repo_name").orderBy("file_path", "seq"))
+    rows = chunking.generic_chunks(raw_files(spark, sf_dir)).withColumn("n", n).where("n <= 5")
+    return rows.select("repo_name", "file_path", "seq", F.substring("content", 1, 200).alias("preview"))
+
+
+_SPAN_SQL = "CAST(1 + doc_id % 3 AS INTEGER) AS s, CAST(1 + doc_id % 3 + doc_id % 2 AS INTEGER) AS e"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, source AS repo_name, {_PATH_SQL} AS file_path, {_SPAN_SQL}, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+    f AS (SELECT repo_name, file_path, n, n - row_number() OVER (PARTITION BY repo_name, file_path ORDER BY n) AS g FROM l WHERE NOT n BETWEEN s AND e)
+    SELECT repo_name, file_path, CAST(min(n) AS INTEGER) AS first_line, CAST(max(n) AS INTEGER) AS last_line FROM f GROUP BY repo_name, file_path, g"""
+)
+def uncovered_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    start = (1 + F.col("doc_id") % 3).cast("int")
+    spans = docs.select(F.col("source").alias("repo_name"), _path().alias("file_path"), start.alias("start_line"), (start + F.col("doc_id") % 2).cast("int").alias("end_line"))
+    return chunking.uncovered_runs(raw_files(spark, sf_dir), spans)
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+_DISTANCE = "list_sum(list_transform(list_zip({}, {}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
+
+
+@query(
+    f"""WITH q AS (SELECT embedding AS p FROM embeddings ORDER BY vec_id LIMIT 1), d AS (SELECT vec_id, {_DISTANCE.format('embedding', 'p')} AS distance FROM embeddings, q)
+    SELECT CAST(row_number() OVER (ORDER BY distance, vec_id) AS INTEGER) AS "rank", vec_id, distance FROM d ORDER BY distance, vec_id LIMIT 3"""
+)
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    point = rows.orderBy("vec_id").limit(1).collect()[0]["embedding"]
+    return retrieval.nearest(rows, point, 3).select("rank", "vec_id", "distance")
+
+
+_BATCH_SQL = f"""q AS (SELECT vec_id AS query_no, embedding AS p FROM embeddings WHERE vec_id % 50 = 0),
+    d AS (SELECT query_no, vec_id, label, {_DISTANCE.format('embedding', 'p')} AS distance FROM embeddings, q),
+    h AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY distance, vec_id) AS r FROM d QUALIFY r <= 3)"""
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return retrieval.nearest_to_each(rows, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_no"), F.col("embedding").alias("point")), 3)
+
+
+@query(f'WITH {_BATCH_SQL} SELECT query_no, CAST(r AS INTEGER) AS "rank", vec_id, distance FROM h')
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batch(spark, sf_dir).select("query_no", "rank", "vec_id", "distance")
+
+
+@query(
+    f"""WITH {_BATCH_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY query_no, r) AS n FROM h)
+    SELECT CAST(row_number() OVER (ORDER BY query_no, r) AS INTEGER) AS place, query_no, CAST(r AS INTEGER) AS "rank", vec_id, label FROM k WHERE n = 1"""
+)
+def two_pass_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.first_wins(_batch(spark, sf_dir), ["label"]).select("place", "query_no", "rank", "vec_id", "label")
+
+
+@query(f'WITH {_BATCH_SQL} SELECT query_no, CAST(r AS INTEGER) AS "rank", vec_id FROM h')
+def context_expand_noop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.expand_context(_batch(spark, sf_dir), 2).select("query_no", "rank", "vec_id")
+
+
+def _embed_sql(name: str, source: str, key: str) -> str:
+    bucket = "('0x' || substr(md5(w), 1, 8))::BIGINT % 256"
+    words = rf"SELECT {key}, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS w FROM {source}"
+    return f"{name} AS (SELECT {key}, {bucket} AS b, count(*) AS w FROM ({words}) WHERE w <> '' GROUP BY ALL)"
+
+
+_SEARCH_SQL = f"""{_embed_sql('de', 'documents', 'doc_id')}, {_embed_sql('qe', '(SELECT * FROM benchmark WHERE item_id % 50 = 0)', 'item_id')},
+    dn AS (SELECT doc_id, sum(w * w) AS a FROM de GROUP BY 1), qn AS (SELECT item_id, sum(w * w) AS b FROM qe GROUP BY 1),
+    dots AS (SELECT item_id, doc_id, sum(de.w * qe.w) AS dot FROM de JOIN qe USING (b) GROUP BY ALL),
+    sc AS (SELECT item_id, doc_id, dot::DOUBLE / (sqrt(a::DOUBLE) * sqrt(b::DOUBLE)) AS score FROM dots JOIN dn USING (doc_id) JOIN qn USING (item_id)),
+    hits AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM sc QUALIFY r <= {QUESTION_TOP})"""
+
+
+def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = retrieval.HashedEmbedder()
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0")
+    return retrieval.sparse_top_k(model.embed(table(spark, sf_dir, "documents"), ["doc_id"], "text"), "doc_id", model.embed(asked, ["item_id"], "text"), "item_id", QUESTION_TOP)
+
+
+@query(f'WITH {_SEARCH_SQL} SELECT item_id, CAST(r AS INTEGER) AS "rank", doc_id, score FROM hits')
+def text_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir).select("item_id", "rank", "doc_id", "score")
+
+
+# ---------------------------------------------------------------- prompts
+
+
+@query("SELECT doc_id, CAST(length(text) // 4 AS INTEGER) AS tokens FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate("text").alias("tokens"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, CAST(length(text) // 4 AS INTEGER) AS tokens FROM conversations),
+    s AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS c FROM t) SELECT conv_id, turn, tokens FROM s WHERE 10 + c < 400"""
+)
+def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.token_estimate("text").alias("tokens"))
+    return prompts.within_budget(rows, 10, 400, order="turn", key=["conv_id"])
+
+
+def _quote(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_HITS_SQL = f"""{_SEARCH_SQL}, one AS (SELECT CAST(r AS INTEGER) AS place, 'src/' || doc_id AS file_path, lang AS language, text AS content FROM hits JOIN documents USING (doc_id) WHERE item_id = 0),
+    ct AS (SELECT place, chr(10) || '<DOC_START>' || chr(10) || 'File: ' || file_path || chr(10) || 'Language: ' || language || chr(10) || 'Type: text_block  (Parent: )' || chr(10) ||
+        'Lines: 1-' || (1 + length(content) - length(replace(content, chr(10), ''))) || chr(10) || chr(10) || content || chr(10) || '<DOC_END>' || chr(10) AS t FROM one)"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = _search(spark, sf_dir).where("item_id = 0").select(F.col("rank").alias("place"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rows = best.join(docs, "doc_id")
+    return rows.select(
+        "place", F.lit("documents").alias("repo_name"), F.concat(F.lit("src/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("lang").alias("language"),
+        F.lit("text_block").alias("chunk_type"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("parent_name"),
+        F.lit(1).alias("start_line"), (1 + T.newlines(F.col("text"))).alias("end_line"), F.col("text").alias("content"),
+    )
+
+
+def _prompt_sql(system: str, head: str, context: str, ending: str, history: str, counted: bool) -> str:
+    q = "What is in this collection?"
+    base = len(system) // 4 + len(f"{head}{q}\n\n{context}") // 4 + (len(history) // 4 if counted else 0)
+    first, last = f"{system}\n\n---\n{history}{head}{q}\n\n{context}\n", f"\n\n---\n{ending}\n"
+    return f"""WITH {_HITS_SQL}, s AS (SELECT *, sum(length(t) // 4) OVER (ORDER BY place) AS c FROM ct), k AS (SELECT * FROM s WHERE {base} + c < 4000)
+        SELECT {_STRIP.format(_quote(first) + " || coalesce(string_agg(t, chr(10) || chr(10) ORDER BY place), '') || " + _quote(last))} AS prompt, CAST(count(*) AS INTEGER) AS chunks FROM k"""
+
+
+_ANSWER = "Based on the provided context and your instructions, please answer the user's query."
+_SPLIT = "Based on the above, generate sub-questions as a JSON object."
+_PAST = "Conversation History:\nUser (Turn 1): hello\nAssistant (Turn 1): ask away\n\n"
+
+
+def _past() -> Column:
+    return prompts.history_text(F.array(F.struct(F.lit("hello").alias("query"), F.lit("ask away").alias("response"))))
+
+
+@query(_prompt_sql(prompts.SYSTEM, "User Query: ", "Relevant Code Context:", _ANSWER, "", False))
+def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.rag_prompt(_hits(spark, sf_dir), "What is in this collection?", limit=4000)
+
+
+@query(_prompt_sql(prompts.SUBQUESTION_SYSTEM, "Original User Query: ", "Initial Code Context:", _SPLIT, _PAST, True))
+def subquestion_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.subquestion_prompt(_hits(spark, sf_dir), "What is in this collection?", _past(), limit=4000)
+
+
+def _answers() -> Column:
+    a = 1 + F.col("doc_id") % 50
+    one = F.concat(F.lit(" [FILE: src/"), F.col("doc_id").cast("string"), F.lit(".py, LINES: "), a.cast("string"), F.lit("-"), (a + F.col("doc_id") % 7).cast("string"), F.lit("]"))
+    return F.concat("text", one, one)
+
+
+@query("SELECT doc_id, 'src/' || doc_id || '.py' AS file_path, CAST(1 + doc_id % 50 AS INTEGER) AS start_line, CAST(1 + doc_id % 50 + doc_id % 7 AS INTEGER) AS end_line FROM documents")
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.citations(_answers())).alias("c"))
+    return rows.select("doc_id", "c.file_path", "c.start_line", "c.end_line")
+
+
+@query("SELECT doc_id, doc_id % 9 = 0 AS not_found FROM documents")
+def not_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = F.when(F.col("doc_id") % 9 == 0, F.lit(prompts.NOT_FOUND)).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", prompts.is_not_found(answer).alias("not_found"))
+
+
+# ---------------------------------------------------------------- chat
+
+_TURNS_SQL = """m AS (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS turn, text AS query, t2 AS response FROM m WHERE role = 'user' AND r2 = 'assistant')"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.turns_of(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    f"""WITH {_TURNS_SQL} SELECT conv_id, 'Conversation History:' || chr(10) || string_agg('User (Turn ' || turn || '): ' || query || chr(10) || 'Assistant (Turn ' || turn || '): ' || response, chr(10) ORDER BY turn)
+    || chr(10) || chr(10) AS history FROM t GROUP BY conv_id"""
+)
+def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.history(_turns(spark, sf_dir), "conv_id").select("conv_id", prompts.history_text(F.col("turns")).alias("history"))
+
+
+@query(
+    f"""WITH {_TURNS_SQL}, n AS (SELECT conv_id, 'again' AS query, 'of course' AS response FROM conversations GROUP BY conv_id)
+    SELECT conv_id, turn, query, response FROM t UNION ALL SELECT n.conv_id, CAST(coalesce(l.last, 0) + 1 AS INTEGER), n.query, n.response FROM n LEFT JOIN (SELECT conv_id, max(turn) AS last FROM t GROUP BY 1) l USING (conv_id)"""
+)
+def chat_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    rows = new.select("conv_id", F.lit(1).alias("at"), F.lit("again").alias("query"), F.lit("of course").alias("response"))
+    return chat.add_messages(_turns(spark, sf_dir), rows, "conv_id")
+
+
+@query(f"WITH {_TURNS_SQL} SELECT conv_id, turn, query, response FROM t WHERE conv_id % 5 <> 0")
+def chat_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _turns(spark, sf_dir)
+    return chat.clear(turns, turns.where("conv_id % 5 = 0"), "conv_id").select("conv_id", "turn", "query", "response")
+
+
+@query("SELECT DISTINCT conv_id FROM conversations")
+def chat_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"), "conv_id")
+
+
+# ---------------------------------------------------------------- collections
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), "text")
+    old = docs.where("doc_id % 2 = 0").select("id", F.col("text").alias("document"))
+    new = docs.where("doc_id % 3 = 0").select("id", F.concat(F.lit("new: "), F.col("text")).alias("document"))
+    return old, new
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'new: ' || text ELSE text END AS document FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0"""
+)
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merged(*_versions(spark, sf_dir))
+
+
+@query("SELECT DISTINCT lower(source) AS collection FROM documents")
+def list_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(T.collection_name("source").alias("collection")).distinct()
+
+
+@query("SELECT doc_id, lower(source) AS collection FROM documents WHERE lower(source) <> 'src1'")
+def delete_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.collection_name("source").alias("collection"))
+    return rows.where(F.col("collection") != T.collection_name(F.lit("SRC1")))
+
+
+@query("SELECT c_name AS repo_name, lower(c_name) IN (SELECT lower(source) FROM documents) AS found FROM customer UNION ALL SELECT upper(source), true FROM (SELECT DISTINCT source FROM documents)")
+def repo_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source").distinct()
+    asked = table(spark, sf_dir, "customer").select(F.col("c_name").alias("repo_name")).union(docs.select(F.upper("source")))
+    there = docs.select(T.collection_name("source").alias("_c")).distinct().withColumn("_there", F.lit(True))
+    joined = asked.join(there, T.collection_name("repo_name") == F.col("_c"), "left")
+    return joined.select("repo_name", F.coalesce("_there", F.lit(False)).alias("found"))
+
+
+# ---------------------------------------------------------------- definitions
+
+
+_PY = '''import os
+
+@wrap
+class Box{n}(object):
+    """{t}"""
+
+    def area(self):
+        def inner():
+            return {n}
+        return inner()
+
+    async def load(self):
+        return None
+
+
+def free_{n}(x):
+    return x
+'''
+_JS = "const a = {n};\nfunction run{n}(x) {{\n  return x;\n}}\nclass Box{n} {{\n  size() {{\n    return 1;\n  }}\n}}\nrun{n}(a);\n"
+
+
+def _code(spark: SparkSession, sf_dir: str, template: str, kind: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text: Column = F.lit(template.replace("{{", "{").replace("}}", "}"))
+    text = F.replace(text, F.lit("{n}"), F.col("doc_id").cast("string"))
+    text = F.replace(text, F.lit("{t}"), F.regexp_replace(F.col("text"), r'["\\]', ""))
+    path = F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit("." + kind))
+    return docs.select(F.col("source").alias("repo_name"), path.alias("file_path"), F.lit(kind).alias("file_type"), text.alias("content"))
+
+
+@query()
+def python_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.python_chunks(chunking.dispatch(_code(spark, sf_dir, _PY, "py")))
+
+
+@query()
+def code_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.code_chunks(chunking.dispatch(_code(spark, sf_dir, _JS, "js")))
+
+
+@query()
+def chunk_all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_files(raw_files(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One answer with its citations: chunk, embed, search, assemble, answer, cite."""
+    chunks = with_ids(chunking.chunk_files(raw_files(spark, sf_dir)))
+    model = retrieval.HashedEmbedder()
+    asked = spark.createDataFrame([(0, "What do the documents say?")], "query_no long, text string")
+    best = retrieval.sparse_top_k(model.embed(chunks, ["id"], "content"), "id", model.embed(asked, ["query_no"], "text"), "query_no", 3)
+    hits = retrieval.first_wins(best.join(chunks, "id"))
+    answer = safe_answer(ExtractiveGenerator(), prompts.rag_prompt(hits, "What do the documents say?").collect()[0]["prompt"])
+    return spark.range(1).select(F.lit("What do the documents say?").alias("query"), F.lit(answer).alias("answer"), T.citations(F.lit(answer)).alias("sources"))
+
+
+@query()
+def answer_with_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
