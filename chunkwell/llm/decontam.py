@@ -1,6 +1,6 @@
 """Benchmark passages in documents, by fingerprints of item-sized windows.
 
-Words and shingles are those of near-duplicate search: five words, or a shorter item whole.  Every
+Words are blank-separated, in lower case; shingles are five words, or a shorter item whole.  Every
 window of a document with as many words as some item, and at least one shingle of some item of
 that size (any other has similarity 0), has a 64-bit SimHash over its shingles, each weighted by
 how often it occurs.  Fingerprints are looked up in a multi-index: a fingerprint is cut into BLOCKS
@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,41 +98,53 @@ class Index:
     """Items by number of words, and the shingles of all by shingle size."""
 
     def __init__(self, ids: list[int], texts: list[str | None]) -> None:
-        words = split_words(pa.array(texts, pa.large_string()))
+        words = split_words(pc.utf8_lower(pa.array(texts, pa.large_string())))
         by: dict[int, list[tuple[int, np.ndarray]]] = {}
         for k, i in enumerate(ids):
             own = words.hash[words.ptr[k] : words.ptr[k + 1]]
             if len(own):
                 by.setdefault(len(own), []).append((i, gram_hashes(own, min(WORDS, len(own)))))
         self.families = [Family(n, items) for n, items in sorted(by.items())]
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        #: by shingle size: known shingles, a sieve of them, and the families of each as runs of one array
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in {f.size for f in self.families}:
-            grams = np.unique(np.concatenate([b[0] for f in self.families if f.size == size for b in f.bags]))
+            own = [(k, np.unique(np.concatenate([b[0] for b in f.bags]))) for k, f in enumerate(self.families) if f.size == size]
+            grams, owner = np.concatenate([g for _, g in own]), np.concatenate([np.full(len(g), k) for k, g in own])
+            order = np.argsort(grams, kind="stable")
+            known, first = np.unique(grams[order], return_index=True)
             sieve = np.zeros(_SIEVE, dtype=bool)
-            sieve[grams & np.uint64(_SIEVE - 1)] = True
-            self.grams[size] = grams, sieve
+            sieve[known & np.uint64(_SIEVE - 1)] = True
+            self.grams[size] = known, sieve, owner[order], np.append(first, len(grams))
 
     def matches(self, words: np.ndarray, ptr: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
         """(text, item id, similarity, first word) of every pair similar enough, its best window."""
-        for size, (known, sieve) in self.grams.items():
+        for size, (known, sieve, owner, runs) in self.grams.items():
             grams = gram_hashes(words, size)
-            maybe = np.flatnonzero(sieve[grams & np.uint64(_SIEVE - 1)])
-            at = maybe[np.isin(grams[maybe], known)]
+            at = np.flatnonzero(sieve[grams & np.uint64(_SIEVE - 1)])
+            place = np.searchsorted(known, grams[at])
+            real = known[np.minimum(place, len(known) - 1)] == grams[at]
+            at, place = at[real], place[real]
             text = np.searchsorted(ptr, at, side="right") - 1
-            at, text = at[at + size <= ptr[text + 1]], text[at + size <= ptr[text + 1]]
-            for t in np.unique(text).tolist():
+            inside = at + size <= ptr[text + 1]
+            at, place, text = at[inside], place[inside], text[inside]
+            count = runs[place + 1] - runs[place]
+            family, at, text = owner[ranges(runs[place], count)], np.repeat(at, count), np.repeat(text, count)
+            order = np.lexsort((at, family, text))
+            family, at, text = family[order], at[order], text[order]
+            edges = [0, *(np.flatnonzero((np.diff(text) != 0) | (np.diff(family) != 0)) + 1), len(at)] if len(at) else []
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                t, one = int(text[i]), self.families[family[i]]
                 a, b = int(ptr[t]), int(ptr[t + 1])
-                own, hits = grams[a : b - size + 1], at[text == t] - a
-                for family in self.families:
-                    if family.size == size and family.words <= b - a:
-                        yield from self._text(t, family, own, hits)
+                if one.words <= b - a:
+                    yield from self._text(t, one, grams[a : b - size + 1], at[i:j] - a)
 
     def _text(self, t: int, family: Family, own: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
         n = family.shingles
         cover = np.zeros(len(own) + 1, dtype=np.int64)
         np.add.at(cover, np.maximum(hits - n + 1, 0), 1)
         np.add.at(cover, np.minimum(hits + 1, len(own)), -1)
-        starts = np.flatnonzero(np.cumsum(cover[: len(own) - n + 1]) > 0)
+        shared = np.cumsum(cover[: len(own) - n + 1])
+        starts = np.flatnonzero(shared > 0)
         best: dict[int, tuple[float, int]] = {}
         for cut in range(0, len(starts), 4096):
             part = starts[cut : cut + 4096]
@@ -140,6 +153,8 @@ class Index:
             prints = _seal(sums[part - low + n] - sums[part - low])
             for row, item in zip(*family.candidates(prints), strict=True):
                 start = int(part[row])
+                if shared[start] < SIMILARITY * (2 * n - shared[start]):
+                    continue  # it cannot have more shingles in common than stand in the window
                 value = weighted_similarity(family.bags[item], np.unique(own[start : start + n], return_counts=True))
                 if value >= SIMILARITY and value > best.get(int(item), (0.0, 0))[0]:
                     best[int(item)] = value, start
@@ -167,7 +182,7 @@ def find_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for whole in batches:
                 for batch in slices(whole, "text"):
-                    words = split_words(batch.column("text"))
+                    words = split_words(pc.utf8_lower(batch.column("text")))
                     hits = list(given.value.matches(words.hash, words.ptr))
                     ids = batch.column("doc_id").take(pa.array([h[0] for h in hits], pa.int64()))
                     yield pa.RecordBatch.from_arrays(

@@ -39,11 +39,13 @@ FLATTEN = 0.7
 
 def _words(documents: DataFrame) -> DataFrame:
     """(doc_id, ..., b): a row for each word with its bucket; null for a document without words."""
-    plain = F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    parts = F.explode_outer(F.split(F.trim(plain), " "))
+    plain = F.lower(F.coalesce("text", F.lit("")))
+    for blank in "\t\n\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    parts = F.explode_outer(F.split(plain, " "))
     rest = [c for c in documents.columns if c != "text"]
     rows = documents.select(*rest, parts.alias("w"))
-    return rows.select(*rest, F.when(F.col("w") != "", F.pmod(F.xxhash64(F.lower("w")), F.lit(BUCKETS)).cast("int")).alias("b"))
+    return rows.select(*rest, F.when(F.col("w") != "", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")).alias("b"))
 
 
 def classifier(documents: DataFrame, labelled: DataFrame, domain: str) -> tuple[list[str], list[float], DataFrame | None]:

@@ -77,7 +77,7 @@ def _two_sided(z: Column) -> Column:
 
 def battery(token: Column) -> Column:
     """p-values (chi, runs, serial, text) of a run of letters in its inferred alphabet of k letters."""
-    bare = F.translate(F.rtrim(F.lit("="), token), "-_", "+/")
+    bare = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
     k = (
         F.when(bare.rlike(r"\A([0-9a-f]+|[0-9A-F]+)\z"), 16)
         .when(bare.rlike(r"\A[A-Z2-7]+\z"), 32)
@@ -86,14 +86,14 @@ def battery(token: Column) -> Column:
     bare = F.when(k == 16, F.lower(bare)).otherwise(bare)
     alphabet = F.when(k == 16, F.lit(ALPHABETS[16])).when(k == 32, F.lit(ALPHABETS[32])).otherwise(F.lit(ALPHABETS[64]))
     letters = F.split(bare, "")
-    numbers = F.transform(F.filter(letters, lambda c: c != ""), lambda c: (F.expr("0") + F.instr(alphabet, c) - 1).cast("double"))
+    numbers = F.transform(F.filter(letters, lambda c: c != ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
     return F.struct(k.alias("k"), numbers.alias("v"))
 
 
 def _tests(x: Column) -> Column:
     """The four p-values from an alphabet size and letter numbers."""
     k, v = x["k"].cast("double"), x["v"]
-    n = F.size(v).cast("double")
+    n = F.greatest(F.size(v).cast("double"), F.lit(2.0))
     add = lambda f: F.aggregate(v, F.lit(0.0), f)
     squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(v, lambda y: y == c)).cast("double"), F.lit(2.0)))
     chi, df = k * squares / n - n, k - 1
