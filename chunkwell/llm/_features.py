@@ -31,11 +31,20 @@ class WordFeatures:
 
     def of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """The number of each word among the distinct ones, and their feature rows."""
+        if len(self.index) > CACHED_WORDS:
+            self.index = {}
+        codes, at = self._places(words)
+        return codes.astype(np.int64), self.rows[at]
+
+    def keep(self, words: Words) -> np.ndarray:
+        """The row of each word in `rows`; nothing is forgotten, so only for bounded samples."""
+        codes, at = self._places(words)
+        return at[codes].astype(np.int32)
+
+    def _places(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         codes, distinct = pd.factorize(words.hash)
         first = np.zeros(len(distinct), dtype=np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        if len(self.index) > CACHED_WORDS:
-            self.index = {}
         index, at = self.index, np.empty(len(distinct), dtype=np.int64)
         for i, h in enumerate(distinct.tolist()):
             k = index.get(h)
@@ -46,7 +55,7 @@ class WordFeatures:
                 row = self.make(words.text(int(first[i])))[: self.width]
                 self.rows[k] = row + [0] * (self.width - len(row))
             at[i] = k
-        return codes.astype(np.int64), self.rows[at]
+        return codes, at
 
 
 def sample(documents: DataFrame, label: Column, most: int) -> DataFrame:
