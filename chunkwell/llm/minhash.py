@@ -6,7 +6,8 @@ differs in at most `errors` symbols; so a key for each choice of `errors` symbol
 each chunk makes every such pair meet under at least one key.  At a similarity of 0.75, with the
 defaults, a pair has more than 31 of 64 differing symbols about once in 100,000 pairs.
 
-Pairs that meet are confirmed on their full shingle sets.  No group is ever expanded into pairs:
+Pairs that meet are confirmed on their full shingle sets, unless an exact bound from the parities of
+bucketed shingle counts already refutes them.  No group is ever expanded into pairs:
 documents with equal sets are one node; every node is first compared with the smallest node of the
 key it shares most; then, under keys whose nodes still lie in different components, twice with its
 nearest node of another component; then all remaining pairs across components are compared there, in
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -45,6 +47,8 @@ WORDS, SIMILARITY = 5, 75
 SYMBOLS, CHUNKS, ERRORS = 64, 16, 1
 #: Further one-byte minima only reject: at the similarity sought, 96 of all 256 minima differ about twice in a million.
 EXTRA, MOST_DIFFER = 192, 96
+#: A bit for each of this many buckets of shingles tells whether the bucket's count is odd.
+PARITY = 2048
 CELL = 2048
 FILTER_BITS = 1 << 24
 _SEEDS = mix64(np.arange(1, 2 * (SYMBOLS + EXTRA) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -65,7 +69,7 @@ def shingle_sets(words: Words, size: int = WORDS) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row for each set, none empty: 16 bits of `SYMBOLS` minima, then 8 bits of `EXTRA` minima."""
+    """A row for each set, none empty: 16 bits of `SYMBOLS` minima, 8 bits of `EXTRA` minima, parities, set size."""
     length = np.array([len(s) for s in sets])
     flat, first = np.concatenate(sets), np.concatenate(([0], np.cumsum(length)[:-1]))
     main = np.empty((len(sets), SYMBOLS), dtype=np.uint16)
@@ -76,7 +80,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             main[:, k] = (least & np.uint64(0xFFFF)).astype(np.uint16)
         else:
             extra[:, k - SYMBOLS] = (least & np.uint64(0xFF)).astype(np.uint8)
-    return np.concatenate([main.view(np.uint8).reshape(len(sets), -1), extra], axis=1)
+    odd = np.empty((len(sets), PARITY // 8), dtype=np.uint8)
+    for at in range(0, len(sets), 256):
+        size = length[at : at + 256]
+        bucket = (flat[first[at] : first[at] + size.sum()] % np.uint64(PARITY)).astype(np.int64) + np.repeat(np.arange(len(size)) * PARITY, size)
+        counts = np.bincount(bucket, minlength=len(size) * PARITY).reshape(len(size), PARITY)
+        odd[at : at + 256] = np.packbits(counts & 1 == 1, axis=1)
+    return np.concatenate([main.view(np.uint8).reshape(len(sets), -1), extra, odd, length.astype("<i8").view(np.uint8).reshape(len(sets), 8)], axis=1)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +120,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 4096):
             batch = whole.slice(at, 4096)
-            sign = _matrix(batch.column("signature"))[0].astype(np.uint64)
+            sign = _matrix(batch.column("signature")).main.astype(np.uint64)
             keys = np.empty((len(sign), len(masks)), dtype=np.uint64)
             for tag, symbols in masks:
                 key = np.full(len(sign), tag, dtype=np.uint64)
@@ -121,20 +131,48 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The 16-bit and the 8-bit minima of signatures."""
-    rows = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), 2 * SYMBOLS + EXTRA)
-    return np.ascontiguousarray(rows[:, : 2 * SYMBOLS]).view(np.uint16), rows[:, 2 * SYMBOLS :]
+@dataclass
+class Signatures:
+    """The parts of some signatures, a row each."""
 
+    main: np.ndarray
+    extra: np.ndarray
+    odd: np.ndarray
+    size: np.ndarray
 
-def _alike(main: tuple[np.ndarray, np.ndarray], extra: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows within the radius that the keys guarantee and not rejected by the further minima; all distances."""
-    differ = (main[0] != main[1]).sum(axis=1)
+    def __getitem__(self, at: np.ndarray) -> Signatures:
+        return Signatures(self.main[at], self.extra[at], self.odd[at], self.size[at])
+
+
+def _matrix(column: pa.Array) -> Signatures:
+    cuts = np.cumsum([0, 2 * SYMBOLS, EXTRA, PARITY // 8, 8])
+    rows = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), cuts[-1])
+    main, extra, odd, size = (np.ascontiguousarray(rows[:, i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True))
+    return Signatures(main.view(np.uint16), extra, odd.view(np.uint64), size.view("<i8")[:, 0])
+
+
+def _may_reach(left: Signatures, right: Signatures) -> np.ndarray:
+    """False only where the sets cannot be similar enough.
+
+    Every odd bucket of the symmetric difference holds a shingle that one set lacks, so their number
+    bounds the symmetric difference d from below, as the difference of the sizes does.  A similarity
+    of SIMILARITY percent means (100 + SIMILARITY) * d <= (100 - SIMILARITY) * (sum of the sizes).
+    """
+    least = np.bitwise_count(left.odd ^ right.odd).sum(axis=1, dtype=np.int64)
+    least = np.maximum(least, np.abs(left.size - right.size))
+    return (100 + SIMILARITY) * least <= (100 - SIMILARITY) * (left.size + right.size)
+
+
+def _alike(left: Signatures, right: Signatures, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (left[p], right[q]) those that the keys guarantee and nothing rejects: p, q and distance."""
+    differ = (left.main[p] != right.main[q]).sum(axis=1)
     near = differ < CHUNKS * (ERRORS + 1)
-    at = np.flatnonzero(near)
-    differ[at] += (extra[0][at] != extra[1][at]).sum(axis=1)
-    near[at] = differ[at] <= MOST_DIFFER
-    return near, differ
+    p, q, differ = p[near], q[near], differ[near]
+    near = _may_reach(left[p], right[q])
+    p, q, differ = p[near], q[near], differ[near]
+    differ = differ + (left.extra[p] != right.extra[q]).sum(axis=1)
+    near = differ <= MOST_DIFFER
+    return p[near], q[near], differ[near]
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +180,9 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 8192):
             part = batch.slice(at, 8192)
-            near, _ = _alike(*zip(_matrix(part.column("sign_a")), _matrix(part.column("sign_b")), strict=True))
-            yield part.filter(pa.array(near)).select(["a", "b"])
+            every = np.arange(part.num_rows)
+            near, _, _ = _alike(_matrix(part.column("sign_a")), _matrix(part.column("sign_b")), every, every)
+            yield part.take(pa.array(near)).select(["a", "b"])
 
 
 def _first_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -180,7 +219,7 @@ def _cell(held: list[pa.RecordBatch], nearest: bool) -> pa.RecordBatch:
     part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     node, label, block = (part.column(n).to_numpy(zero_copy_only=False) for n in ("node", "label", "block"))
     key, a, b = (part.column(n)[0].as_py() for n in ("key", "cell_a", "cell_b"))
-    main, extra = _matrix(part.column("signature"))
+    signs = _matrix(part.column("signature"))
     left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
     found = [np.zeros((0, 2), np.int64)]
     for at in range(0, len(left), 32):
@@ -189,14 +228,12 @@ def _cell(held: list[pa.RecordBatch], nearest: bool) -> pa.RecordBatch:
         if a == b and not nearest:
             across &= node[i][:, None] < node[right][None, :]
         x, y = np.nonzero(across)
-        p, q = i[x], right[y]
-        near, differ = _alike((main[p], main[q]), (extra[p], extra[q]))
-        p, q, differ = p[near], q[near], differ[near]
+        p, q, differ = _alike(signs, signs, i[x], right[y])
         if nearest:
             order = np.lexsort((node[q], differ, p))
             pick = order[np.unique(p[order], return_index=True)[1]]
         else:
-            pick = np.flatnonzero(_first_key(main[p], main[q]) == key >> 16 * (SYMBOLS // CHUNKS - ERRORS))
+            pick = np.flatnonzero(_first_key(signs.main[p], signs.main[q]) == key >> 16 * (SYMBOLS // CHUNKS - ERRORS))
         found.append(np.stack([node[p[pick]], node[q[pick]]], axis=1))
     pairs = np.sort(np.concatenate(found), axis=1)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])

@@ -76,6 +76,21 @@ def test_near_duplicates_awkward(spark):
     assert minhash.one_of_each_group(awkward(spark)).count() == 7
 
 
+def test_parity_bound_never_rejects_a_link():
+    rng, sets, alike = np.random.default_rng(3), [], []
+    for size in (1, 4, 7, 60, 700, 9000):
+        for share in (0.5, 0.7, 0.74, 0.75, 0.76, 0.9, 1.0):
+            both = int(np.ceil(size * share))
+            pool = rng.integers(0, 1 << 63, 2 * size - both, dtype=np.uint64)
+            sets += [np.sort(pool[:size]), np.sort(pool[size - both :])]
+            alike.append(100 * both >= 75 * (2 * size - both))
+    signs = minhash._matrix(pa.array([s.tobytes() for s in minhash.signatures(sets)], pa.binary()))
+    left, right = np.arange(0, len(sets), 2), np.arange(1, len(sets), 2)
+    found = minhash._may_reach(signs[left], signs[right])
+    assert found[np.array(alike)].all()
+    assert not found[~np.array(alike) & (signs.size[left] < 100)].any()
+
+
 def test_passages(spark):
     rng = random.Random(5)
     items = [(k, prose(rng, n)) for k, n in enumerate([5, 12, 20, 30, 30, 50])] + [(20, "only three words"), (21, None), (22, "")]
