@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of bytes outside these ASCII blanks.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 BLOCK = 1 << 20
+ARROW_BYTES = 8 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -36,6 +37,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session end at about ARROW_BYTES; a longer row is a batch of its own.
+
+    Spark's default counts rows first, so batches of whole texts fill buffers of 64 MB in the JVM and
+    as much again in each worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def remainder(doc_id: str | Column) -> Column:
     """crc32 of the id as text, modulo 3; 1 marks a held-out row."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm._shared import gram_hashes, materialise, ranges, slices, split_words
+from chunkwell.llm._shared import bound_batches, gram_hashes, materialise, ranges, slices, split_words
 
 WORDS, SIMILARITY = 5, 0.75
 BITS, RADIUS, BLOCKS = 64, 28, 8
@@ -173,6 +173,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Index]:
 
 def find_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, first_word: a row for each document and item that it holds."""
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, similarity double, first_word long"
     found = [rows.sparkSession.createDataFrame([], schema)]

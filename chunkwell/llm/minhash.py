@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from chunkwell.llm._shared import (
     Words,
+    bound_batches,
     gram_hashes,
     is_empty,
     materialise,
@@ -292,6 +293,7 @@ def _apart(shared: DataFrame, labels: DataFrame, signs: DataFrame, nearest: bool
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_shingles, component_id, kept; a row per input row."""
+    bound_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialise(docs.mapInArrow(_features, "doc_id long, n_shingles long, set_id binary, signature binary"), "signatures")
     full = rows.where("set_id is not null and doc_id is not null")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkwell.llm._shared import materialise, ranges, read_blobs, shared_dir, slices, write_blobs
+from chunkwell.llm._shared import bound_batches, materialise, ranges, read_blobs, shared_dir, slices, write_blobs
 
 MAGIC, HEADER = b"CWM1", struct.Struct("<4sIQQ")
 BLOCK_BITS = 4096
@@ -282,6 +282,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         if docs:
             yield flush()
 
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     write_blobs(dealt.mapInArrow(segments, "value binary"), path)
