@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chunkwell.llm._shared import Words, held_out, slices, split_words
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 
 def bucket(kind: str, text: str, buckets: int) -> int:
@@ -66,5 +66,5 @@ def sample(documents: DataFrame, label: Column, most: int) -> DataFrame:
 
 def word_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
     for whole in batches:
-        for batch in slices(whole, "text", 1 << 22):
+        for batch in slices(whole, "text"):
             yield batch, split_words(batch.column("text"), fold=False)

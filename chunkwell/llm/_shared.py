@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -196,14 +197,28 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(total)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system: workers outlive their tasks and idle beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch where `limit` bytes of text are reached; a longer text is a slice of its own."""
+    """Cut a batch where `limit` bytes of text are reached; a longer text is a slice of its own.
+
+    What the slices took is released after the last of them.
+    """
     _, at = string_parts(batch.column(column))
     i = 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(at, at[i] + limit, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    release_memory()
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -38,6 +38,7 @@ from chunkwell.llm._shared import (
     is_empty,
     materialise,
     mix64,
+    release_memory,
     slices,
     split_words,
     spread_join,
@@ -184,6 +185,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every = np.arange(part.num_rows)
             near, _, _ = _alike(_matrix(part.column("sign_a")), _matrix(part.column("sign_b")), every, every)
             yield part.take(pa.array(near)).select(["a", "b"])
+        release_memory()
 
 
 def _first_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -212,6 +214,7 @@ def _within(nearest: bool):  # noqa: ANN202
                 held.append(part)
         if held:
             yield _cell(held, nearest)
+        release_memory()
 
     return run
 

@@ -27,12 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkwell.llm._shared import bound_batches, materialise, ranges, read_blobs, shared_dir, slices, write_blobs
+from chunkwell.llm._shared import bound_batches, materialise, ranges, read_blobs, release_memory, shared_dir, slices, write_blobs
 
 MAGIC, HEADER = b"CWM1", struct.Struct("<4sIQQ")
 BLOCK_BITS = 4096
 SEGMENT_TOKENS = 1 << 20
-CACHED_PIECES = 800_000
+CACHED_PIECES = 300_000
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -303,6 +303,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         names=["file", "doc_id", "start", "n_tokens", "ids_crc32"],
                     )
                     before += int(stop[-1]) if len(stop) else 0
+            release_memory()
 
     rows = materialise(read_blobs(spark, path).mapInArrow(documents, "file string, doc_id long, start long, n_tokens long, ids_crc32 long"), "tokens")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # a row a file
