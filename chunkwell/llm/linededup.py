@@ -1,12 +1,17 @@
 """Repeated runs of lines, by winnowing over line hashes.
 
 From every line that is not blank runs a window: the fewest lines from it on that hold MIN_WORDS
-words.  The least line hash of each window, the last of equals, is a fingerprint with its position;
-any run of lines of MIN_WORDS words or more that occurs twice holds a whole window, so its copies
-share a fingerprint.  Positions are joined by fingerprint; a match is extended both ways through the
-windows around the position, each compared by the pair of its own hash and its fingerprint's (128
-bits) with the first such window of the corpus.  Every line of a window that occurred before, in
-order of doc_id and line, is deleted; windows overlap by all but a line, so longer runs go whole.
+words; to every such line runs another, the fewest lines up to it that do.  Whether lines are such a
+window depends on them alone.  Any line of a repeated run of MIN_WORDS words or more lies in one that
+the run holds whole: in the window to that line, or, if the run has too few words up to it, in the
+window from the run's first line.  So deleting repeated windows deletes repeated runs whole, whatever
+the lengths of their lines.  Two neighbouring lines that each hold MIN_WORDS words are a window too,
+for the blank lines between them.
+The least line hash of each window, the last of equals, is a fingerprint with its position; copies of
+a window share it.  Positions are joined by fingerprint; the windows around a position that occurs
+twice are each compared by the pair of their own hash and their fingerprint's (128 bits) with the
+first such window of the corpus.  Every line of a window that occurred before, in order of doc_id and
+line, is deleted.
 
 Lines are compared by their words, blanks aside.  Defined results: text null has no lines and stays
 null; a null doc_id comes first in order; rows equal in doc_id and text are one occurrence, and keep
@@ -57,7 +62,13 @@ def windows(text: np.ndarray, size: np.ndarray, line: np.ndarray, least: int) ->
     last = np.searchsorted(upto, upto[:-1] + least) - 1
     ends = np.searchsorted(text, text, side="right") - 1
     first = np.flatnonzero(last <= ends)
-    last = last[first]
+    # windows to a line, but for those that are windows from a line as well
+    back = np.searchsorted(upto, upto[1:] - least, side="right") - 1
+    to = np.flatnonzero(back >= np.searchsorted(text, text))
+    to = to[last[back[to]] != to]
+    long = size >= least
+    pair = np.flatnonzero(long[:-1] & long[1:] & (text[:-1] == text[1:]))
+    first, last = np.concatenate((first, back[to], pair)), np.concatenate((last[first], to, pair + 1))
     scaled = np.concatenate((np.zeros(1, np.uint64), np.cumsum(line * _powers(_WINDOW, len(line)), dtype=np.uint64)))
     whole = mix64((scaled[last + 1] - scaled[first]) * _powers(_WINDOW_INVERSE, len(line) + 1)[first] + (last - first).astype(np.uint64))
     low = first.copy()

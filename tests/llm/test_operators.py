@@ -147,6 +147,38 @@ def test_line_runs(spark):
     assert linededup.deduplicated(awkward(spark).where("false")).count() == 0
 
 
+def removed_by_brute_force(rows, least=50):
+    """Line numbers per document of every run of `least` words or more that occurred before, blank lines within it too."""
+    seen, gone = {}, {i: set() for i, *_ in rows}
+    for i, text, _ in sorted(rows):
+        lines = [(n, tuple(x.split())) for n, x in enumerate(text.split("\n")) if x.split()]
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = tuple(x for _, x in lines[a : b + 1])
+                if sum(map(len, run)) >= least and seen.setdefault(run, (i, a)) != (i, a):
+                    gone[i] |= set(range(lines[a][0], lines[b][0] + 1))
+    return gone
+
+
+def test_line_runs_of_uneven_lines_go_whole(spark):
+    rng = random.Random(17)
+    three = [prose(rng, n) for n in (30, 30, 10)]
+    tail = [prose(rng, 60), *(prose(rng, 4) for _ in range(10))]
+    paragraphs = "\n\n".join(prose(rng, 70) for _ in range(3))
+    rows = [(k + 2 * i, "\n".join([f"start{i} {k}", *block, f"end{i} {k}"]), "en") for i, block in enumerate((three, tail, [paragraphs])) for k in (0, 1)]
+    pool = [[prose(rng, rng.choice([1, 3, 8, 20, 33, 49, 50, 51, 70])) for _ in range(9)] for _ in range(6)]
+    for i in range(10, 50):
+        text = []
+        for _ in range(3):
+            lines, a = rng.choice(pool), rng.randrange(6)
+            text += [*lines[a : a + rng.randrange(1, 9)], *rng.choice([[], [""], [prose(rng, 5)]])]
+        rows.append((i, "\n".join(text), "en"))
+    expected = removed_by_brute_force(rows)
+    assert [len(expected[i]) for i in (1, 3, 5)] == [3, 11, 5]
+    got = {r.doc_id: {n for x in filter(None, r.removed.split(",")) for n in range(int(x.split("-")[0]), int(x.split("-")[1]) + 1)} for r in linededup.deduplicated(docs(spark, rows)).collect()}
+    assert got == expected
+
+
 def test_bundles(spark):
     rows = [(i, f"http://h/{i}", f"<p>{i % 7}</p>" * (i % 50 + 1)) for i in range(300)] + [(301, None, None), (302, "u", ""), (None, "n", "alone"), (302, "u", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
