@@ -7,7 +7,7 @@ being random in that alphabet: a chi-squared test of uniform letters, a runs tes
 lower and upper half, and a test of serial correlation of letter numbers.  A fourth test has prose
 as its null hypothesis: the index of coincidence against TEXT_IC, whose variance shrinks with the
 run's length, so long runs are told apart better.  Its p-values go through the Benjamini-Hochberg
-step-up rule at level FDR over all candidates of the corpus, in bins of RESOLUTION; a rejected
+step-up rule at level FDR over all candidates of the corpus; a rejected
 candidate that none of the three randomness tests rejects (Holm's least level ALPHA / 3) is a span
 of kind random.
 
@@ -17,7 +17,7 @@ row; rows that share a doc_id are scanned each on its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkwell.llm._shared import materialise
@@ -31,7 +31,7 @@ RUN = 24
 RUNS = r"[A-Za-z0-9+/_=-]{24,}"
 #: The index of coincidence of prose letters, and the sum of their cubed shares.
 TEXT_IC, TEXT_CUBES = 0.066, 0.0058
-FDR, ALPHA, RESOLUTION = 0.01, 0.01, 1e-4
+FDR, ALPHA = 0.01, 0.01
 #: Fixed alphabets.
 ALPHABETS = {
     16: "0123456789abcdef",
@@ -130,22 +130,32 @@ def scan(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "base", tested.alias("runs"))
 
 
-def rejection_limit(scanned: DataFrame) -> float:
-    """The greatest p-value that the step-up rule rejects, from counts by bin (at most 1 / RESOLUTION rows)."""
-    p = scanned.select(F.explode("runs").alias("r")).select(F.ceil(F.col("r.p.p_text") / RESOLUTION).cast("long").alias("bin"))
-    bins = p.groupBy("bin").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy())
-    good = bins.select("bin", upto.alias("rank"), total.alias("total")).where(F.col("bin") * RESOLUTION * F.col("total") <= FDR * F.col("rank"))
-    top = good.agg(F.max("bin").alias("b")).collect()[0]["b"]
-    return -1.0 if top is None else top * RESOLUTION
+def rejection_limits(p_values: DataFrame) -> dict[int, float]:
+    """The limit of the step-up rule for each `family` of p-values `p`: what is no greater is rejected.
+
+    The p-value of rank r is rejected if it is at most FDR * r / total.  From FDR on, counting the
+    p-values within a limit lowers it to FDR * count / total, until the count stays: no p-value is
+    rounded, and no task orders them.
+    """
+    limits: dict[int, float] = {}
+    counts: dict[int, int] = {}
+    while True:
+        within = F.col("p") <= limit_of(F.col("family"), limits)
+        rows = p_values.groupBy("family").agg(F.count("*").alias("n"), F.count(F.when(within, 1)).alias("low")).collect()
+        limits = {r["family"]: FDR * r["low"] / r["n"] for r in rows}
+        if counts == (counts := {r["family"]: r["low"] for r in rows}):
+            return limits
+
+
+def limit_of(family: Column, limits: dict[int, float]) -> Column:
+    return F.coalesce(*(F.when(family == k, limit) for k, limit in sorted(limits.items())), F.lit(FDR))
 
 
 def find_secrets(documents: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans."""
     scanned = materialise(scan(documents), "secrets")
-    limit = rejection_limit(scanned)
-    chosen = F.filter("runs", lambda x: (x["p"]["p_text"] <= limit) & (x["p"]["p_random"] >= ALPHA / 3))
+    limits = rejection_limits(scanned.select(F.explode("runs").alias("r")).select(F.lit(0).alias("family"), F.col("r.p.p_text").alias("p")))
+    chosen = F.filter("runs", lambda x: (x["p"]["p_text"] <= limit_of(F.lit(0), limits)) & (x["p"]["p_random"] >= ALPHA / 3))
     every = F.array_sort(F.concat("base", _kind(chosen, 3)))
 
     def text(spans: Column | str) -> Column:

@@ -353,3 +353,15 @@ def test_secrets(spark):
         assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(k == x for _, k, _ in spans) for x in range(3))
     assert got[3].spans == "random:2:62" and got[5].spans == ""
     assert secrets.find_secrets(awkward(spark)).count() == 8 and secrets.find_secrets(awkward(spark).where("false")).count() == 0
+
+
+def test_step_up_limit_is_exact(spark):
+    rng = random.Random(21)
+    values = {0: [6e-7] * 3 + [rng.uniform(0.5, 1) for _ in range(997)], 1: [rng.random() ** 6 for _ in range(500)], 2: [1.0] * 50, 3: [0.0, 0.9]}
+    rows = [(k, p) for k, ps in values.items() for p in ps]
+    limits = secrets.rejection_limits(spark.createDataFrame(rows, "family int, p double"))
+    for k, ps in values.items():
+        last = max((r for r, p in enumerate(sorted(ps), 1) if p <= secrets.FDR * r / len(ps)), default=0)
+        assert sorted(p for p in ps if p <= limits[k]) == sorted(ps)[:last]
+    assert sum(p <= limits[0] for p in values[0]) == 3
+    assert secrets.rejection_limits(spark.createDataFrame([], "family int, p double")) == {}
