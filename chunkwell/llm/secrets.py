@@ -1,15 +1,16 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests; DataFrame functions only.
 
 Base spans are the leftmost non-overlapping matches of three kinds (assign, access, hex) that are
-long enough.  Elsewhere, every run of RUN or more characters of the base64 alphabets is a candidate.
-Its encoding is inferred (hex 16, base32 32 or base64 64 letters), and it is tested three times for
-being random in that alphabet: a chi-squared test of uniform letters, a runs test of letters of the
-lower and upper half, and a test of serial correlation of letter numbers.  A fourth test has prose
-as its null hypothesis: the index of coincidence against TEXT_IC, whose variance shrinks with the
-run's length, so long runs are told apart better.  Its p-values go through the Benjamini-Hochberg
-step-up rule at level FDR over all candidates of the corpus; a rejected
-candidate that none of the three randomness tests rejects (Holm's least level ALPHA / 3) is a span
-of kind random.
+long enough.  Elsewhere, every run of RUN or more characters of the base64 alphabets that has a
+letter is a candidate.  Its encoding is inferred (hex 16, base32 32 or base64 64 letters), and it is
+tested three times for being random in that alphabet: a chi-squared test of uniform letters, a runs
+test of letters of the lower and upper half, and a test of serial correlation of letter numbers.
+Their least p-value times three (Bonferroni, so for any dependence) goes through the
+Benjamini-Hochberg step-up rule at level FDR, within the family of candidates of the same encoding
+and the same power of two of letters: short runs, on which the tests have less power, and long ones
+do not set each other's limit.  What the rule rejects is not random; what it leaves is a span of
+kind random.  The limit is never above FDR, so a random key of any length is lost with a chance of
+about FDR at most, whatever the other documents hold; that a span is a secret is not controlled.
 
 Defined results: null or empty text has no span and the digest of no spans; each input row gives a
 row; rows that share a doc_id are scanned each on its own.
@@ -29,9 +30,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # a run is maximal, so shorter ones can go at once
 RUN = 24
 RUNS = r"[A-Za-z0-9+/_=-]{24,}"
-#: The index of coincidence of prose letters, and the sum of their cubed shares.
-TEXT_IC, TEXT_CUBES = 0.066, 0.0058
-FDR, ALPHA = 0.01, 0.01
+#: Letters of a candidate before its padding, at least; base32 has at most six characters of that.
+BARE = RUN - 6
+FDR = 0.01
 #: Fixed alphabets.
 ALPHABETS = {
     16: "0123456789abcdef",
@@ -66,17 +67,23 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_kind(assign, 0), _kind(access, 1), _kind(_matches(text, HEX), 2)))
 
 
-def _normal(z: Column) -> Column:
-    """The normal distribution function, within 0.0002 by a logistic form."""
-    return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
+#: Of the complementary error function by Chebyshev fitting (Numerical Recipes), highest power first.
+_ERFC = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
 
 
-def _two_sided(z: Column) -> Column:
-    return 2 * (1 - _normal(F.abs(z)))
+def _upper(z: Column) -> Column:
+    """The upper tail of the normal distribution, within 1.2e-7 of itself far out too."""
+    x = F.abs(z) / 2**0.5
+    t = 1 / (1 + 0.5 * x)
+    power = F.lit(_ERFC[0])
+    for c in _ERFC[1:]:
+        power = power * t + c
+    half = 0.5 * t * F.exp(power - x * x)
+    return F.when(z >= 0, half).otherwise(1 - half)
 
 
 def battery(token: Column) -> Column:
-    """p-values (chi, runs, serial, text) of a run of letters in its inferred alphabet of k letters."""
+    """The size k of the inferred alphabet of a run of letters, and the numbers v of its letters."""
     bare = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
     k = (
         F.when(bare.rlike(r"\A([0-9a-f]+|[0-9A-F]+)\z"), 16)
@@ -91,39 +98,36 @@ def battery(token: Column) -> Column:
 
 
 def _tests(x: Column) -> Column:
-    """The four p-values from an alphabet size and letter numbers."""
+    """The family of a candidate, and its combined p-value, from an alphabet size and letter numbers."""
     k, v = x["k"].cast("double"), x["v"]
     n = F.greatest(F.size(v).cast("double"), F.lit(2.0))
     add = lambda f: F.aggregate(v, F.lit(0.0), f)
     squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(v, lambda y: y == c)).cast("double"), F.lit(2.0)))
     chi, df = k * squares / n - n, k - 1
     cube = (F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    p_chi = 1 - _normal(F.least(F.greatest(cube, F.lit(-8.0)), F.lit(8.0)))
     high = F.transform(v, lambda y: (y >= k / 2).cast("int"))
     ones = F.aggregate(high, F.lit(0), lambda a, y: a + y).cast("double")
     pairs = F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high)), lambda a, b: (a != b).cast("int"))
     runs = F.aggregate(pairs, F.lit(1), lambda a, y: a + y).cast("double")
     mean_runs = 1 + 2 * ones * (n - ones) / n
     sd_runs = F.sqrt(F.greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), F.lit(1e-9)))
-    p_runs = F.when((ones == 0) | (ones == n), F.lit(0.0)).otherwise(_two_sided(F.least(F.abs(runs - mean_runs) / sd_runs, F.lit(8.0))))
+    z_runs = F.when((ones == 0) | (ones == n), F.lit(8.0)).otherwise(F.abs(runs - mean_runs) / sd_runs)
     mean = add(lambda a, y: a + y) / n
     spread = add(lambda a, y: a + (y - mean) * (y - mean))
     lagged = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda a, b: (a - mean) * (b - mean))
     serial = F.aggregate(lagged, F.lit(0.0), lambda a, y: a + y) / F.greatest(spread, F.lit(1e-9))
-    p_serial = _two_sided(F.least(F.abs((serial + 1 / n) * F.sqrt(n)), F.lit(8.0)))
-    ic = (squares - n) / (n * (n - 1))
-    variance = 4 * (TEXT_CUBES - TEXT_IC**2) / n + 2 * (TEXT_IC - TEXT_IC**2) / (n * (n - 1))
-    # hex letters recur more often than prose's; prose is told from them by letters past f alone
-    p_text = F.when(k == 16, F.lit(0.0)).otherwise(_normal(F.least(F.greatest((ic - TEXT_IC) / F.sqrt(variance), F.lit(-8.0)), F.lit(8.0))))
-    return F.struct(F.least(p_chi, p_runs, p_serial).alias("p_random"), p_text.alias("p_text"))
+    z_serial = F.abs((serial + 1 / n) * F.sqrt(n))
+    p = F.transform(F.array(cube, z_runs, z_serial), lambda z, i: F.when(i == 0, _upper(F.least(z, F.lit(30.0)))).otherwise(2 * _upper(F.least(z, F.lit(30.0)))))
+    family = x["k"] * 64 + F.floor(F.log2(n)).cast("int")
+    return F.struct(family.alias("family"), F.least(3 * F.array_min(p), F.lit(1.0)).alias("p"))
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """doc_id, base spans, and candidates (s, e, p_random, p_text) that overlap none of them."""
+    """doc_id, base spans, and candidates (s, e, p with family and p) that overlap none of them."""
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), base_spans(text).alias("base"), _matches(text, RUNS).alias("runs"))
-    mixed = lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]")
-    free = F.filter("runs", lambda x: mixed(x) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    fit = lambda x: (F.length(F.rtrim(x["hit"], F.lit("="))) >= BARE) & x["hit"].rlike("[A-Za-z]")
+    free = F.filter("runs", lambda x: fit(x) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     rows = rows.select("doc_id", "base", free.alias("runs"))
     values = F.transform("runs", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["hit"]).alias("b")))
     tested = F.transform(values, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _tests(x["b"]).alias("p")))
@@ -154,8 +158,8 @@ def limit_of(family: Column, limits: dict[int, float]) -> Column:
 def find_secrets(documents: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans."""
     scanned = materialise(scan(documents), "secrets")
-    limits = rejection_limits(scanned.select(F.explode("runs").alias("r")).select(F.lit(0).alias("family"), F.col("r.p.p_text").alias("p")))
-    chosen = F.filter("runs", lambda x: (x["p"]["p_text"] <= limit_of(F.lit(0), limits)) & (x["p"]["p_random"] >= ALPHA / 3))
+    limits = rejection_limits(scanned.select(F.explode("runs").alias("r")).select("r.p.family", "r.p.p"))
+    chosen = F.filter("runs", lambda x: x["p"]["p"] > limit_of(x["p"]["family"], limits))
     every = F.array_sort(F.concat("base", _kind(chosen, 3)))
 
     def text(spans: Column | str) -> Column:

@@ -365,3 +365,24 @@ def test_step_up_limit_is_exact(spark):
         assert sorted(p for p in ps if p <= limits[k]) == sorted(ps)[:last]
     assert sum(p <= limits[0] for p in values[0]) == 3
     assert secrets.rejection_limits(spark.createDataFrame([], "family int, p double")) == {}
+
+
+def test_random_keys_are_found_at_any_length_and_share(spark):
+    rng = random.Random(22)
+    syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "er", "ing", "o", "tion", "al", "is")]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.choice([2, 3])))
+    camel = lambda: "".join(word().title() for _ in range(5))
+    slug = lambda: "-".join([*(word() for _ in range(5)), str(rng.randrange(2000, 2030))])
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    mixed, free = secrets.ALPHABETS[64][:62], secrets.ALPHABETS[64][:52]
+    kinds = [(mixed, 24, 100), (mixed, 40, 100), (mixed, 64, 100), (free, 40, 60), (secrets.ALPHABETS[32], 40, 60)]
+    rows = [(f"{i} {n}", key(letters, n)) for i, (letters, n, count) in enumerate(kinds) for _ in range(count)]
+    rows += [("prose", make()) for make in (camel, slug) for _ in range(1500)]
+    table = docs(spark, [(i, f"see {t} there", "en") for i, (_, t) in enumerate(rows)])
+    found, total = Counter(), Counter(name for name, _ in rows)
+    for r in secrets.find_secrets(table).collect():
+        found[rows[r.doc_id][0]] += r.n_random
+    share = {name: found[name] / n for name, n in total.items()}
+    assert all(x >= 0.93 for name, x in share.items() if name != "prose") and share["prose"] < 0.1
+    line = docs(spark, [(1, "=" * 60, "en"), (2, "-" * 60, "en"), (3, "Az" + "=" * 30, "en"), (4, "1234567890" * 3, "en")])
+    assert {r.n_random for r in secrets.find_secrets(line).collect()} == {0}
