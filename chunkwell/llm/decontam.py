@@ -3,7 +3,7 @@
 Words are blank-separated, in lower case; shingles are five words, or a shorter item whole.  Every
 window of a document with as many words as some item, and at least one shingle of some item of
 that size (any other has similarity 0), has a 64-bit SimHash over its shingles, each weighted by
-how often it occurs.  Fingerprints are looked up in a multi-index: a fingerprint is cut into BLOCKS
+how often it occurs; a document of fewer words than an item is one window, whole.  Fingerprints are looked up in a multi-index: a fingerprint is cut into BLOCKS
 blocks, and a table for each block lists the items by every value within RADIUS // BLOCKS bits of
 the item's, so by pigeonhole no item within RADIUS bits is missed.  A pair within RADIUS is then
 verified by the weighted Jaccard similarity of its shingles, the sum of lesser over the sum of
@@ -135,11 +135,10 @@ class Index:
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 t, one = int(text[i]), self.families[family[i]]
                 a, b = int(ptr[t]), int(ptr[t + 1])
-                if one.words <= b - a:
-                    yield from self._text(t, one, grams[a : b - size + 1], at[i:j] - a)
+                yield from self._text(t, one, grams[a : b - size + 1], at[i:j] - a)
 
     def _text(self, t: int, family: Family, own: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
-        n = family.shingles
+        n = min(family.shingles, len(own))
         cover = np.zeros(len(own) + 1, dtype=np.int64)
         np.add.at(cover, np.maximum(hits - n + 1, 0), 1)
         np.add.at(cover, np.minimum(hits + 1, len(own)), -1)
@@ -153,7 +152,7 @@ class Index:
             prints = _seal(sums[part - low + n] - sums[part - low])
             for row, item in zip(*family.candidates(prints), strict=True):
                 start = int(part[row])
-                if shared[start] < SIMILARITY * (2 * n - shared[start]):
+                if shared[start] < SIMILARITY * (n + family.shingles - shared[start]):
                     continue  # it cannot have more shingles in common than stand in the window
                 value = weighted_similarity(family.bags[item], np.unique(own[start : start + n], return_counts=True))
                 if value >= SIMILARITY and value > best.get(int(item), (0.0, 0))[0]:

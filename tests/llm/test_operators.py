@@ -386,3 +386,29 @@ def test_random_keys_are_found_at_any_length_and_share(spark):
     assert all(x >= 0.93 for name, x in share.items() if name != "prose") and share["prose"] < 0.1
     line = docs(spark, [(1, "=" * 60, "en"), (2, "-" * 60, "en"), (3, "Az" + "=" * 30, "en"), (4, "1234567890" * 3, "en")])
     assert {r.n_random for r in secrets.find_secrets(line).collect()} == {0}
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(23)
+    items = [(k, prose(rng, n)) for k, n in enumerate([38, 38, 8, 7, 60, 5, 3])]
+    rows, expected = [], {}
+    for k, item in items:
+        own = item.split()
+        for cut in range(1, len(own)):
+            for text in (own[:-cut], own[cut:], [*own[: len(own) // 2], *own[len(own) // 2 + cut :]]):
+                rows.append((len(rows), " ".join(text), "en"))
+    for i, text, _ in rows:
+        for k, item in items:
+            a, b = words(text), words(item)
+            n = min(5, len(b))
+            bag = lambda x, n=n: Counter(tuple(x[j : j + n]) for j in range(len(x) - n + 1))
+            windows = [a] if len(a) < len(b) else [a[s : s + len(b)] for s in range(len(a) - len(b) + 1)]
+            both = [((bag(w) & bag(b)).total(), bag(w).total() + bag(b).total()) for w in windows]
+            best = max(x / (y - x) for x, y in both)
+            if best >= 0.75:
+                expected[i, k] = best
+    assert expected[0, 0] == 33 / 34 and {k for _, k in expected} == {0, 1, 2, 4}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.find_passages(docs(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in got} == pytest.approx(expected)
+    assert decontam.drop_contaminated(docs(spark, rows), bench).count() == len(rows) - len({i for i, _ in expected})
