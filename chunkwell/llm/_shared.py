@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +32,38 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing to the shared folder and reading back; lost executors lose nothing."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that `materialise` wrote and that no later plan reads; others stay."""
+    for table in tables:
+        path = _WRITTEN.pop(table, None)
+        if path is not None:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of this session end at about ARROW_BYTES; a longer row is a batch of its own.
+    """Let Arrow batches end at about ARROW_BYTES, if the session has no setting of its own; a longer row is a batch.
 
     Spark's default counts rows first, so batches of whole texts fill buffers of 64 MB in the JVM and
-    as much again in each worker.
+    as much again in each worker.  The setting stays: plans run after the operator returns.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, ARROW_BYTES)
 
 
 def remainder(doc_id: str | Column) -> Column:
@@ -82,6 +101,42 @@ def spread_join(rows: DataFrame, small: DataFrame, key: str, salt: Column, salts
     return salted.join(dealt, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left").drop("_salt", "_k", "_s")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of `df` has it."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def hash_sample(rows: DataFrame, total: int, most: int, *keys: str) -> DataFrame:
+    """At most `most` of `total` rows, chosen by a bound on a hash of their keys, in one partition.
+
+    The bound lies four deviations below the share asked for, so the limit after it cuts nothing but
+    rows that repeat a key.
+    """
+    if total > most:
+        share = max(1.0, most - 4 * most**0.5) / total
+        rows = rows.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return rows.limit(most)
+
+
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object | None:
+    """What `fit` makes of a bounded table of one partition, in a task: only that reaches the driver; None without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            value = pickle.dumps(fit(pa.Table.from_batches(held)))
+            yield pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], names=["value"])
+            release_memory()
+
+    got = rows.mapInArrow(run, "value binary").collect()
+    return pickle.loads(got[0]["value"]) if got else None
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -167,7 +222,12 @@ def split_words(array: pa.Array, fold: bool = True) -> Words:
         first[edge] = inside[edge]
         last[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    table, total = _TABLES[fold], np.zeros(len(start), dtype=np.uint64)
+    return Words(raw, offsets, start, end, span_hashes(raw, start, end, _TABLES[fold]), np.searchsorted(start, offsets))
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = _TABLES[False]) -> np.ndarray:
+    """64-bit hashes of ascending spans of bytes that do not overlap; `table` has a number for each byte value."""
+    total = np.zeros(len(start), dtype=np.uint64)
     carry, scale = np.uint64(0), 1
     step = pow(int(_MULT), BLOCK, 1 << 64)
     for a in range(0, len(raw), BLOCK):
@@ -183,7 +243,7 @@ def split_words(array: pa.Array, fold: bool = True) -> Words:
         i, j = np.searchsorted(end, (a + 1, a + len(part) + 1))
         total[i:j] += sums[end[i:j] - a]
         carry, scale = sums[-1], scale * step % (1 << 64)
-    return Words(raw, offsets, start, end, mix64(total * _inverse_at(start)), np.searchsorted(start, offsets))
+    return mix64(total * _inverse_at(start))
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -234,16 +294,22 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- binary files
 
 
-def write_blobs(rows: DataFrame, path: str, end: int = 0x0A) -> None:
-    """Write binary column `value` as raw bytes, a file a partition, each row followed by the byte `end`.
+def write_blobs(rows: DataFrame, path: str, end: int = 0x0A, most: int = 32) -> None:
+    """Write binary column `value` as raw bytes, each row followed by the byte `end`; files of at most `most` rows.
 
     Spark's own committer writes the files, so any store that Spark can write will do and a lost or
     repeated task leaves no trace.  Formats written so must give that byte a place after each row.
     """
-    writer = rows.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", chr(end))
+    writer = rows.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", chr(end)).option("maxRecordsPerFile", most)
     writer.text(path)
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     """The files below `path`: path string, content binary."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def file_order(path: Column) -> Column:
+    """Numbers that order the files of one write: of the partition, then of the file within it."""
+    number = lambda pattern: F.regexp_extract(path, pattern, 1).cast("long")
+    return F.struct(number(r"part-(\d+)").alias("part"), number(r"-c(\d+)\.").alias("file"))

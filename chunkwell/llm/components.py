@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm._shared import is_empty, materialise
+from chunkwell.llm._shared import discard, is_empty, materialise
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -26,6 +26,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         found = step.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("label"))
         found = materialise(found, "labels")
-        labels = found.select("node", "label")
+        discard(labels)
+        labels = found
         if is_empty(found.where(F.col("old") != F.col("label"))):
+            discard(both)
             return labels
