@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm._shared import Words, held_out, slices, split_words
+from chunkwell.llm._shared import Words, hash_sample, held_out, slices, split_words
 
 CACHED_WORDS = 200_000
 
@@ -22,46 +22,46 @@ def bucket(kind: str, text: str, buckets: int) -> int:
 
 
 class WordFeatures:
-    """Feature rows of words; at most CACHED_WORDS are kept between texts."""
+    """Rows of numbers of words, made once for each distinct word; at most CACHED_WORDS are kept between texts."""
 
-    def __init__(self, width: int, make: Callable[[str], list[int]]) -> None:
-        self.width, self.make = width, make
+    def __init__(self, width: int, make: Callable[[list[str]], np.ndarray], dtype: type = np.int32) -> None:
+        self.make = make
         self.index: dict[int, int] = {}
-        self.rows = np.zeros((1024, width), dtype=np.int32)
+        self.rows = np.zeros((1024, width), dtype=dtype)
 
     def of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each word among the distinct ones, and their feature rows."""
+        """The number of each word among the distinct ones, and the rows of these."""
         if len(self.index) > CACHED_WORDS:
             self.index = {}
         codes, at = self._places(words)
         return codes.astype(np.int64), self.rows[at]
 
     def keep(self, words: Words) -> np.ndarray:
-        """The row of each word in `rows`; nothing is forgotten, so only for bounded samples."""
+        """The place of each word in `rows`; nothing is forgotten, so only for bounded samples."""
         codes, at = self._places(words)
         return at[codes].astype(np.int32)
 
     def _places(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         codes, distinct = pd.factorize(words.hash)
-        first = np.zeros(len(distinct), dtype=np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        index, at = self.index, np.empty(len(distinct), dtype=np.int64)
-        for i, h in enumerate(distinct.tolist()):
-            k = index.get(h)
-            if k is None:
-                k = index[h] = len(index)
-                if k >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                row = self.make(words.text(int(first[i])))[: self.width]
-                self.rows[k] = row + [0] * (self.width - len(row))
-            at[i] = k
+        index = self.index
+        at = np.array([index.get(h, -1) for h in distinct.tolist()], dtype=np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            first = np.zeros(len(distinct), dtype=np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            at[new] = np.arange(len(index), len(index) + len(new))
+            index.update(zip(distinct[new].tolist(), at[new].tolist(), strict=True))
+            while len(self.rows) < len(index):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[at[new]] = self.make([words.text(k) for k in first[new].tolist()])
         return codes, at
 
 
-def sample(documents: DataFrame, label: Column, most: int) -> DataFrame:
-    """At most `most` rows (text, label) that may be learnt from, with a label, in order of a hash of the id."""
-    rows = documents.where(~held_out("doc_id")).select("text", label.alias("label"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g"))
-    return rows.where("label is not null and text is not null").orderBy("h", "g").limit(most).select("text", "label")
+def sample(documents: DataFrame, label: str, most: int) -> DataFrame:
+    """At most `most` rows (text, label) that may be learnt from, with a label, chosen by a hash of the id."""
+    rows = documents.where(~held_out("doc_id")).where(F.col(label).isNotNull())
+    found = hash_sample(rows.select("doc_id", "text", F.col(label).cast("string").alias("label")).where("text is not null"), rows.count(), most, "doc_id")
+    return found.select("text", "label")
 
 
 def word_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chunkwell.llm import decontam, langid, linededup, minhash, mixing, secrets, topk, toxicity, warc, wavelet
@@ -283,8 +285,25 @@ def test_forward_backward_equals_enumeration():
         for a, b in zip(path, path[1:], strict=False):
             expected[a, b] += w
     mass = total[0].sum()
-    mean, pairs = langid.forward_backward(e, np.array([0]), np.array([5]), moves, pairs=True)
-    assert np.allclose(mean, total / mass) and np.allclose(pairs, expected / mass)
+    for block in (1, 2, 3, 5, 256):
+        mean, pairs = langid.forward_backward(e, np.array([0, 5]), moves, pairs=True, block=block)
+        assert np.allclose(mean, total / mass) and np.allclose(pairs, expected / mass)
+
+
+def test_blocks_change_nothing():
+    rng = np.random.default_rng(18)
+    ptr = np.concatenate(([0], np.cumsum(rng.integers(0, 40, 30))))
+    e, moves = np.exp(3 * rng.normal(size=(ptr[-1], 4))), rng.normal(size=(4, 4))
+    whole = langid.forward_backward(e, ptr, moves, pairs=True, block=1000)
+    for block in (1, 7, 16):
+        assert all(np.allclose(a, b) for a, b in zip(whole, langid.forward_backward(e, ptr, moves, pairs=True, block=block), strict=True))
+
+
+def test_word_features_cover_every_byte():
+    features = langid.Features({"der": 1})
+    ids, owner = features(["der", "...", "Über-Maß9", "a" * 50 + "b" + "c" * 50])
+    assert np.bincount(owner, minlength=4).tolist() == [1 + 1 + 6 + 2 + 1, 0, 1 + 6 + 8 + 7, 1 + 6 + 100 + 99]
+    assert (features(["..."])[0].size, features([])[0].size) == (0, 0) and ids.max() < langid.BUCKETS
 
 
 def test_encoder_equals_the_library():
@@ -295,6 +314,49 @@ def test_encoder_equals_the_library():
     assert ids.tolist() == sum(expected, []) and lengths.tolist() == list(map(len, expected))
 
 
+_ALPHABET = list("abzABZ059 \n\t\r.,'!%-_<|>é×÷ßĀɏɐ²µ€’\u00a0\u3000中😀\u0301\u200b") + [" the", " don't", "'s", "  ", "<|endoftext|>", " Überß"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_ALPHABET), max_size=25).map("".join), min_size=1, max_size=6))
+def test_encoder_equals_the_library_on_any_text(texts):
+    enc = wavelet.encoder(tokenizer_path())
+    ids, lengths = enc.encode(pa.array(texts))
+    expected = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(expected, []) and lengths.tolist() == list(map(len, expected))
+
+
+def test_encoder_forgets_pieces_and_stays_right(monkeypatch):
+    monkeypatch.setattr(wavelet, "CACHED_PIECES", 50)
+    enc, rng = wavelet.Encoder(tokenizer_path()), random.Random(31)
+    for _ in range(8):
+        texts = [" ".join("".join(rng.choice("abcéß") for _ in range(rng.randrange(1, 7))) for _ in range(40)) for _ in range(3)]
+        ids, _ = enc.encode(pa.array(texts))
+        assert ids.tolist() == sum((enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts), [])
+
+
+def test_token_file_reads_only_what_it_needs():
+    rng, levels = np.random.default_rng(4), 16
+    parts = [rng.integers(0, 50_257, n).astype(np.uint16) for n in (700_001, 5, 300_000)]
+    parts[0][::1000] = 7
+    content = b"".join(wavelet.pack(np.arange(2), np.array([3, len(p) - 3]), p, levels) + b"\n" for p in parts)
+    whole, taken = np.concatenate(parts), []
+    file = wavelet.TokenFile(lambda at, n: taken.append(n) or content[at : at + n], len(content))
+    assert len(file) == len(whole)
+    assert [file.access(i) for i in (0, 700_000, 700_001, 700_006, 1_000_005)] == whole[[0, 700_000, 700_001, 700_006, 1_000_005]].tolist()
+    places = np.flatnonzero(whole == 7)
+    assert file.count(7) == len(places) and (file.occurrences(7) == places).all()
+    assert [file.select(7, n) for n in (0, 699, len(places) - 1)] == places[[0, 699, -1]].tolist()
+    assert file.count(65_535) == 0 == file.count(1 << 20) and not len(file.occurrences(65_535))
+    for bad in (lambda: file.access(len(whole)), lambda: file.select(7, len(places)), lambda: file.select(7, -1)):
+        with pytest.raises(IndexError):
+            bad()
+    taken.clear()
+    file.access(345_678)
+    assert sum(taken) < len(content) / 2 and len(taken) <= 2 * levels
+    assert len(wavelet.TokenFile.of(b"")) == 0
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(1).integers(0, 90, 9000).astype(np.uint16)
     matrix = wavelet.WaveletMatrix.build(ids, 16)
