@@ -7,7 +7,7 @@ each chunk makes every such pair meet under at least one key.  At a similarity o
 defaults, a pair has more than 31 of 64 differing symbols about once in 100,000 pairs.
 
 Pairs that meet are confirmed on their full shingle sets, unless an exact bound from the parities of
-bucketed shingle counts already refutes them.  No group is ever expanded into pairs:
+bucketed shingle counts already refutes them; nothing else rejects.  No group is ever expanded into pairs:
 documents with equal sets are one node; every node is first compared with the smallest node of the
 key it shares most; then, under keys whose nodes still lie in different components, twice with its
 nearest node of another component; then all remaining pairs across components are compared there, in
@@ -16,7 +16,8 @@ are those of all links.
 
 Defined results: text null, empty or blank has no shingles and is linked with nothing; rows with
 equal text share a component; a null doc_id has a null component and is kept; rows that share a
-doc_id keep a row each; further columns of the input are ignored.
+doc_id keep a row each; further columns of the input are ignored.  A very long text is a slice of
+its own: a task holds about a hundred bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from chunkwell.llm._shared import (
     Words,
     bound_batches,
+    discard,
+    free_names,
     gram_hashes,
     is_empty,
     materialise,
@@ -47,13 +50,12 @@ from chunkwell.llm.components import connected_components
 
 WORDS, SIMILARITY = 5, 75
 SYMBOLS, CHUNKS, ERRORS = 64, 16, 1
-#: Further one-byte minima only reject: at the similarity sought, 96 of all 256 minima differ about twice in a million.
-EXTRA, MOST_DIFFER = 192, 96
 #: A bit for each of this many buckets of shingles tells whether the bucket's count is odd.
 PARITY = 2048
 CELL = 2048
+#: Bits of the filter that spares documents of no pair: 512 bitmaps of 4 KB.
 FILTER_BITS = 1 << 24
-_SEEDS = mix64(np.arange(1, 2 * (SYMBOLS + EXTRA) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix64(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingle_sets(words: Words, size: int = WORDS) -> list[np.ndarray]:
@@ -71,24 +73,20 @@ def shingle_sets(words: Words, size: int = WORDS) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row for each set, none empty: 16 bits of `SYMBOLS` minima, 8 bits of `EXTRA` minima, parities, set size."""
+    """A row for each set, none empty: 16 bits of each of SYMBOLS minima, parities, set size."""
     length = np.array([len(s) for s in sets])
     flat, first = np.concatenate(sets), np.concatenate(([0], np.cumsum(length)[:-1]))
     main = np.empty((len(sets), SYMBOLS), dtype=np.uint16)
-    extra = np.empty((len(sets), EXTRA), dtype=np.uint8)
-    for k in range(SYMBOLS + EXTRA):
+    for k in range(SYMBOLS):
         least = mix64(np.minimum.reduceat((flat ^ _SEEDS[2 * k]) * (_SEEDS[2 * k + 1] | np.uint64(1)), first))
-        if k < SYMBOLS:
-            main[:, k] = (least & np.uint64(0xFFFF)).astype(np.uint16)
-        else:
-            extra[:, k - SYMBOLS] = (least & np.uint64(0xFF)).astype(np.uint8)
+        main[:, k] = (least & np.uint64(0xFFFF)).astype(np.uint16)
     odd = np.empty((len(sets), PARITY // 8), dtype=np.uint8)
     for at in range(0, len(sets), 256):
         size = length[at : at + 256]
         bucket = (flat[first[at] : first[at] + size.sum()] % np.uint64(PARITY)).astype(np.int64) + np.repeat(np.arange(len(size)) * PARITY, size)
         counts = np.bincount(bucket, minlength=len(size) * PARITY).reshape(len(size), PARITY)
         odd[at : at + 256] = np.packbits(counts & 1 == 1, axis=1)
-    return np.concatenate([main.view(np.uint8).reshape(len(sets), -1), extra, odd, length.astype("<i8").view(np.uint8).reshape(len(sets), 8)], axis=1)
+    return np.concatenate([main.view(np.uint8).reshape(len(sets), -1), odd, length.astype("<i8").view(np.uint8).reshape(len(sets), 8)], axis=1)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,43 +136,45 @@ class Signatures:
     """The parts of some signatures, a row each."""
 
     main: np.ndarray
-    extra: np.ndarray
     odd: np.ndarray
     size: np.ndarray
 
     def __getitem__(self, at: np.ndarray) -> Signatures:
-        return Signatures(self.main[at], self.extra[at], self.odd[at], self.size[at])
+        return Signatures(self.main[at], self.odd[at], self.size[at])
 
 
 def _matrix(column: pa.Array) -> Signatures:
-    cuts = np.cumsum([0, 2 * SYMBOLS, EXTRA, PARITY // 8, 8])
+    cuts = np.cumsum([0, 2 * SYMBOLS, PARITY // 8, 8])
     rows = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), cuts[-1])
-    main, extra, odd, size = (np.ascontiguousarray(rows[:, i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True))
-    return Signatures(main.view(np.uint16), extra, odd.view(np.uint64), size.view("<i8")[:, 0])
+    main, odd, size = (np.ascontiguousarray(rows[:, i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True))
+    return Signatures(main.view(np.uint16), odd.view(np.uint64), size.view("<i8")[:, 0])
+
+
+def _least_apart(left: Signatures, right: Signatures) -> np.ndarray:
+    """A lower bound of the size of the symmetric difference of two sets.
+
+    Every odd bucket of the symmetric difference holds a shingle that one set lacks, so their number
+    bounds it, as the difference of the sizes does.
+    """
+    odd = np.bitwise_count(left.odd ^ right.odd).sum(axis=1, dtype=np.int64)
+    return np.maximum(odd, np.abs(left.size - right.size))
 
 
 def _may_reach(left: Signatures, right: Signatures) -> np.ndarray:
     """False only where the sets cannot be similar enough.
 
-    Every odd bucket of the symmetric difference holds a shingle that one set lacks, so their number
-    bounds the symmetric difference d from below, as the difference of the sizes does.  A similarity
-    of SIMILARITY percent means (100 + SIMILARITY) * d <= (100 - SIMILARITY) * (sum of the sizes).
+    With d the size of the symmetric difference, a similarity of SIMILARITY percent or more means
+    (100 + SIMILARITY) * d <= (100 - SIMILARITY) * (sum of the sizes).
     """
-    least = np.bitwise_count(left.odd ^ right.odd).sum(axis=1, dtype=np.int64)
-    least = np.maximum(least, np.abs(left.size - right.size))
-    return (100 + SIMILARITY) * least <= (100 - SIMILARITY) * (left.size + right.size)
+    return (100 + SIMILARITY) * _least_apart(left, right) <= (100 - SIMILARITY) * (left.size + right.size)
 
 
-def _alike(left: Signatures, right: Signatures, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs (left[p], right[q]) those that the keys guarantee and nothing rejects: p, q and distance."""
-    differ = (left.main[p] != right.main[q]).sum(axis=1)
-    near = differ < CHUNKS * (ERRORS + 1)
-    p, q, differ = p[near], q[near], differ[near]
+def _alike(left: Signatures, right: Signatures, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (left[p], right[q]) all that the keys guarantee but for those that an exact bound refutes."""
+    near = (left.main[p] != right.main[q]).sum(axis=1) < CHUNKS * (ERRORS + 1)
+    p, q = p[near], q[near]
     near = _may_reach(left[p], right[q])
-    p, q, differ = p[near], q[near], differ[near]
-    differ = differ + (left.extra[p] != right.extra[q]).sum(axis=1)
-    near = differ <= MOST_DIFFER
-    return p[near], q[near], differ[near]
+    return p[near], q[near]
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 8192):
             part = batch.slice(at, 8192)
             every = np.arange(part.num_rows)
-            near, _, _ = _alike(_matrix(part.column("sign_a")), _matrix(part.column("sign_b")), every, every)
+            near, _ = _alike(_matrix(part.column("sign_a")), _matrix(part.column("sign_b")), every, every)
             yield part.take(pa.array(near)).select(["a", "b"])
         release_memory()
 
@@ -232,9 +232,9 @@ def _cell(held: list[pa.RecordBatch], nearest: bool) -> pa.RecordBatch:
         if a == b and not nearest:
             across &= node[i][:, None] < node[right][None, :]
         x, y = np.nonzero(across)
-        p, q, differ = _alike(signs, signs, i[x], right[y])
+        p, q = _alike(signs, signs, i[x], right[y])
         if nearest:
-            order = np.lexsort((node[q], differ, p))
+            order = np.lexsort((node[q], _least_apart(signs[p], signs[q]), p))
             pick = order[np.unique(p[order], return_index=True)[1]]
         else:
             pick = np.flatnonzero(_first_key(signs.main[p], signs.main[q]) == key >> 16 * (SYMBOLS // CHUNKS - ERRORS))
@@ -243,55 +243,71 @@ def _cell(held: list[pa.RecordBatch], nearest: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _bitset(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size over ids: at most FILTER_BITS / 32 words reach the driver."""
-    bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("bit"))
-    words = bits.selectExpr("bit div 32 as w", "shiftleft(1L, bit % 32) as v")
-    found = words.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
-    out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    out[found["w"].to_numpy(dtype=np.int64)] = found["v"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return out
+def _wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be among `ids`: a filter of FILTER_BITS bits, sent to the rows as bitmaps."""
+    bit = lambda name: F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    part = F.bitmap_construct_agg(F.bitmap_bit_position(bit("id"))).alias("_bits")
+    bits = ids.groupBy(F.bitmap_bucket_number(bit("id")).alias("_bucket")).agg(part)  # at most 512 rows of 4 KB
+    at = F.bitmap_bit_position(bit("doc_id"))
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(bit("doc_id")) == F.col("_bucket"))
+    return joined.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            found = shingle_sets(split_words(batch.column("text")))
+            flat = np.concatenate(found).view(np.int64)
+            at = np.concatenate(([0], np.cumsum([len(s) for s in found]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "grams"])
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of doc ids whose full shingle sets are similar enough."""
+    """Pairs (a, b) of doc ids whose full shingle sets are similar enough, written.
+
+    A set goes to the pairs of its document in as many parts as their hashes have, so a document of
+    very many pairs meets them in many tasks.
+    """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    bits = docs.sparkSession.sparkContext.broadcast(_bitset(ids))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            bit = whole.column("bit").to_numpy(zero_copy_only=False)
-            wanted = (bits.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1)
-            whole = whole.filter(pa.array(wanted.astype(bool)))
-            for batch in slices(whole, "text"):
-                found = shingle_sets(split_words(batch.column("text")))
-                flat = np.concatenate(found).view(np.int64)
-                at = np.concatenate(([0], np.cumsum([len(s) for s in found]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "grams"])
-
-    wanted = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
-    full = materialise(wanted.mapInArrow(sets, "id long, grams array<long>"), "sets")
-    left = full.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
-    right = full.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
+    wanted = _wanted(docs.where("doc_id is not null").select("doc_id", "text"), ids)
+    full = materialise(wanted.mapInArrow(_sets, "id long, grams array<long>"), "sets")
+    side = lambda n: full.select(F.col("id").alias(n), F.col("grams").alias(f"grams_{n}"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - both
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= union * SIMILARITY).select("a", "b").distinct()
+    joined = spread_join(spread_join(pairs, side("a"), "a", F.xxhash64("b")), side("b"), "b", F.xxhash64("a"))
+    found = materialise(joined.where(both * 100 >= union * SIMILARITY).select("a", "b").distinct(), "confirmed")
+    discard(full)
+    return found
 
 
 def _apart(shared: DataFrame, labels: DataFrame, signs: DataFrame, nearest: bool) -> DataFrame:
-    """Alike pairs across components under keys whose nodes are not yet in one component."""
-    named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """Alike pairs across components under keys whose nodes are not yet in one component, written.
+
+    The nodes of a key are cut into blocks of about CELL.  Those of the component that has most of
+    them stand in blocks of their own, which are compared with the other blocks only, so beside one
+    large component a few other nodes cost a pass over it and not its square.
+    """
+    named = shared.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialise(named, "labelled")
-    apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    members = named.join(materialise(apart, "apart"), "key", "left_semi").join(signs, "node")
-    members = members.withColumn("cells", F.ceil(F.col("n") / CELL).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
+    apart = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    apart = materialise(apart.select("key", F.col("top.size").alias("top_size"), F.col("top.label").alias("top_label")), "apart")
+    members = named.join(apart, "key").join(signs, "node")
+    cells = lambda size: F.ceil(size / CELL).cast("int")
+    small, top = F.col("n") <= CELL, F.col("label") == F.col("top_label")
+    rest, most = cells(F.col("n") - F.col("top_size")), cells(F.col("top_size"))
+    spread = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
+    block = F.when(small, 0).when(top, rest + spread(most)).otherwise(spread(rest))
+    last = F.when(small, 0).when(top, rest - 1).otherwise(rest + most - 1)
+    members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     members = members.select(
         "key", F.least("block", "other").alias("cell_a"), F.greatest("block", "other").alias("cell_b"), "block", "node", "label", "signature"
     )
     dealt = members.repartition("key", "cell_a", "cell_b").sortWithinPartitions("key", "cell_a", "cell_b")
-    return dealt.mapInArrow(_within(nearest), "a long, b long").distinct()
+    found = materialise(dealt.mapInArrow(_within(nearest), "a long, b long").distinct(), "pairs")
+    discard(named, apart)
+    return found
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -312,21 +328,27 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     pairs = best.select(F.col("hub").alias("a"), F.col("node").alias("b"))
     pairs = pairs.join(signs.toDF("b", "sign_b"), "b").join(signs.toDF("a", "sign_a"), "a")
     pairs = materialise(pairs.mapInArrow(_close, "a long, b long").distinct(), "pairs")
-    links = materialise(confirm(docs, pairs), "confirmed")
+    links = confirm(docs, pairs)
     labels = connected_components(links)
 
-    tested = pairs
+    tested, written = pairs, [pairs, links]
     for nearest in (True, True, False):
-        found = materialise(_apart(shared, labels, signs, nearest).join(tested, ["a", "b"], "left_anti"), "pairs")
+        every = _apart(shared, labels, signs, nearest)
+        found = materialise(every.join(tested, ["a", "b"], "left_anti"), "pairs")
+        discard(every)
+        written.append(found)
         if is_empty(found):
             continue
         tested = tested.union(found)
-        again = materialise(confirm(docs, found), "confirmed")
+        again = confirm(docs, found)
+        written.append(again)
         if not is_empty(again):
-            links = links.union(again)
+            links, before = links.union(again), labels
             labels = connected_components(links)
+            discard(before)
+    discard(buckets, shared, *written)
 
-    named = nodes.select("set_id", "node").join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("component"))
+    named = nodes.select("set_id", "node").join(labels.select("node", "label"), "node", "left").select("set_id", F.coalesce("label", "node").alias("component"))
     out = spread_join(rows.select("doc_id", "n_shingles", "set_id"), named, "set_id", F.xxhash64("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "doc_id"), "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -335,8 +357,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def one_of_each_group(documents: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each group the row with the smallest doc_id stays.
 
-    Equal rows of one doc_id leave one; documents without words, or without doc_id, all stay.
+    Rows equal in doc_id and text leave one of them; documents without words, or without doc_id, all
+    stay; further columns pass whatever their names.
     """
-    kept = near_duplicates(documents).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    stay = documents.join(kept, documents.doc_id.eqNullSafe(F.col("_id")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "text"])
+    key, own = free_names(documents, "_id", "_own")
+    kept = near_duplicates(documents).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    stay = documents.join(kept, documents.doc_id.eqNullSafe(F.col(key)), "left_semi")
+    stay = stay.withColumn(own, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return stay.dropDuplicates(["doc_id", "text", own]).select(*documents.columns)
