@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm._shared import bound_batches, gram_hashes, materialise, ranges, slices, split_words
+from chunkwell.llm._shared import bound_batches, free_names, gram_hashes, materialise, ranges, slices, split_words
 
 WORDS, SIMILARITY = 5, 0.75
 BITS, RADIUS, BLOCKS = 64, 28, 8
@@ -197,5 +197,6 @@ def find_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark passage; a row with a null doc_id goes if such a row holds one."""
-    hit = materialise(find_passages(documents, benchmark).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return documents.join(hit, documents.doc_id.eqNullSafe(F.col("_id")), "left_anti")
+    (key,) = free_names(documents, "_id")
+    hit = materialise(find_passages(documents, benchmark).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return documents.join(hit, documents.doc_id.eqNullSafe(F.col(key)), "left_anti")

@@ -1,12 +1,14 @@
 """Document rates that mix soft domains to target token weights; DataFrame functions only.
 
 A naive Bayes classifier over hashed words learns the domain of documents that the labelled table
-covers (at most TRAIN_ROWS of them, in order of a hash of the id) and gives every document a
+covers (at most TRAIN_ROWS of them, by a hash of the id) and gives every document a
 posterior over the domains.  With n_i words and posterior p_i, rates r_i >= 0 minimise the squared
 relative errors of the expected domain totals sum_i r_i n_i p_i against the targets, by projected
 gradient steps from r = 1: each step is one distributed sum of a number for each domain, and a
 column expression for every document.  Scaled by the domains' shares the problem has a Lipschitz
-constant of 1, so a step of 1 is safe.
+constant of 1, so a step of 1 is safe.  Steps go on until every total is within TOLERANCE of its
+target or no longer moves; a warning tells if STEPS of them were not enough.  Tokens are
+blank-separated words.
 
 The total asked for is the least that keeps the most plentiful domain, measured by its target
 weight, at about its present size: scarce domains are repeated and no domain is cut.  A document is
@@ -17,22 +19,25 @@ The query's domains are the languages of `lang`: a source of these tables says n
 Defined results: rows that share a doc_id are one document (words add up, one rate); text null or
 blank has the prior as posterior and no words; without labelled rows, or with one domain, every
 rate is 1; a null domain is learnt from nothing but has a posterior; targets name learnt domains, a
-domain without a target has weight 0; with words in no targeted domain every rate stays 1.
+domain without a target has weight 0; with words in no targeted domain every rate stays 1; further
+columns pass through `mixed_documents` whatever their names.  A very long text is one row's array of
+words, so a task holds a few times its bytes.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm._shared import materialise
+from chunkwell.llm._shared import discard, free_names, hash_sample, materialise
 
 TRAIN_ROWS = 4000
 BUCKETS = 4096
-STEPS, WRITE_EVERY, TOLERANCE = 24, 6, 1e-7
+STEPS, WRITE_EVERY, TOLERANCE = 600, 6, 1e-7
 #: Without given targets, weights are shares to this power, normalised.
 FLATTEN = 0.7
 
@@ -51,7 +56,7 @@ def _words(documents: DataFrame) -> DataFrame:
 def classifier(documents: DataFrame, labelled: DataFrame, domain: str) -> tuple[list[str], list[float], DataFrame | None]:
     """Domains, their shares of labelled documents, and (b, l0, l1, ...): log likelihoods of BUCKETS rows."""
     ids = labelled.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS)
+    ids = hash_sample(ids, ids.count(), TRAIN_ROWS, "_id")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(domain).cast("string").alias("domain")).where("domain is not null")
     rows = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")  # at most TRAIN_ROWS ids
     rows = materialise(rows, "labelled")
@@ -106,11 +111,23 @@ def _targets(totals: list[float], names: list[str], weights: Mapping[str, float]
     return [s * budget for s in share]
 
 
+class _Gap:
+    """Watches the greatest relative error of the totals: small enough, or the same for ten steps."""
+
+    def __init__(self, tolerance: float) -> None:
+        self.tolerance, self.last, self.still = tolerance, float("inf"), 0
+
+    def closed(self, now: float) -> bool:
+        self.still = self.still + 1 if now > self.last * (1 - 1e-6) else 0
+        self.last = min(now, self.last)
+        return now < self.tolerance or self.still >= 10
+
+
 def mix(documents: DataFrame, labelled: DataFrame, domain: str = "lang", weights: Mapping[str, float] | None = None) -> tuple[DataFrame, list[str], list[float]]:
     """(doc_id, n_tokens, p0, ..., rate, copies), the domains, and the targets of their tokens."""
     names, prior, table = classifier(documents, labelled, domain)
     rows = posteriors(documents, names, prior, table).withColumn("rate", F.lit(1.0))
-    rows = materialise(rows, "rates")
+    rows = rows_written = materialise(rows, "rates")
     targets: list[float] = []
     if len(names) > 1:
         every = range(len(names))
@@ -119,14 +136,20 @@ def mix(documents: DataFrame, labelled: DataFrame, domain: str = "lang", weights
         if size > 0:
             targets = _targets(totals, names, weights)
             share = [max(t / size, 1e-12) for t in totals]
-            for step in range(STEPS):
+            gap = _Gap(TOLERANCE)
+            for step in range(STEPS + 1):
                 error = [(a - t) / size for a, t in zip(_totals(rows, F.col("rate"), len(names)), targets, strict=True)]
-                if max(abs(e) / s for e, s in zip(error, share, strict=True)) < TOLERANCE:
+                if gap.closed(max(abs(e) / s for e, s in zip(error, share, strict=True))):
+                    break
+                if step == STEPS:
+                    warnings.warn(f"after {STEPS} steps domain totals are up to {gap.last:.2g} of a domain's share off their targets", stacklevel=2)
                     break
                 move = reduce(Column.__add__, [F.col(f"p{i}") * (error[i] / share[i]) for i in every])
                 rows = rows.withColumn("rate", F.greatest(F.col("rate") - move, F.lit(0.0)))
                 if step % WRITE_EVERY == WRITE_EVERY - 1:
-                    rows = materialise(rows, "rates")
+                    rows, before = materialise(rows, "rates"), rows_written
+                    discard(before)
+                    rows_written = rows
     part = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) / 1_000_000
     # a rate within a thousandth of a whole number is that number: the solver leaves such errors
     near = F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-3, F.round("rate")).otherwise(F.col("rate"))
@@ -147,6 +170,7 @@ def mixed_domains(documents: DataFrame, labelled: DataFrame, domain: str = "lang
 def mixed_documents(documents: DataFrame, labelled: DataFrame, domain: str = "lang", weights: Mapping[str, float] | None = None) -> DataFrame:
     """The documents, each repeated as often as its copies say."""
     rows, *_ = mix(documents, labelled, domain, weights)
-    copies = rows.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_n"))
-    joined = documents.join(copies, documents.doc_id.eqNullSafe(F.col("_id")))
-    return joined.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select(*[documents[c] for c in documents.columns])
+    key, count, copy = free_names(documents, "_id", "_count", "_copy")
+    copies = rows.where("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").cast("int").alias(count))
+    joined = documents.join(copies, documents.doc_id.eqNullSafe(F.col(key)))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(count)))).select(*documents.columns)
