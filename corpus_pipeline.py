@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkwell.llm import decontam, minhash, mixing, toxicity, wavelet
-from chunkwell.llm._shared import materialise
+from chunkwell.llm._shared import discard, materialise
 from chunkwell.llm.queries import END_ID, tokenizer_path
 
 #: SQL expresses none of the classifiers, sketches or files; the stages are tested on small tables.
@@ -47,10 +47,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply every stage in order; each stage's rows are written before the next reads them."""
+    """Apply every stage in order; each stage's rows are written before the next reads them, then those before go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs_before = docs
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialise(docs, name)
+            docs, before = materialise(docs, name), docs_before
+            discard(before)
+            docs_before = docs
     return docs
