@@ -137,6 +137,25 @@ def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object | None:
     return pickle.loads(got[0]["value"]) if got else None
 
 
+#: Bits of the filter of `sieved`: 512 bitmaps of 4 KB.
+FILTER_BITS = 1 << 24
+
+
+def sieved(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose `column` is not null and may be among the only column of `keys`, by a filter of FILTER_BITS bits.
+
+    The filter has a fixed size whatever the keys: with very many of them it lets more rows through.
+    """
+    bucket, bits = free_names(rows, "_bucket", "_bits")
+    bit = lambda name: F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    made = keys.toDF("_key").groupBy(F.bitmap_bucket_number(bit("_key")).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit("_key"))).alias(bits))
+    at = F.bitmap_bit_position(bit(column))
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn(f"{bucket}_", F.bitmap_bucket_number(bit(column))).where(F.col(column).isNotNull())
+    joined = found.join(F.broadcast(made), F.col(f"{bucket}_") == F.col(bucket))  # at most 512 rows
+    return joined.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -8,14 +8,18 @@ window from the run's first line.  So deleting repeated windows deletes repeated
 the lengths of their lines.  Two neighbouring lines that each hold MIN_WORDS words are a window too,
 for the blank lines between them.
 The least line hash of each window, the last of equals, is a fingerprint with its position; copies of
-a window share it.  Positions are joined by fingerprint; the windows around a position that occurs
-twice are each compared by the pair of their own hash and their fingerprint's (128 bits) with the
-first such window of the corpus.  Every line of a window that occurred before, in order of doc_id and
-line, is deleted.
+a window share it.  Only the fingerprints are joined, to find those at two positions or more.  Around
+each such position the match is extended both ways over the line hashes, to the ends of every window
+whose least line it is; what it extends to is compared, by the pair of its own hash and the
+fingerprint (128 bits), with its first occurrence in the corpus, so that no pairs of positions are
+made.  Extents that occurred before, in order of doc_id, text hash and line, run into one another
+where a longer run repeats, and all their lines are deleted.
 
 Lines are compared by their words, blanks aside.  Defined results: text null has no lines and stays
 null; a null doc_id comes first in order; rows equal in doc_id and text are one occurrence, and keep
-the same lines; blank lines within a deleted run go with it.
+the same lines; of different texts under one doc_id the one of lesser hash comes first; blank lines
+within a deleted run go with it; columns other than doc_id and text are ignored.  A very long text is
+a slice of its own: a task holds its lines and about a hundred bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm._shared import lookup_by_key, materialise, mix64, slices, split_words
+from chunkwell.llm._shared import bound_batches, discard, lookup_by_key, materialise, mix64, sieved, slices, split_words
 
 MIN_WORDS = 50
 _LINE, _WINDOW = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
@@ -40,20 +44,20 @@ def _powers(base: np.uint64, count: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def line_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, line number, number of words and hash of every line with words."""
-    lines = [x.split("\n") if x is not None else [] for x in texts]
-    count = np.array([len(x) for x in lines], dtype=np.int64)
-    text = np.repeat(np.arange(len(texts)), count)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    words = split_words(pa.array([y for x in lines for y in x], pa.large_string()), fold=False)
-    size = np.diff(words.ptr)
-    full = np.flatnonzero(size)
-    if not len(full):
-        return text[full], number[full], size[full], np.zeros(0, np.uint64)
-    place = np.arange(len(words.hash)) - np.repeat(words.ptr[:-1], size)
-    sums = np.add.reduceat(words.hash * _powers(_LINE, int(size.max()))[place], words.ptr[:-1][full])
-    return text[full], number[full], size[full], mix64(sums + size[full].astype(np.uint64))
+    words = split_words(texts, fold=False)
+    text = np.repeat(np.arange(len(texts)), np.diff(words.ptr))
+    breaks = np.flatnonzero(words.data == 0x0A)
+    line = np.searchsorted(breaks, words.start)
+    if not len(line):
+        return text, line, line, np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (line[1:] != line[:-1]))))
+    size = np.diff(np.append(first, len(line)))
+    place = np.arange(len(line)) - np.repeat(first, size)
+    sums = np.add.reduceat(words.hash * _powers(_LINE, int(size.max()))[place], first)
+    text = text[first]
+    return text, line[first] - np.searchsorted(breaks, words.offsets)[text], size, mix64(sums + size.astype(np.uint64))
 
 
 def windows(text: np.ndarray, size: np.ndarray, line: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,36 +82,55 @@ def windows(text: np.ndarray, size: np.ndarray, line: np.ndarray, least: int) ->
     return first, last, whole, low
 
 
-def _windows(least: int):  # noqa: ANN202
+def _slices(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple]:
+    """Batch, text, line numbers, line hashes, and the windows of a slice of documents."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            text, number, size, line = line_hashes(batch.column("text"))
+            yield batch, text, number, line, windows(text, size, line, least)
+
+
+def _marks(least: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for batch in slices(whole_batch, "text"):
-                text, number, size, line = line_hashes(batch.column("text").to_pylist())
-                first, last, whole, low = windows(text, size, line, least)
-                owner = pa.array(text[first])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(owner), batch.column("h").take(owner), pa.array(number[first]), pa.array(number[last]),
-                        pa.array(whole.view(np.int64)), pa.array(line[low].view(np.int64)), pa.array(number[low]),
-                    ],
-                    names=["doc_id", "h", "first_line", "last_line", "window", "mark", "mark_line"],
-                )
+        for batch, text, number, line, (*_, low) in _slices(batches, least):
+            low = np.unique(low)
+            owner = pa.array(text[low])
+            columns = [pa.array(line[low].view(np.int64)), batch.column("doc_id").take(owner), batch.column("h").take(owner), pa.array(number[low])]
+            yield pa.RecordBatch.from_arrays(columns, names=["mark", "doc_id", "h", "line"])
+
+    return run
+
+
+def _extents(least: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, text, number, line, (first, last, whole, low) in _slices(batches, least):
+            owner = pa.array(text[first])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(line[low].view(np.int64)), batch.column("doc_id").take(owner), batch.column("h").take(owner),
+                    pa.array(number[first]), pa.array(number[last]), pa.array(whole.view(np.int64)),
+                ],
+                names=["mark", "doc_id", "h", "first_line", "last_line", "window"],
+            )
 
     return run
 
 
 def repeated_windows(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, h (hash of the text), first_line, last_line of every window that occurred before."""
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    schema = "doc_id long, h long, first_line long, last_line long, window long, mark long, mark_line long"
-    every = materialise(rows.mapInArrow(_windows(least), schema), "windows")
     # fingerprints at two positions or more
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("h"), F.col("mark_line"))
-    marks = every.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("mark")
-    met = every.join(materialise(marks, "marks"), "mark", "left_semi")
-    order = F.struct(F.col("doc_id").alias("d"), F.col("first_line").alias("l"))
-    found = lookup_by_key(met.withColumn("_order", order), ["window", "mark"], F.xxhash64("doc_id", "first_line"), F.col("_order"), "_first")
-    return found.where(F.col("_order") > F.col("_first")).select("doc_id", "h", "first_line", "last_line")
+    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("h"), F.col("line"))
+    marks = rows.mapInArrow(_marks(least), "mark long, doc_id long, h long, line long").groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    marks = materialise(marks.where("a <> b").select("mark"), "marks")
+    extents = rows.mapInArrow(_extents(least), "mark long, doc_id long, h long, first_line long, last_line long, window long")
+    met = materialise(sieved(extents, "mark", marks), "extents")
+    order = F.struct(F.col("doc_id").alias("d"), F.col("h").alias("h"), F.col("first_line").alias("l"))
+    found = lookup_by_key(met.withColumn("_order", order), ["window", "mark"], F.xxhash64("doc_id", "h", "first_line"), F.col("_order"), "_first")
+    found = materialise(found.where(F.col("_order") > F.col("_first")).select("doc_id", "h", "first_line", "last_line"), "repeated")
+    discard(marks, met)
+    return found
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,6 +42,7 @@ from chunkwell.llm._shared import (
     materialise,
     mix64,
     release_memory,
+    sieved,
     slices,
     split_words,
     spread_join,
@@ -53,8 +54,6 @@ SYMBOLS, CHUNKS, ERRORS = 64, 16, 1
 #: A bit for each of this many buckets of shingles tells whether the bucket's count is odd.
 PARITY = 2048
 CELL = 2048
-#: Bits of the filter that spares documents of no pair: 512 bitmaps of 4 KB.
-FILTER_BITS = 1 << 24
 _SEEDS = mix64(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -243,17 +242,6 @@ def _cell(held: list[pa.RecordBatch], nearest: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id may be among `ids`: a filter of FILTER_BITS bits, sent to the rows as bitmaps."""
-    bit = lambda name: F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
-    part = F.bitmap_construct_agg(F.bitmap_bit_position(bit("id"))).alias("_bits")
-    bits = ids.groupBy(F.bitmap_bucket_number(bit("id")).alias("_bucket")).agg(part)  # at most 512 rows of 4 KB
-    at = F.bitmap_bit_position(bit("doc_id"))
-    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(bit("doc_id")) == F.col("_bucket"))
-    return joined.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -270,7 +258,7 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     very many pairs meets them in many tasks.
     """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    wanted = _wanted(docs.where("doc_id is not null").select("doc_id", "text"), ids)
+    wanted = sieved(docs.select("doc_id", "text"), "doc_id", ids)
     full = materialise(wanted.mapInArrow(_sets, "id long, grams array<long>"), "sets")
     side = lambda n: full.select(F.col("id").alias(n), F.col("grams").alias(f"grams_{n}"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))

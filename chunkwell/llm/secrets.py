@@ -1,19 +1,23 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests; DataFrame functions only.
 
 Base spans are the leftmost non-overlapping matches of three kinds (assign, access, hex) that are
-long enough.  Elsewhere, every run of RUN or more characters of the base64 alphabets that has a
+long enough.  Elsewhere, every run of RUN or more characters of the base64 alphabets, padding aside, that has a
 letter is a candidate.  Its encoding is inferred (hex 16, base32 32 or base64 64 letters), and it is
 tested three times for being random in that alphabet: a chi-squared test of uniform letters, a runs
 test of letters of the lower and upper half, and a test of serial correlation of letter numbers.
 Their least p-value times three (Bonferroni, so for any dependence) goes through the
-Benjamini-Hochberg step-up rule at level FDR, within the family of candidates of the same encoding
-and the same power of two of letters: short runs, on which the tests have less power, and long ones
-do not set each other's limit.  What the rule rejects is not random; what it leaves is a span of
-kind random.  The limit is never above FDR, so a random key of any length is lost with a chance of
-about FDR at most, whatever the other documents hold; that a span is a secret is not controlled.
+Benjamini-Hochberg step-up rule within the family of candidates of the same encoding and length class
+(RUN to 1.5 RUN letters, to 2 RUN, to 3 RUN and so on): short runs, on which the tests have less
+power, and long ones do not set each other's limit.  The rule's level is FDR, and for the shortest
+class FDR_SHORT, as there words look random more often.  What the rule rejects is not random; what it
+leaves is a span of kind random.  A family's limit is never above its level, so a random key is lost
+with a chance of about that at most, whatever the other documents hold; that a span is a secret is
+not controlled.
 
 Defined results: null or empty text has no span and the digest of no spans; each input row gives a
-row; rows that share a doc_id are scanned each on its own.
+row, repeated rows too; rows that share a doc_id are scanned each on its own; columns other than
+doc_id and text are ignored; runs of equal p-value share their fate.  A very long text is scanned
+whole, in time linear in its length; its matches are placed in runs of FOLD.
 """
 
 from __future__ import annotations
@@ -28,11 +32,11 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # a run is maximal, so shorter ones can go at once
-RUN = 24
-RUNS = r"[A-Za-z0-9+/_=-]{24,}"
-#: Letters of a candidate before its padding, at least; base32 has at most six characters of that.
-BARE = RUN - 6
-FDR = 0.01
+RUN = 16
+RUNS = r"[A-Za-z0-9+/_=-]{16,}"
+FDR, FDR_SHORT = 0.01, 0.1
+#: Matches of one text that are placed by one fold, so that its growing array stays short.
+FOLD = 512
 #: Fixed alphabets.
 ALPHABETS = {
     16: "0123456789abcdef",
@@ -41,30 +45,50 @@ ALPHABETS = {
 }
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Start, end (code points) and text of each match, from the lengths of the parts between."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    both = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+def _matches(rows: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """The other columns, and by name the matches (s, e in code points, hit) of each pattern, from the lengths of the parts between.
+
+    Each step is a projection of its own, so that no step computes again what the one before made.
+    """
+    rest = [c for c in rows.columns if c != text]
+    each = {n: (F.col(text).rlike(p), F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)) for n, p in patterns.items()}
+    rows = rows.select(*rest, *[F.when(c, f).alias(f"{n}_hits") for n, (c, f, _) in each.items()], *[F.when(c, f).alias(f"{n}_gaps") for n, (c, _, f) in each.items()])
     empty = F.array().cast("array<struct<s: int, e: int, hit: string>>")
 
     def step(done: Column, x: Column) -> Column:
         at = F.coalesce(F.try_element_at(done, F.lit(-1))["e"], F.lit(0)) + x["gap"]
         return F.concat(done, F.array(F.struct(at.alias("s"), (at + F.length(x["hit"])).alias("e"), x["hit"].alias("hit"))))
 
-    return F.when(text.rlike(pattern), F.aggregate(both, empty, step)).otherwise(empty)
+    def placed(n: str) -> Column:
+        """Runs of FOLD matches, each placed from where the run before ends."""
+        both = lambda a: F.zip_with(
+            F.slice(f"{n}_gaps", a, F.least(F.lit(FOLD), F.size(f"{n}_hits") - a + 1)), F.slice(f"{n}_hits", a, F.lit(FOLD)),
+            lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")),
+        )
+        starts = F.sequence(F.lit(1), F.size(f"{n}_hits"), F.lit(FOLD))
+        return F.when(F.col(f"{n}_hits").isNotNull(), F.transform(starts, lambda a: F.aggregate(both(a), empty, step)))
+
+    rows = rows.select(*rest, *[placed(n).alias(n) for n in patterns])
+
+    def moved(n: str) -> Column:
+        ends = F.aggregate(n, F.array(F.lit(0)), lambda done, part: F.concat(done, F.array(F.element_at(done, -1) + F.element_at(part, -1)["e"])))
+        by = lambda x, at: F.struct((x["s"] + at).alias("s"), (x["e"] + at).alias("e"), x["hit"].alias("hit"))
+        several = F.flatten(F.zip_with(n, F.slice(ends, F.lit(1), F.size(n)), lambda part, at: F.transform(part, lambda x: by(x, at))))
+        return F.when(F.size(n) > 1, several).when(F.size(n) == 1, F.element_at(n, 1)).otherwise(empty)
 
+    return rows.select(*rest, *[moved(n).alias(n) for n in patterns])
 
-def _kind(found: Column, order: int) -> Column:
+
+def _kind(found: Column | str, order: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("k"), x["e"].alias("e")))
 
 
-def base_spans(text: Column) -> Column:
-    """Spans (s, k, e) of the base kinds, by start, then kind as listed."""
+def base_spans(assign: str, access: str, hexadecimal: str) -> Column:
+    """Spans (s, k, e) of the base kinds, by start, then kind as listed, from the matches of their patterns."""
     long_value = rf"\A{ASSIGN}\z"
-    assign = F.filter(_matches(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["hit"], long_value, 2)) >= 8)
-    access = F.filter(_matches(text, ACCESS), lambda x: F.length(x["hit"]) >= 16)
-    return F.array_sort(F.concat(_kind(assign, 0), _kind(access, 1), _kind(_matches(text, HEX), 2)))
+    assigned = F.filter(assign, lambda x: F.length(F.regexp_extract(x["hit"], long_value, 2)) >= 8)
+    accessed = F.filter(access, lambda x: F.length(x["hit"]) >= 16)
+    return F.array_sort(F.concat(_kind(assigned, 0), _kind(accessed, 1), _kind(hexadecimal, 2)))
 
 
 #: Of the complementary error function by Chebyshev fitting (Numerical Recipes), highest power first.
@@ -118,15 +142,18 @@ def _tests(x: Column) -> Column:
     serial = F.aggregate(lagged, F.lit(0.0), lambda a, y: a + y) / F.greatest(spread, F.lit(1e-9))
     z_serial = F.abs((serial + 1 / n) * F.sqrt(n))
     p = F.transform(F.array(cube, z_runs, z_serial), lambda z, i: F.when(i == 0, _upper(F.least(z, F.lit(30.0)))).otherwise(2 * _upper(F.least(z, F.lit(30.0)))))
-    family = x["k"] * 64 + F.floor(F.log2(n)).cast("int")
+    octave = F.floor(F.log2(n / RUN)).cast("int")
+    half = (n >= 1.5 * RUN * F.pow(F.lit(2.0), octave)).cast("int")
+    family = x["k"] * 128 + F.greatest(2 * octave + half, F.lit(0))
     return F.struct(family.alias("family"), F.least(3 * F.array_min(p), F.lit(1.0)).alias("p"))
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, base spans, and candidates (s, e, p with family and p) that overlap none of them."""
-    text = F.coalesce("text", F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), base_spans(text).alias("base"), _matches(text, RUNS).alias("runs"))
-    fit = lambda x: (F.length(F.rtrim(x["hit"], F.lit("="))) >= BARE) & x["hit"].rlike("[A-Za-z]")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = _matches(rows, "text", {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "runs": RUNS})
+    rows = found.select("doc_id", base_spans("assign", "access", "hex").alias("base"), "runs")
+    fit = lambda x: (F.length(F.rtrim(x["hit"], F.lit("="))) >= RUN) & x["hit"].rlike("[A-Za-z]")
     free = F.filter("runs", lambda x: fit(x) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     rows = rows.select("doc_id", "base", free.alias("runs"))
     values = F.transform("runs", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["hit"]).alias("b")))
@@ -134,25 +161,31 @@ def scan(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "base", tested.alias("runs"))
 
 
+def level_of(family: int) -> float:
+    """The level of a family of p-values; families of the shortest runs have multiples of 128."""
+    return FDR if family % 128 else FDR_SHORT
+
+
 def rejection_limits(p_values: DataFrame) -> dict[int, float]:
     """The limit of the step-up rule for each `family` of p-values `p`: what is no greater is rejected.
 
-    The p-value of rank r is rejected if it is at most FDR * r / total.  From FDR on, counting the
-    p-values within a limit lowers it to FDR * count / total, until the count stays: no p-value is
-    rounded, and no task orders them.
+    The p-value of rank r is rejected if it is at most level * r / total.  From the level on, counting
+    the p-values within a limit lowers it to level * count / total, until the count stays: no p-value
+    is rounded, and no task orders them.
     """
     limits: dict[int, float] = {}
     counts: dict[int, int] = {}
     while True:
         within = F.col("p") <= limit_of(F.col("family"), limits)
         rows = p_values.groupBy("family").agg(F.count("*").alias("n"), F.count(F.when(within, 1)).alias("low")).collect()
-        limits = {r["family"]: FDR * r["low"] / r["n"] for r in rows}
+        limits = {r["family"]: level_of(r["family"]) * r["low"] / r["n"] for r in rows}
         if counts == (counts := {r["family"]: r["low"] for r in rows}):
             return limits
 
 
 def limit_of(family: Column, limits: dict[int, float]) -> Column:
-    return F.coalesce(*(F.when(family == k, limit) for k, limit in sorted(limits.items())), F.lit(FDR))
+    level = F.when(family % 128 == 0, FDR_SHORT).otherwise(FDR)
+    return F.coalesce(*(F.when(family == k, limit) for k, limit in sorted(limits.items())), level)
 
 
 def find_secrets(documents: DataFrame) -> DataFrame:

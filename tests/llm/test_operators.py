@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,15 +152,16 @@ def test_line_runs(spark):
 
 
 def removed_by_brute_force(rows, least=50):
-    """Line numbers per document of every run of `least` words or more that occurred before, blank lines within it too."""
-    seen, gone = {}, {i: set() for i, *_ in rows}
-    for i, text, _ in sorted(rows):
+    """Line numbers by document and text of every run of `least` words or more that occurred before, blank lines within it too."""
+    order = lambda x: (x[0], (xxhash.xxh64_intdigest(x[1].encode(), 42) + (1 << 63)) % (1 << 64))
+    seen, gone = {}, {(i, text): set() for i, text, _ in rows}
+    for i, text, _ in sorted(set(rows), key=order):
         lines = [(n, tuple(x.split())) for n, x in enumerate(text.split("\n")) if x.split()]
         for a in range(len(lines)):
             for b in range(a, len(lines)):
                 run = tuple(x for _, x in lines[a : b + 1])
-                if sum(map(len, run)) >= least and seen.setdefault(run, (i, a)) != (i, a):
-                    gone[i] |= set(range(lines[a][0], lines[b][0] + 1))
+                if sum(map(len, run)) >= least and seen.setdefault(run, (i, text, a)) != (i, text, a):
+                    gone[i, text] |= set(range(lines[a][0], lines[b][0] + 1))
     return gone
 
 
@@ -176,9 +179,35 @@ def test_line_runs_of_uneven_lines_go_whole(spark):
             text += [*lines[a : a + rng.randrange(1, 9)], *rng.choice([[], [""], [prose(rng, 5)]])]
         rows.append((i, "\n".join(text), "en"))
     expected = removed_by_brute_force(rows)
-    assert [len(expected[i]) for i in (1, 3, 5)] == [3, 11, 5]
-    got = {r.doc_id: {n for x in filter(None, r.removed.split(",")) for n in range(int(x.split("-")[0]), int(x.split("-")[1]) + 1)} for r in linededup.deduplicated(docs(spark, rows)).collect()}
-    assert got == expected
+    assert [len(expected[rows[i][:2]]) for i in (1, 3, 5)] == [3, 11, 5]
+    check_removed(spark, rows)
+
+
+def check_removed(spark, rows):
+    """Every row's removed lines and remaining text are those of brute force."""
+    expected = removed_by_brute_force(rows)
+    lines_of = lambda runs: {n for x in filter(None, runs.split(",")) for n in range(int(x.split("-")[0]), int(x.split("-")[1]) + 1)}
+    left = lambda text, gone: "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
+    got = Counter((r.doc_id, r.text, frozenset(lines_of(r.removed))) for r in linededup.deduplicated(docs(spark, rows)).collect())
+    assert got == Counter((i, left(t, expected[i, t]), frozenset(expected[i, t])) for i, t, _ in rows)
+    return expected
+
+
+def test_line_runs_of_one_id_ties_and_repeated_rows(spark):
+    rng = random.Random(19)
+    block = [prose(rng, 30) for _ in range(3)]
+    rows = [(1, "\n".join(["a", *block, "b"]), "en"), (1, "\n".join(["c", *block, "d"]), "en")]  # the same run at the same line of one id
+    rows += [(2, "\n".join([*block, *block]), "en")] * 3 + [(3, "\n".join(block[::-1]), "en"), (3, "x", "en"), (4, "\n".join(["the end"] * 60), "en")]
+    expected = check_removed(spark, rows)
+    assert sorted(len(expected[r[:2]]) for r in rows[:2]) == [0, 3] and len(expected[rows[2][:2]]) == 6
+
+
+def test_line_runs_of_random_texts_equal_brute_force(spark):
+    rng, rows = random.Random(20), []
+    lines = [prose(rng, n, 30) for n in (1, 2, 5, 11, 17, 24, 26, 49, 50, 51, 80)]
+    for i in range(60):
+        rows.append((i // 2, "\n".join(rng.choice([*lines, "", "\t"]) for _ in range(rng.randrange(1, 14))), "en"))
+    check_removed(spark, rows)
 
 
 def test_bundles(spark):
@@ -429,6 +458,55 @@ def test_step_up_limit_is_exact(spark):
     assert secrets.rejection_limits(spark.createDataFrame([], "family int, p double")) == {}
 
 
+def battery_by_hand(token):
+    """Encoding, length class and combined p-value of a run, in plain Python."""
+    bare = token.rstrip("=").replace("-", "+").replace("_", "/")
+    k = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", bare) else 32 if re.fullmatch("[A-Z2-7]+", bare) else 64
+    v = [secrets.ALPHABETS[k].index(c) for c in (bare.lower() if k == 16 else bare)]
+    n, tail = len(v), lambda z: math.erfc(min(z, 30) / math.sqrt(2)) / 2
+    chi = k * sum(c * c for c in Counter(v).values()) / n - n
+    cube = ((max(chi, 1e-9) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    high = [x >= k / 2 for x in v]
+    ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    mean_runs = 1 + 2 * ones * (n - ones) / n
+    z_runs = 8 if ones in (0, n) else abs(runs - mean_runs) / math.sqrt(max((mean_runs - 1) * (mean_runs - 2) / (n - 1), 1e-9))
+    mean = sum(v) / n
+    serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / max(sum((x - mean) ** 2 for x in v), 1e-9)
+    p = min(tail(cube), 2 * tail(z_runs), 2 * tail(abs((serial + 1 / n) * math.sqrt(n))))
+    kind, edge = 0, 1.5 * secrets.RUN
+    while n >= edge:
+        kind, edge = kind + 1, edge * (4 / 3 if kind % 2 == 0 else 1.5)
+    return k, kind, min(1.0, 3 * p)
+
+
+def test_random_spans_equal_brute_force(spark):
+    rng, texts = random.Random(27), []
+    letters = [*secrets.ALPHABETS.values(), "abcdefgh", "ABCDEFGHIJ234", "0123456789", "etaoinshrdlu"]
+    for _ in range(250):
+        parts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([3, 8, 15, 16, 17, 20, 23, 24, 25, 31, 32, 40, 47, 48, 64, 100]))) + rng.choice(["", "", "=", "=="]) for alphabet in rng.choices(letters, k=6)]
+        texts.append(" é ".join(parts))
+    texts.append(" ".join("".join(rng.choice(letters[2]) for _ in range(20)) for _ in range(3 * secrets.FOLD + 7)))  # many matches in one text
+    assign = re.compile(secrets.ASSIGN.replace("(?i:(password|passwd|secret|token|api_?key))", "(password|passwd|secret|token|api_?key)"), re.I | re.A)
+    found, families = [], {}
+    for i, text in enumerate(texts):
+        base = [m.span() for m in assign.finditer(text) if len(m[2]) >= 8] + [m.span() for m in re.finditer("[0-9a-f]{32,}", text)]
+        base += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+            if len(m[0].rstrip("=")) >= 16 and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b in base):
+                *family, p = battery_by_hand(m[0])
+                found.append((i, m.start(), m.end(), tuple(family), p))
+                families.setdefault(tuple(family), []).append(p)
+    limit = {}
+    for family, ps in families.items():
+        level = secrets.FDR if family[1] else secrets.FDR_SHORT
+        limit[family] = max((level * r / len(ps) for r, p in enumerate(sorted(ps), 1) if p <= level * r / len(ps)), default=-1.0)
+    expected = {(i, a, b) for i, a, b, family, p in found if p > limit[family]}
+    got = set()
+    for r in secrets.find_secrets(docs(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect():
+        got |= {(r.doc_id, int(x.split(":")[1]), int(x.split(":")[2])) for x in r.spans.split(",") if x.startswith("random:")}
+    assert got == expected and len(families) > 10 and 100 < len(expected) < len(found)
+
+
 def test_random_keys_are_found_at_any_length_and_share(spark):
     rng = random.Random(22)
     syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "er", "ing", "o", "tion", "al", "is")]
