@@ -1,18 +1,21 @@
 """Web pages in seekable Zstandard WARC bundles.
 
-A bundle holds WARC/1.1 records grouped into independent Zstandard frames of about FRAME_BYTES, then
-a skippable frame with the index (record number, frame, offset in the frame's content, length), then
-the seek table of the Zstandard seekable format.  A reader needs the tail of a bundle to find any
-record and decompresses one frame to get it.  Spark writes a byte after each row (see write_blobs):
-each frame is followed by a skippable frame whose content is that byte, counted with the frame in
-the seek table, and it is the last byte of the seek table's own magic number.
+A bundle holds WARC/1.1 records grouped into independent Zstandard frames of about FRAME_BYTES, at
+most BUNDLE_FRAMES of them, then a skippable frame with the index, then the seek table of the
+Zstandard seekable format.  The index maps record identifiers, in ascending order, to the record's
+frame, offset in the frame's content and length, and keeps the record's number.  A reader needs the
+tail of a bundle to find the records of an identifier and decompresses one frame to get each.  Spark
+writes a byte after each row (see write_blobs): each frame is followed by a skippable frame whose
+content is that byte, counted with the frame in the seek table, and it is the last byte of the seek
+table's own magic number.
 
 Of records with equal payloads of at least `least_bytes` bytes the one with the greatest page_id is
 a response and the others revisit it; a revisit stores the payload's digest and length only.
 
 Defined results: null html is an empty payload; rows that share the greatest page_id of a payload
 are all responses; a row with a null page_id is never referred to and is a response if its payload
-has no other id; null urls are written empty.
+has no other id; null urls are written empty; further columns are ignored.  A very long page is a
+frame of its own: a task holds a few times its bytes.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import base64
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm._shared import lookup_by_key, read_blobs, shared_dir, slices, write_blobs
+from chunkwell.llm._shared import bound_batches, lookup_by_key, read_blobs, shared_dir, slices, write_blobs
 
-FRAME_BYTES = 1 << 18
+FRAME_BYTES, BUNDLE_FRAMES = 1 << 18, 254
+NO_ID = np.iinfo(np.int64).min
 LEVEL = 3
 #: Fixed values of the Zstandard frame and seekable formats.
 SKIPPABLE, SEEK_SKIPPABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -82,12 +86,12 @@ class Bundle:
     def __init__(self) -> None:
         self.squeeze = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
         self.frames: list[tuple[int, int]] = []
-        self.index: list[tuple[int, int, int]] = []
+        self.index: list[tuple[int, int, int, int]] = []
         self.held: list[bytes] = []
         self.size = 0
 
-    def add(self, raw: bytes) -> bytes | None:
-        self.index.append((len(self.frames), self.size, len(raw)))
+    def add(self, page_id: int | None, raw: bytes) -> bytes | None:
+        self.index.append((NO_ID if page_id is None else page_id, len(self.frames), self.size, len(raw)))
         self.held.append(raw)
         self.size += len(raw)
         return self.frame() if self.size >= FRAME_BYTES else None
@@ -101,7 +105,9 @@ class Bundle:
     def finish(self) -> Iterator[bytes]:
         if self.held:
             yield self.frame()
-        index = zstandard.ZstdCompressor().compress(np.array(self.index, dtype="<i8").tobytes())
+        rows = np.array(self.index, dtype="<i8").reshape(-1, 4)
+        order = np.argsort(rows[:, 0], kind="stable")
+        index = zstandard.ZstdCompressor().compress(np.column_stack([rows[order], order]).astype("<i8").tobytes())
         row = _skippable(SKIPPABLE + 1, index + bytes([END]))[:-1]
         self.frames.append((len(row) + 1, 0))
         yield row
@@ -111,33 +117,50 @@ class Bundle:
 
 
 class Reader:
-    """Random access to the records of a bundle's bytes."""
+    """Random access to the records of a bundle, given its bytes, or its size and a function that reads (offset, length) of it."""
 
-    def __init__(self, content: bytes) -> None:
-        count, _, magic = struct.unpack_from("<IBI", content, len(content) - 9)
+    def __init__(self, content: bytes | Callable[[int, int], bytes], size: int | None = None) -> None:
+        self.read = content if callable(content) else lambda at, length: content[at : at + length]
+        size = len(content) if size is None else size
+        count, _, magic = struct.unpack("<IBI", self.read(size - 9, 9))
         if magic != SEEK_MAGIC:
             raise ValueError("no seek table")
-        table = np.frombuffer(content, dtype="<u4", count=2 * count, offset=len(content) - 9 - 8 * count).reshape(-1, 2).astype(np.int64)
-        self.content, self.start, self.sizes = content, np.concatenate(([0], np.cumsum(table[:, 0]))), table[:, 1]
+        table = np.frombuffer(self.read(size - 9 - 8 * count, 8 * count), dtype="<u4").reshape(-1, 2).astype(np.int64)
+        self.start, self.sizes = np.concatenate(([0], np.cumsum(table[:, 0]))), table[:, 1]
         self.loose = zstandard.ZstdDecompressor()
-        raw = content[int(self.start[count - 1]) + 8 : int(self.start[count]) - 1]
-        self.index = np.frombuffer(self.loose.decompress(raw), dtype="<i8").reshape(-1, 3)
+        raw = self.read(int(self.start[count - 1]) + 8, int(table[count - 1, 0]) - 9)
+        rows = np.frombuffer(self.loose.decompress(raw), dtype="<i8").reshape(-1, 5)
+        self.ids, self.numbers = rows[:, 0], rows[:, 4]
+        #: frame, offset and length by number of the record
+        self.index = np.empty((len(rows), 3), dtype=np.int64)
+        self.index[self.numbers] = rows[:, 1:4]
         self._frame: tuple[int, bytes] = (-1, b"")
 
     def __len__(self) -> int:
         return len(self.index)
 
+    def find(self, page_id: int | None) -> list[int]:
+        """Numbers of the records of an identifier, ascending."""
+        key = NO_ID if page_id is None else page_id
+        a, b = np.searchsorted(self.ids, key, side="left"), np.searchsorted(self.ids, key, side="right")
+        return self.numbers[a:b].tolist()
+
     def raw(self, nth: int) -> bytes:
-        """The bytes of a record; only its frame is decompressed."""
+        """The bytes of a record; only its frame is read and decompressed."""
         frame, offset, length = self.index[nth].tolist()
         if self._frame[0] != frame:
-            part = self.content[int(self.start[frame]) : int(self.start[frame + 1])]
+            part = self.read(int(self.start[frame]), int(self.start[frame + 1] - self.start[frame]))
             self._frame = frame, self.loose.decompress(part, max_output_size=int(self.sizes[frame]))
         return self._frame[1][offset : offset + length]
 
+    def get(self, page_id: int | None) -> list[tuple[dict[str, str], bytes]]:
+        """Headers and block of the records of an identifier."""
+        return [parse(self.raw(k)) for k in self.find(page_id)]
+
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write a record of each page into bundles below `path`, a bundle a partition."""
+    """Write a record of each page into bundles below `path`."""
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("_digest", F.sha1(F.col("html").cast("binary")))
     # the greatest id of a payload, through its negative's minimum; nulls last
@@ -155,14 +178,17 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
             for batch in slices(whole, "html"):
                 for page_id, url, html, refers_to in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "html", "refers_to")), strict=True):
                     some = True
-                    done = out.add(record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to))
+                    done = out.add(page_id, record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to))
                     if done is not None:
                         yield row(done)
+                    if len(out.frames) == BUNDLE_FRAMES:  # nothing is held now
+                        yield from map(row, out.finish())
+                        out, some = Bundle(), False
         if some:
             yield from map(row, out.finish())
 
     chosen = found.select("page_id", "url", "html", refers.alias("refers_to"))
-    write_blobs(chosen.mapInArrow(bundle, "value binary"), path, END)
+    write_blobs(chosen.mapInArrow(bundle, "value binary"), path, END, BUNDLE_FRAMES + 2)  # a bundle a file
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

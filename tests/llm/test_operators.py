@@ -227,12 +227,31 @@ def test_bundles(spark):
     assert warc.archive(pages.where("false")).count() == 0
 
 
+def test_bundles_of_bounded_frames(spark, monkeypatch):
+    from pyspark.sql.functions import input_file_name
+
+    rows = [(i, f"u{i}", "".join(random.Random(i).choices("abcdefgh", k=120_000))) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.shared_dir(spark, "bounded")
+    monkeypatch.setattr(warc, "BUNDLE_FRAMES", 4)
+    warc.write(pages.repartition(1), path)
+    got = warc.read(spark, path).collect()
+    assert sorted(r.page_id for r in got) == list(range(40)) and all(r.frame < 4 for r in got)
+    assert len({r.file for r in got}) >= 3 and spark.read.format("binaryFile").load(path).select(input_file_name()).count() == len({r.file for r in got})
+
+
 def test_bundle_is_plain_zstandard():
     bundle, raws = warc.Bundle(), [warc.record(i, "u", b"x" * (i * 997 % 90_000), None) for i in range(40)]
-    rows = [r for x in raws if (r := bundle.add(x))]
+    ids = [None if i == 3 else 1000 - i // 2 for i in range(40)]
+    rows = [r for i, x in zip(ids, raws, strict=True) if (r := bundle.add(i, x))]
     content = b"".join(r + bytes([warc.END]) for r in [*rows, *bundle.finish()])
     reader = warc.Reader(content)
     assert [reader.raw(k) for k in (39, 0, 17)] == [raws[39], raws[0], raws[17]] and len(reader) == 40
+    assert [reader.find(i) for i in (None, 1000, 999, 981, 5)] == [[3], [0, 1], [2], [38, 39], []]
+    taken = []
+    ranged = warc.Reader(lambda at, n: taken.append(n) or content[at : at + n], len(content))
+    taken.clear()
+    assert [h["WARC-Record-ID"] for h, _ in ranged.get(981)] == ["<urn:page:38>", "<urn:page:39>"] and 0 < sum(taken) < len(content) / 2
     assert zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True).read() == b"".join(raws)
 
 
@@ -252,14 +271,40 @@ def test_top_k(spark):
     assert topk.top_k(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_tree_leaves_hold_every_row_once():
+def test_tree_boxes_hold_their_rows_and_leaves_every_row_once():
     rng = np.random.default_rng(6)
     rows = rng.integers(-9, 9, (3000, 4)).astype(np.float64)
     tree = topk.Tree(np.arange(3000), rows)
-    assert sorted(np.concatenate([i for i, _ in tree.leaves]).tolist()) == list(range(3000))
+    assert sorted(np.concatenate([i for i, _ in tree.leaves.values()]).tolist()) == list(range(3000))
     q = rng.normal(size=(5, 4))
     bounds = tree.bounds(q)
-    assert all(((r @ q.T).max(axis=0) <= bounds[:, k] + 1e-9).all() for k, (_, r) in enumerate(tree.leaves))
+    assert all(((r @ q.T).max(axis=0) <= bounds[:, k] + 1e-9).all() for k, (_, r) in tree.leaves.items())
+    for node, children in enumerate(tree.children):
+        if children is not None:
+            assert (bounds[:, children] <= bounds[:, [node]] + 1e-9).all()
+
+
+def test_search_visits_few_leaves_of_clustered_rows():
+    rng = np.random.default_rng(7)
+    rows = np.concatenate([rng.normal(size=(600, 6)) + 40 * rng.normal(size=6) for _ in range(20)]).round()
+    tree, asked = topk.Tree(np.arange(len(rows)), rows), rows[::1000]
+    seen = []
+    tree.leaves = type("Leaves", (dict,), {"__getitem__": lambda self, k: seen.append(k) or dict.__getitem__(self, k)})(tree.leaves)
+    found = {q: (ids.tolist(), scores.tolist()) for q, ids, scores in topk.search(tree, np.arange(0, len(rows), 1000), asked, np.full(len(asked), -np.inf), 5)}
+    for q, query in enumerate(asked):
+        best = sorted((-(r @ query), i) for i, r in enumerate(rows) if i != 1000 * q)[:5]
+        assert found[q] == ([i for _, i in best], [-s for s, _ in best])
+    assert len(seen) < len(asked) * len(tree.leaves) / 2
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e30, 1.0]), (1, [-1e30, 2.0]), (2, [2.0**56, 1.0]), (3, [1.0, 1e308]), (4, [3.0, -1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    top, floor = 2**63 - 1, -(2**63)
+    whole = {i: [min(max(math.floor(x * 64), floor), top) if abs(x) < 1e300 else top for x in v] for i, v in rows}
+    expected = sorted((-min(max(sum(a * b for a, b in zip(whole[0], v, strict=True)), -top), top), i) for i, v in whole.items() if i)
+    got = topk.top_k(table, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
+    assert sorted((-r.score, r.vec_id) for r in got) == expected and len(got) == 4
 
 
 def _labelled(spark, n=900):
