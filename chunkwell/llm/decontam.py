@@ -3,19 +3,24 @@
 Words are blank-separated, in lower case; shingles are five words, or a shorter item whole.  Every
 window of a document with as many words as some item, and at least one shingle of some item of
 that size (any other has similarity 0), has a 64-bit SimHash over its shingles, each weighted by
-how often it occurs; a document of fewer words than an item is one window, whole.  Fingerprints are looked up in a multi-index: a fingerprint is cut into BLOCKS
-blocks, and a table for each block lists the items by every value within RADIUS // BLOCKS bits of
-the item's, so by pigeonhole no item within RADIUS bits is missed.  A pair within RADIUS is then
+how often it occurs; a document of fewer words than an item is one window, whole.  Fingerprints are looked up
+in a multi-index: a fingerprint is cut into BLOCKS blocks, and a table for each block lists the items
+by every value within RADIUS // BLOCKS bits of the item's, so by pigeonhole no item within RADIUS
+bits is missed.  A pair within RADIUS is then
 verified by the weighted Jaccard similarity of its shingles, the sum of lesser over the sum of
 greater multiplicities, which must be 0.75 or more.  At that similarity fingerprints differ by 11
 bits on average; RADIUS lies five deviations beyond, as items of few shingles scatter more, and the
-neighbouring windows of a passage are fingerprinted too.
+neighbouring windows of a passage are fingerprinted too.  At so low a similarity a radius that misses
+nothing lets many pairs of unlike fingerprints through; the bound on common shingles, which is exact,
+refutes these before any similarity is computed.
 
 The benchmark is loaded in blocks of at most ITEM_BLOCK items, each block a pass over the documents.
 
 Defined results: null or empty texts and items match nothing; equal items match alike; a match is
 the window of greatest similarity, the earliest of equals; rows that share a doc_id are judged
-together by their greatest similarity.
+together by their greatest similarity; further columns pass through `drop_contaminated` whatever
+their names.  A very long text is a slice of its own: a task holds about a hundred bytes for each of
+its words.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from chunkwell.llm._shared import bound_batches, free_names, gram_hashes, materi
 WORDS, SIMILARITY = 5, 0.75
 BITS, RADIUS, BLOCKS = 64, 28, 8
 ITEM_BLOCK = 20_000
+PAIRS = 1 << 20
 _SIEVE = 1 << 22
 
 
@@ -68,28 +74,32 @@ class Family:
         self.ids = np.array([i for i, _ in items], dtype=np.int64)
         self.bags = [np.unique(h, return_counts=True) for _, h in items]
         self.prints = np.stack([simhash(h) for _, h in items])
-        near = [v for v in range(256) if v.bit_count() <= RADIUS // BLOCKS]
-        self.tables: list[list[list[int]]] = []
+        near = np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS).astype(np.uint8)
+        #: by block: the items by every value near theirs, one value after another, and where each value's begin
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
         for block in range(BLOCKS):
-            table: list[list[int]] = [[] for _ in range(256)]
-            for k, value in enumerate(self.prints[:, block].tolist()):
-                for v in near:
-                    table[value ^ v].append(k)
-            self.tables.append(table)
+            values = (self.prints[:, block][:, None] ^ near[None, :]).ravel()
+            order = np.argsort(values, kind="stable")
+            self.tables.append(((order // len(near)).astype(np.int32), np.searchsorted(values[order], np.arange(257))))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (fingerprint, item) within RADIUS bits."""
-        size = len(self.ids)
-        keys = [np.zeros(0, dtype=np.int64)]
-        for block in range(BLOCKS):
-            values, inverse = np.unique(prints[:, block], return_inverse=True)
-            lists = [np.array(self.tables[block][v], dtype=np.int64) for v in values.tolist()]
-            count = np.array([len(x) for x in lists])
-            flat, at = np.concatenate(lists), np.concatenate(([0], np.cumsum(count)[:-1]))
-            row = np.repeat(np.arange(len(prints)), count[inverse])
-            keys.append(row * size + flat[ranges(at[inverse], count[inverse])])
-        pairs = np.unique(np.concatenate(keys))
-        row, item = pairs // size, pairs % size
+        """Pairs (fingerprint, item) within RADIUS bits; fingerprints are taken so many at a time that keys stay within PAIRS."""
+        step = max(1, PAIRS // (BLOCKS * len(self.ids)))
+        parts = [self._candidates(prints[at : at + step]) for at in range(0, len(prints), step)]
+        rows = [row + step * k for k, (row, _) in enumerate(parts)]
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none, *rows]), np.concatenate([none, *(item for _, item in parts)])
+
+    def _candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, keys = len(self.ids), []
+        for block, (items, begin) in enumerate(self.tables):
+            value = prints[:, block].astype(np.int64)
+            count = begin[value + 1] - begin[value]
+            keys.append(np.repeat(np.arange(len(prints)), count) * size + items[ranges(begin[value], count)])
+        seen = np.zeros(len(prints) * size, dtype=bool)
+        for key in keys:
+            seen[key] = True
+        row, item = np.divmod(np.flatnonzero(seen), size)
         near = np.bitwise_count(prints[row] ^ self.prints[item]).sum(axis=1) <= RADIUS
         return row[near], item[near]
 
