@@ -6,7 +6,9 @@ them by the same expressions on both sides.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from chunkwell.operators import chat, chunking, retrieval
 from chunkwell.plans import prompt as prompts
 from chunkwell.plans.engine import ExtractiveGenerator, safe_answer
 from chunkwell.sources import files as sources
-from chunkwell.sources.store import merged, with_ids
+from chunkwell.sources.store import Store, merged, scratch_store, with_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,19 +125,38 @@ def dispatch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BAR = "=" * 48
+#: Headers of a digest: with a blank before the path or none, and with an empty path.
+_HEADS = (f"\n{_BAR}\nFILE: {{}}\n{_BAR}\n", f"\r\n{_BAR}\r\nFILE:{{}}\r\n{_BAR}\r\n", f"\n{_BAR}\nFILE: \n{_BAR}\nbody without a path\n", f"\n{_BAR}\nFILE: empty.txt\n{_BAR}\n\n")
+
+
+def _digest(path: str, content: str, join: str, text: Callable[[str], str]) -> str:
+    """A digest of three files and more, as an expression in the language of `join` and `text`."""
+    parts = [text("before")]
+    for head, name in ((_HEADS[0], path), (_HEADS[2], ""), (_HEADS[3], ""), (_HEADS[1], f"{path}{join}{text('.bak')}")):
+        first, _, rest = head.partition("{}")
+        parts += [text(first), name, text(rest), content, text("\n")] if name else [text(head)]
+    return join.join(parts)
+
+
+def _sql_text(x: str) -> str:
+    return " || ".join(f"'{p}'" if p not in "\r\n" else f"chr({ord(p)})" for p in re.split(r"([\r\n])", x) if p)
+
+
+_HEADER_SQL = r"={48}\s*FILE:\s*(.*?)\s*={48}\s*"
 
 
 @query(
-    f"""WITH {_RAW_SQL}, f AS (SELECT repo_name, file_path, content FROM raw UNION ALL SELECT repo_name, file_path || '.bak', content FROM raw)
-    SELECT repo_name, file_path, CASE WHEN ends_with(file_path, '.bak') THEN 'bak' ELSE (SELECT any_value(file_type) FROM raw r WHERE r.file_path = f.file_path) END AS file_type,
-        {_STRIP.format('content')} AS content FROM f WHERE {_STRIP.format('content')} <> ''"""
+    f"""WITH {_RAW_SQL}, d AS (SELECT repo_name, replace({_digest('file_path', 'content', ' || ', _sql_text)}, chr(13) || chr(10), chr(10)) AS digest FROM raw),
+    f AS (SELECT repo_name, unnest(regexp_extract_all(digest, '{_HEADER_SQL}', 1)) AS file_path, unnest(string_split_regex(digest, '{_HEADER_SQL}')[2:]) AS content FROM d),
+    s AS (SELECT repo_name, {_STRIP.format('file_path')} AS file_path, {_STRIP.format('content')} AS content FROM f)
+    SELECT s.repo_name, s.file_path, CASE WHEN ends_with(s.file_path, '.bak') THEN 'bak' ELSE r.file_type END AS file_type, s.content
+    FROM s LEFT JOIN (SELECT DISTINCT file_path, file_type FROM raw) r USING (file_path) WHERE s.file_path <> '' AND s.content <> ''"""
 )
 def digest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests with either line ending, a header without a blank, an empty path and an empty body, split again."""
+    plain = _digest("file_path", "content", ", ", lambda x: "'" + x.replace("\r", "\\r").replace("\n", "\\n") + "'")
     rows = raw_files(spark, sf_dir)
-    part = lambda path: F.concat(F.lit(f"\n{_BAR}\nFILE: "), path, F.lit(f"\n{_BAR}\n"), F.col("content"), F.lit("\n"))
-    empty = F.lit(f"\n{_BAR}\nFILE: empty.txt\n{_BAR}\n\n")
-    digest = F.concat(F.lit("before"), part(F.col("file_path")), empty, part(F.concat("file_path", F.lit(".bak"))))
-    return sources.split_digest(rows.select("repo_name", digest.alias("digest")))
+    return sources.split_digest(rows.select("repo_name", F.expr(f"concat({plain})").alias("digest")))
 
 
 @query(
@@ -208,12 +229,12 @@ def repo_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw_files(spark, sf_dir)
     both = chunking.generic_chunks(rows.where("file_type <> 'html'")).unionByName(chunking.markup_chunks(rows.where("file_type = 'html'")))
-    return both.groupBy("chunk_type").agg(F.count("*").alias("chunks"))
+    return both.groupBy("chunk_type").agg(F.count("*").alias("chunks")).orderBy("chunk_type")  # a row a type
 
 
 @query(f"WITH {_GENERIC_SQL} SELECT file_path, count(*) AS chunks FROM chunks GROUP BY 1")
 def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.generic_chunks(raw_files(spark, sf_dir)).groupBy("file_path").agg(F.count("*").alias("chunks"))
+    return chunking.generic_chunks(raw_files(spark, sf_dir)).groupBy("file_path").agg(F.count("*").alias("chunks")).orderBy("file_path")
 
 
 @query(f"WITH {_GENERIC_SQL} SELECT count(DISTINCT (repo_name, file_path)) AS files, count(*) AS chunks, count(DISTINCT (repo_name, file_path, start_line, end_line)) AS spans FROM chunks")
@@ -364,8 +385,8 @@ def _prompt_sql(system: str, head: str, context: str, ending: str, history: str,
         SELECT {_STRIP.format(_quote(first) + " || coalesce(string_agg(t, chr(10) || chr(10) ORDER BY place), '') || " + _quote(last))} AS prompt, CAST(count(*) AS INTEGER) AS chunks FROM k"""
 
 
-_ANSWER = "Based on the provided context and your instructions, please answer the user's query."
-_SPLIT = "Based on the above, generate sub-questions as a JSON object."
+_ANSWER = "Answer the query above from these excerpts, as the instructions say."
+_SPLIT = "Reply with the JSON object of smaller questions now."
 _PAST = "Conversation History:\nUser (Turn 1): hello\nAssistant (Turn 1): ask away\n\n"
 
 
@@ -444,35 +465,49 @@ def chat_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents, and all of them again: those of even id replace theirs, the others are added under new ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), "text")
-    old = docs.where("doc_id % 2 = 0").select("id", F.col("text").alias("document"))
-    new = docs.where("doc_id % 3 = 0").select("id", F.concat(F.lit("new: "), F.col("text")).alias("document"))
-    return old, new
+    added = F.when(F.col("doc_id") % 2 == 0, F.col("id")).otherwise(F.concat("id", F.lit("+")))
+    return docs.select("id", F.col("text").alias("document")), docs.select(added.alias("id"), F.concat(F.lit("new: "), F.col("text")).alias("document"))
 
 
 @query(
-    """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'new: ' || text ELSE text END AS document FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0"""
+    """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 THEN 'new: ' || text ELSE text END AS document FROM documents
+    UNION ALL SELECT doc_id || '+', 'new: ' || text FROM documents WHERE doc_id % 2 <> 0"""
 )
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(*_versions(spark, sf_dir))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with a collection of each source, a record of each document."""
+    rows = raw_files(spark, sf_dir)
+    chunks = chunking.as_chunks(rows, start_line=F.lit(1), end_line=1 + T.newlines(F.col("content")), chunk_type=F.lit("text_block"), language=F.col("file_type"), seq=F.lit(0))
+    store = scratch_store(spark, "catalogue")
+    store.write_all(chunks.withColumn("id", F.col("file_path")).withColumn("embedding", F.array().cast(retrieval.EMBEDDING)), F.col("repo_name"))
+    return store
+
+
 @query("SELECT DISTINCT lower(source) AS collection FROM documents")
 def list_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(T.collection_name("source").alias("collection")).distinct()
+    return spark.createDataFrame([(n,) for n in _stored(spark, sf_dir).list()], "collection string")
 
 
-@query("SELECT doc_id, lower(source) AS collection FROM documents WHERE lower(source) <> 'src1'")
+@query(f"SELECT {_PATH_SQL} AS file_path, lower(source) AS collection FROM documents WHERE lower(source) <> 'src1'")
 def delete_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.collection_name("source").alias("collection"))
-    return rows.where(F.col("collection") != T.collection_name(F.lit("SRC1")))
+    """What is left in a store after one of its collections is deleted, under any spelling of its name."""
+    store = _stored(spark, sf_dir)
+    store.delete("SRC1")
+    left = [store.read(n).select("file_path", F.lit(n).alias("collection")) for n in store.list()]
+    return reduce(DataFrame.union, left, spark.createDataFrame([], "file_path string, collection string"))
 
 
 @query("SELECT c_name AS repo_name, lower(c_name) IN (SELECT lower(source) FROM documents) AS found FROM customer UNION ALL SELECT upper(source), true FROM (SELECT DISTINCT source FROM documents)")
 def repo_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store's answer for many names at once: a name exists if its normal form is listed."""
+    there = spark.createDataFrame([(n, True) for n in _stored(spark, sf_dir).list()], "_c string, _there boolean")
     docs = table(spark, sf_dir, "documents").select("source").distinct()
     asked = table(spark, sf_dir, "customer").select(F.col("c_name").alias("repo_name")).union(docs.select(F.upper("source")))
-    there = docs.select(T.collection_name("source").alias("_c")).distinct().withColumn("_there", F.lit(True))
     joined = asked.join(there, T.collection_name("repo_name") == F.col("_c"), "left")
     return joined.select("repo_name", F.coalesce("_there", F.lit(False)).alias("found"))
 
@@ -510,14 +545,51 @@ def _code(spark: SparkSession, sf_dir: str, template: str, kind: str) -> DataFra
     return docs.select(F.col("source").alias("repo_name"), path.alias("file_path"), F.lit(kind).alias("file_type"), text.alias("content"))
 
 
-@query()
+_DEFINED = ["repo_name", "file_path", "start_line", "end_line", "chunk_type", "language", "name", "parent_name", "content", "nth"]
+
+
+def _defs_sql(template: str, kind: str, language: str, rows: list[tuple]) -> str:
+    """Chunks of every document's file by (first line, last line, type, name, parent); lines after that of {{t}} move by its newlines."""
+    lines = template.replace("{{", "{").replace("}}", "}").split("\n")
+    mark = next((i for i, x in enumerate(lines, 1) if "{t}" in x), len(lines))
+    line = lambda n, moved: f"CAST({n}{' + k' if moved else ''} AS INTEGER)"
+    fill = lambda x: "NULL" if x is None else f"replace(replace({_sql_text(x.replace(chr(39), chr(39) * 2))}, '{{n}}', doc_id::VARCHAR), '{{t}}', t)"
+    parts = []
+    for nth, (first, last, chunk_type, name, parent) in enumerate(rows, 1):
+        body = "\n".join(lines[first - 1 : last])
+        body = body.strip() if language == "python" or chunk_type == "top_level_code" else body
+        parts.append(
+            f"""SELECT source AS repo_name, 'src/' || doc_id || '.{kind}' AS file_path, {line(first, first > mark)} AS start_line, {line(last, last >= mark)} AS end_line,
+            '{chunk_type}' AS chunk_type, '{language}' AS language, {fill(name)} AS name, {fill(parent)} AS parent_name, {fill(body)} AS content, {nth} AS nth FROM d"""
+        )
+    texts = """d AS (SELECT *, length(t) - length(replace(t, chr(10), '')) AS k FROM (SELECT doc_id, source, regexp_replace(text, '["\\\\]', '', 'g') AS t FROM documents))"""
+    return f"WITH {texts} " + " UNION ALL ".join(parts)
+
+
+def _defined(chunks: DataFrame) -> DataFrame:
+    """Chunks with their place among those of their file."""
+    from pyspark.sql import Window
+
+    return chunks.withColumn("nth", F.row_number().over(Window.partitionBy("repo_name", "file_path").orderBy("seq"))).select(*_DEFINED)
+
+
+@query(
+    _defs_sql(_PY, "py", "python", [
+        (3, 13, "class", "Box{n}", None), (7, 10, "method", "area", "Box{n}"), (8, 9, "method", "inner", "Box{n}"), (12, 13, "async_method", "load", "Box{n}"),
+        (16, 17, "function", "free_{n}", None), (1, 1, "top_level_code", None, None),
+    ])
+)
 def python_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.python_chunks(chunking.dispatch(_code(spark, sf_dir, _PY, "py")))
+    return _defined(chunking.python_chunks(chunking.dispatch(_code(spark, sf_dir, _PY, "py"))))
 
 
-@query()
+@query(
+    _defs_sql(_JS, "js", "javascript", [
+        (1, 1, "top_level_code", None, None), (2, 4, "function", "run{n}", None), (5, 9, "class", "Box{n}", None), (6, 8, "method", "size", "Box{n}"), (10, 10, "top_level_code", None, None),
+    ])
+)
 def code_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.code_chunks(chunking.dispatch(_code(spark, sf_dir, _JS, "js")))
+    return _defined(chunking.code_chunks(chunking.dispatch(_code(spark, sf_dir, _JS, "js"))))
 
 
 @query()

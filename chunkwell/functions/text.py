@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLANK = r"[\s\x1c-\x1f]"
+#: The blanks of Unicode and the four separators of ASCII.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the citation format of answers.
 CITATION = r"(?dU)\[FILE:\s*(.+?),\s*LINES:\s*(\d+)-(\d+)\]"
 
 
+#: Fixed value: the name of a repository whose URL cannot be read.
+DEFAULT_REPOSITORY = "default-repo-name"
+
+
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
 def strip(x: Column | str) -> Column:
     """Without Unicode blanks at either end."""
-    return F.regexp_replace(_col(x), rf"(?U)\A{_BLANK}+|{_BLANK}+\z", "")
+    return F.btrim(_col(x), F.lit(_BLANKS))
 
 
 def is_blank(x: Column | str) -> Column:
-    return _col(x).rlike(rf"(?U)\A{_BLANK}*\z")
+    return strip(x) == ""
 
 
 def newlines(x: Column) -> Column:
     return (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).cast("int")
 
 
-def line_of(text: Column | str, offset: Column) -> Column:
-    """The line (from 1) that holds the character at an offset (from 0); a newline belongs to the line it ends."""
-    return 1 + newlines(F.substring(_col(text), F.lit(1), offset))
-
-
 def token_estimate(x: Column | str) -> Column:
     """A quarter of the characters, rounded down."""
     return F.floor(F.length(_col(x)) / 4).cast("int")
@@ -53,7 +53,10 @@ def collection_name(name: Column | str) -> Column:
 def repository_name(url: Column | str) -> Column:
     """The path of a URL without leading slashes, every `.git` removed, slashes made `--`."""
     path = F.regexp_replace(_col(url), r"\A([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?|[?#].*\z", "")
-    return F.replace(F.replace(F.regexp_replace(path, r"\A/+", ""), F.lit(".git"), F.lit("")), F.lit("/"), F.lit("--"))
+    name = F.replace(F.replace(F.regexp_replace(path, r"\A/+", ""), F.lit(".git"), F.lit("")), F.lit("/"), F.lit("--"))
+    # a host with one bracket of a pair is no URL
+    host = F.regexp_extract(_col(url), r"\A(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
+    return F.when(host.contains("[") != host.contains("]"), DEFAULT_REPOSITORY).otherwise(name)
 
 
 def chunk_id(repo: Column | str, path: Column | str, start: Column | str, end: Column | str) -> Column:

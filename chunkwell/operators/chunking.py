@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkwell.functions.text import is_blank, line_of, strip
+from chunkwell.functions.text import is_blank, newlines, strip
 from chunkwell.operators import definitions
 from chunkwell.schema import CHUNK_COLUMNS, FILE_KEY
 
@@ -44,13 +44,14 @@ def windows(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: s
     rest = [c for c in blocks.columns if c != text]
     length = F.length(text)
     offsets = F.when(length > 0, F.sequence(F.lit(0), length - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    rows = blocks.where(~is_blank(text)).select(*rest, F.col(text).alias("_text"), F.explode(offsets).alias("_at"))
-    part = F.substring(F.col("_text"), F.col("_at") + 1, F.lit(size))
-    last = F.least(F.col("_at") + size, F.length("_text")) - 1
-    rows = rows.select(
-        *rest, strip(part).alias(text), line_of("_text", F.col("_at")).cast("int").alias("start_line"),
-        line_of("_text", last).cast("int").alias("end_line"), (F.col("_at") / step).cast("int").alias("seq"),
-    )
+    rows = blocks.where(~is_blank(text)).withColumn("_at", offsets)
+    # newlines are counted once a step and summed up; a window's part gives those up to its end
+    each = F.transform("_at", lambda o: newlines(F.substring(F.col(text), o + 1, F.lit(step))))
+    lines = F.aggregate(each, F.array(F.lit(1)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    parts = F.transform("_at", lambda o: F.substring(F.col(text), o + 1, F.lit(size)))
+    rows = rows.select(*rest, F.posexplode(F.arrays_zip(lines.alias("l"), parts.alias("p"))).alias("seq", "_w")).where("_w.p is not null")
+    inner = newlines(F.substring("_w.p", F.lit(1), F.length("_w.p") - 1))
+    rows = rows.select(*rest, strip("_w.p").alias(text), F.col("_w.l").alias("start_line"), (F.col("_w.l") + inner).alias("end_line"), F.col("seq").cast("int").alias("seq"))
     return rows.where(F.col(text) != "")
 
 
@@ -119,15 +120,15 @@ def sections(lines: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _shifted(blocks: DataFrame, size: int, overlap: int, **values: Column) -> DataFrame:
-    """Windows of blocks of files, their lines shifted to the file's."""
+    """Windows of blocks of files, their lines shifted to the file's and numbered on from the block's number."""
     rows = windows(blocks.withColumnRenamed("seq", "_block"), size, overlap)
     shift = F.col("first_line") - 1
-    return as_chunks(rows, start_line=F.col("start_line") + shift, end_line=F.col("end_line") + shift, seq=F.col("_block") * 100000 + F.col("seq"), **values)
+    return as_chunks(rows, start_line=F.col("start_line") + shift, end_line=F.col("end_line") + shift, seq=F.col("_block") + F.col("seq"), **values)
 
 
 def python_chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Definitions by their syntax tree, windows of the lines between; a file that does not parse is windowed whole."""
-    found = files.where(~is_blank("content")).mapInArrow(definitions.python_blocks, definitions.BLOCK)
+    found = files.where(~is_blank("content")).mapInArrow(definitions.python_blocks(_check(size, overlap)), definitions.BLOCK)
     defined = as_chunks(found.where("kind = 'definition'"), start_line=F.col("first_line"), end_line=F.col("last_line"), language=F.lit("python"))
     # leading blanks of a block are cut before its lines are counted
     between = found.where("kind = 'between'").withColumn("content", strip("content"))
@@ -135,9 +136,9 @@ def python_chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) ->
     return defined.union(loose).union(generic_chunks(found.where("kind = 'unparsed'").select(*FILE_KEY, "file_type", "content"), size, overlap))
 
 
-def code_chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, parser: str = "lexical") -> DataFrame:
+def code_chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, parser: str = "grammar") -> DataFrame:
     """Definitions of other languages, oversize ones windowed as `<type>_part`, top-level code between windowed."""
-    found = files.where(~is_blank("content")).mapInArrow(definitions.code_blocks(parser), definitions.BLOCK)
+    found = files.where(~is_blank("content")).mapInArrow(definitions.code_blocks(parser, size, _check(size, overlap)), definitions.BLOCK)
     whole = (F.col("kind") == "definition") & (F.length("content") <= size)
     kept = as_chunks(found.where(whole), start_line=F.col("first_line"), end_line=F.col("last_line"), language=F.col("grammar"))
     large = found.where((F.col("kind") == "definition") & (F.length("content") > size))

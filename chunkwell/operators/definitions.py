@@ -13,6 +13,7 @@ BLOCK = (
     "repo_name string, file_path string, file_type string, grammar string, kind string, first_line int, last_line int, "
     "chunk_type string, name string, parent_name string, content string, seq int"
 )
+BATCH_BLOCKS = 1000
 _TYPES = {"string": pa.string(), "int": pa.int32()}
 _SCHEMA = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in BLOCK.split(", "))])
 
@@ -26,6 +27,7 @@ class Node:
     first: int
     last: int
     children: list[Node] = field(default_factory=list)
+    owner: str | None = None
 
 
 def _runs(free: list[int]) -> Iterator[tuple[int, int]]:
@@ -53,45 +55,58 @@ def python_definitions(text: str) -> list[Node]:
                     inner = child.name
                 else:
                     kind = ("async_" if isinstance(child, ast.AsyncFunctionDef) else "") + ("method" if owner else "function")
-                    node_out = Node(kind, child.name, first, last)
-                    node_out.owner = owner  # type: ignore[attr-defined]
-                    out.append(node_out)
+                    out.append(Node(kind, child.name, first, last, owner=owner))
             visit(child, inner)
 
     visit(ast.parse(text), None)
     return out
 
 
+def _numbered(rows: Iterator[dict], step: int) -> Iterator[dict]:
+    """Number a file's blocks so that every window of `step` new characters of a block has a number too."""
+    seq = 0
+    for row in rows:
+        yield row | {"seq": seq}
+        seq += max(1, -(-len(row["content"]) // step))
+
+
 def _python(row: dict) -> Iterator[dict]:
     text = row["content"]
     base = {n: row.get(n) for n in ("repo_name", "file_path", "file_type", "grammar")}
     try:
         found = python_definitions(text)
-    except (SyntaxError, ValueError, RecursionError):  # the file is windowed whole
-        yield base | {"kind": "unparsed", "content": text, "seq": 0}
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # too deep for the parser, or no Python: the file is windowed whole
+        yield base | {"kind": "unparsed", "content": text}
         return
     lines = text.split("\n")
     covered = {n for d in found for n in range(d.first, d.last + 1)}
-    for seq, d in enumerate(found):
+    for d in found:
         body = "\n".join(lines[d.first - 1 : d.last]).strip()
         if body:
-            yield base | {"kind": "definition", "first_line": d.first, "last_line": d.last, "chunk_type": d.kind, "name": d.name, "parent_name": getattr(d, "owner", None), "content": body, "seq": seq}
+            yield base | {"kind": "definition", "first_line": d.first, "last_line": d.last, "chunk_type": d.kind, "name": d.name, "parent_name": d.owner, "content": body}
     count = len(lines) - (lines[-1] == "")
-    for seq, (a, b) in enumerate(_runs([n for n in range(1, count + 1) if n not in covered]), len(found)):
-        yield base | {"kind": "between", "first_line": a, "last_line": b, "content": "\n".join(lines[a - 1 : b]), "seq": seq}
+    for a, b in _runs([n for n in range(1, count + 1) if n not in covered]):
+        yield base | {"kind": "between", "first_line": a, "last_line": b, "content": "\n".join(lines[a - 1 : b])}
 
 
-def _run(batches: Iterator[pa.RecordBatch], each: Callable[[dict], Iterator[dict]]) -> Iterator[pa.RecordBatch]:
+def _run(batches: Iterator[pa.RecordBatch], each: Callable[[dict], Iterator[dict]], step: int) -> Iterator[pa.RecordBatch]:
+    """A batch of blocks for each batch of files, or for every BATCH_BLOCKS of them."""
     for batch in batches:
-        for k in range(batch.num_rows):  # a file at a time
-            row = batch.slice(k, 1).to_pylist()[0]
-            rows = list(each(row))
-            if rows:
+        rows: list[dict] = []
+        for k in range(batch.num_rows):  # one file's text in Python at a time
+            rows += _numbered(each(batch.slice(k, 1).to_pylist()[0]), step)
+            if len(rows) >= BATCH_BLOCKS:
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+
 
+def python_blocks(step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _run(batches, _python, step)
 
-def python_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _run(batches, _python)
+    return run
 
 
 # ---------------------------------------------------------------- other languages
@@ -195,36 +210,85 @@ def _ruby(text: str) -> list[Node]:
     return top
 
 
-PARSERS: dict[str, Callable[[str, str], list[Node]]] = {"lexical": lexical_nodes}
+#: Kinds of definitions by node type of a syntax tree, and the field that names one.
+NODE_KINDS = {
+    "function_definition": "function", "class_definition": "class", "function_declaration": "function", "generator_function_declaration": "function",
+    "class_declaration": "class", "method_definition": "method", "method_declaration": "method", "type_declaration": "struct",
+    "interface_declaration": "interface", "constructor_declaration": "constructor", "struct_specifier": "struct", "class_specifier": "class",
+    "function_item": "function", "struct_item": "struct", "impl_item": "implementation", "trait_item": "trait",
+    "class": "class", "method": "method", "module": "module",
+}
+NAME_FIELDS = {"impl_item": "type"}  # of the others it is "name"
+IDENTIFIERS = ("identifier", "type_identifier", "shorthand_property_identifier")
+
+
+def tree_name(node) -> str | None:  # noqa: ANN001
+    """The name of a syntax node: its name field, else its first identifier."""
+    named = None if node.type == "generator_function_declaration" else node.child_by_field_name(NAME_FIELDS.get(node.type, "name"))
+    named = named or next((c for c in node.children if c.type in IDENTIFIERS), None)
+    return named.text.decode("utf-8") if named else None
+
+
+def tree_nodes(root) -> list[Node]:  # noqa: ANN001
+    """Top-level nodes of a syntax tree; definitions have those below them as children, whatever lies between."""
+
+    def made(node) -> Node:  # noqa: ANN001
+        out = Node(NODE_KINDS[node.type], tree_name(node), node.start_point[0] + 1, node.end_point[0] + 1)
+        out.children = below(node)
+        return out
+
+    def below(node) -> list[Node]:  # noqa: ANN001
+        out: list[Node] = []
+        for child in node.children:
+            out += [made(child)] if child.type in NODE_KINDS else below(child)
+        return out
+
+    return [made(c) if c.type in NODE_KINDS else Node(None, None, c.start_point[0] + 1, c.end_point[0] + 1) for c in root.children]
+
+
+_GRAMMARS: dict[str, object] = {}
+
+
+def grammar_nodes(text: str, grammar: str) -> list[Node]:
+    """Nodes by the grammar's parser where it is installed and loads, else by the lexical scan."""
+    if grammar not in _GRAMMARS:
+        try:
+            import tree_sitter_language_pack
+
+            _GRAMMARS[grammar] = tree_sitter_language_pack.get_parser(grammar)
+        except Exception:  # noqa: BLE001  a grammar that does not load costs only its own files their trees
+            _GRAMMARS[grammar] = None
+    parser = _GRAMMARS[grammar]
+    return tree_nodes(parser.parse(text.encode()).root_node) if parser is not None else lexical_nodes(text, grammar)
+
+
+PARSERS: dict[str, Callable[[str, str], list[Node]]] = {"lexical": lexical_nodes, "grammar": grammar_nodes}
 
 
-def _code(parser: str) -> Callable[[dict], Iterator[dict]]:
+def _code(parser: str, size: int) -> Callable[[dict], Iterator[dict]]:
     def each(row: dict) -> Iterator[dict]:
         text = row["content"]
         base = {n: row.get(n) for n in ("repo_name", "file_path", "file_type", "grammar")}
         try:
             nodes = PARSERS[parser](text, row["grammar"])
         except Exception:  # noqa: BLE001  a parser's failure costs its file's structure, not the run
-            yield base | {"kind": "unparsed", "content": text, "seq": 0}
+            yield base | {"kind": "unparsed", "content": text}
             return
         lines = text.split("\n")
-        seq = 0
         held: tuple[int, int] | None = None
 
         def between() -> Iterator[dict]:
-            nonlocal held, seq
+            nonlocal held
             if held is not None:
                 body = "\n".join(lines[held[0] - 1 : held[1]])
-                yield base | {"kind": "between", "first_line": held[0], "last_line": held[1], "content": body, "seq": seq}
-                seq, held = seq + 1, None
+                yield base | {"kind": "between", "first_line": held[0], "last_line": held[1], "content": body}
+                held = None
 
         def emit(node: Node, parent: str | None) -> Iterator[dict]:
-            nonlocal seq
             body = "\n".join(lines[node.first - 1 : node.last])
-            yield base | {"kind": "definition", "first_line": node.first, "last_line": node.last, "chunk_type": node.kind, "name": node.name, "parent_name": parent, "content": body, "seq": seq}
-            seq += 1
+            yield base | {"kind": "definition", "first_line": node.first, "last_line": node.last, "chunk_type": node.kind, "name": node.name, "parent_name": parent, "content": body}
             own = f"{parent}::{node.name}" if parent and node.name else node.name or parent
-            if len(body) <= 1500:  # an oversize node is only windowed
+            if len(body) <= size:  # an oversize node is only windowed
                 for child in node.children:
                     yield from emit(child, own)
 
@@ -239,12 +303,12 @@ def _code(parser: str) -> Callable[[dict], Iterator[dict]]:
     return each
 
 
-def code_blocks(parser: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def code_blocks(parser: str, size: int, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     if parser not in PARSERS:
         raise ValueError(f"no parser named {parser}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _run(batches, _code(parser))
+        yield from _run(batches, _code(parser, size), step)
 
     return run
 

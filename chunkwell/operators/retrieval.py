@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Iterator
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +13,12 @@ from pyspark.sql import functions as F
 from chunkwell.schema import FILE_KEY
 
 DIMENSIONS = 256
+EMBEDDING = "array<struct<bucket: int, weight: long>>"
 SPAN = [*FILE_KEY, "start_line", "end_line"]
 
 
 class Embedder(Protocol):
-    """Turns texts into sparse vectors: (key columns, bucket, weight), a row for each bucket that is not 0."""
+    """Turns texts into sparse vectors: key columns and `embedding`, of type EMBEDDING; rows without a word may be left out."""
 
     def embed(self, texts: DataFrame, key: list[str], text: str) -> DataFrame: ...
 
@@ -24,20 +27,50 @@ class HashedEmbedder:
     """Counts of words by hashed bucket; a stand-in without a model, exact on every engine."""
 
     def embed(self, texts: DataFrame, key: list[str], text: str) -> DataFrame:
-        words = texts.select(*key, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("w")).where("w <> ''")
+        # dealt by key first, the texts are all that moves: both sums find a key's rows together
+        dealt = texts.select(*key, F.lower(text).alias("_t")).repartition(*key)
+        words = dealt.select(*key, F.explode(F.split("_t", r"[^\p{L}\p{N}]+")).alias("w")).where("w <> ''")
         bucket = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long") % DIMENSIONS
-        return words.select(*key, bucket.alias("bucket")).groupBy(*key, "bucket").agg(F.count("*").alias("weight"))
+        counts = words.select(*key, bucket.cast("int").alias("bucket")).groupBy(*key, "bucket").agg(F.count("*").alias("weight"))
+        return counts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("embedding"))  # DIMENSIONS buckets
 
 
-def sparse_top_k(items: DataFrame, item: str, queries: DataFrame, query: str, k: int) -> DataFrame:
-    """Cosine top-k of sparse vectors by an equi-join on buckets: query, rank, item, score."""
-    norm = lambda df, key: df.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("norm"))
-    pairs = items.select(item, "bucket", "weight").join(queries.select(query, "bucket", F.col("weight").alias("_w")), "bucket")
-    dots = pairs.groupBy(query, item).agg(F.sum(F.col("weight") * F.col("_w")).alias("dot"))
-    dots = dots.join(norm(items, item).withColumnRenamed("norm", "a"), item).join(norm(queries, query).withColumnRenamed("norm", "b"), query)
-    score = F.col("dot") / (F.sqrt(F.col("a").cast("double")) * F.sqrt(F.col("b").cast("double")))
+def _blocks(queries: DataFrame, key: str, most: int) -> Iterator[list[dict]]:
+    """The queries in blocks of at most `most` or about that many rows."""
+    blocks = max(1, -(-queries.count() // most))
+    for n in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == n) if blocks > 1 else queries
+        yield [r.asDict(recursive=True) for r in block.collect()]
+
+
+def _each(rows: list[dict], kind: str) -> Column:
+    """A literal array of structs, exploded, so that a plan goes through its rows once for a block of queries."""
+    return F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>"))
+
+
+def _dense(entries: list[dict]) -> list[int]:
+    out = [0] * (1 + max((e["bucket"] for e in entries), default=-1))
+    for e in entries:
+        out[e["bucket"]] = e["weight"]
+    return out
+
+
+def sparse_top_k(items: DataFrame, item: str, queries: DataFrame, query: str, k: int, most_queries: int = 64) -> DataFrame:
+    """Cosine top-k of sparse vectors: query, rank, item, score; vectors without a common bucket never meet.
+
+    The queries, numbers by `query`, go to the items in blocks as they are few; no vector is shuffled,
+    and of the scores each task sends on its k best at most.
+    """
+    parts, zero = [], F.lit(0).cast("long")
+    for block in _blocks(queries.select(query, "embedding"), query, most_queries):
+        asked = [{"q": r[query], "v": (v := _dense(r["embedding"])), "b": sum(x * x for x in v)} for r in block]
+        norm = F.aggregate("embedding", zero, lambda s, w: s + w["weight"] * w["weight"])
+        dot = F.aggregate("embedding", zero, lambda s, w: s + w["weight"] * F.coalesce(F.get(F.col("_q.v"), w["bucket"]), zero))
+        rows = items.select(item, "embedding", norm.alias("a"), _each(asked, "q long, v array<long>, b long").alias("_q"))
+        rows = rows.select(F.col("_q.q").alias(query), item, dot.alias("dot"), "a", F.col("_q.b").alias("b")).where("dot > 0")
+        parts.append(rows.select(query, item, (F.col("dot") / (F.sqrt(F.col("a").cast("double")) * F.sqrt(F.col("b").cast("double")))).alias("score")))
     order = Window.partitionBy(query).orderBy(F.col("score").desc(), F.col(item))
-    ranked = dots.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(query, "rank", item, "score")
 
 
@@ -56,23 +89,14 @@ def nearest(vectors: DataFrame, query: list[float] | Column, k: int, key: str =
 
 def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
     """k nearest vectors (vec_id, embedding, ...) of each query (query_no, point), in blocks of `most_queries` queries."""
-    count = queries.count()
-    blocks = max(1, -(-count // most_queries))
-    out: DataFrame | None = None
-    for n in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_no"), F.lit(blocks)) == n) if blocks > 1 else queries
-        points = [(r["query_no"], list(r["point"])) for r in block.select("query_no", "point").collect()]  # a bounded block
-        if not points:
-            continue
-        asked = F.array(*[F.struct(F.lit(q).cast("long").alias("query_no"), F.array(*map(F.lit, p)).alias("point")) for q, p in points])
-        rows = vectors.where(F.col("embedding").isNotNull()).withColumn("_q", F.explode(asked))
-        rows = rows.withColumn("distance", squared_distance("embedding", "_q.point")).withColumn("query_no", F.col("_q.query_no")).drop("_q")
-        order = Window.partitionBy("query_no").orderBy("distance", "vec_id")
-        part = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.where("false").select("*", F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("query_no"), F.lit(0).alias("rank"))
-    return out
+    parts = []
+    for block in _blocks(queries.select("query_no", "point"), "query_no", most_queries):
+        asked = [{"q": r["query_no"], "p": r["point"]} for r in block]
+        rows = vectors.where(F.col("embedding").isNotNull()).withColumn("_q", _each(asked, "q long, p array<double>"))
+        rows = rows.withColumn("distance", squared_distance("embedding", "_q.p")).withColumn("query_no", F.col("_q.q")).drop("_q")
+        parts.append(rows)
+    order = Window.partitionBy("query_no").orderBy("distance", "vec_id")
+    return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def first_wins(hits: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -87,5 +111,3 @@ def expand_context(hits: DataFrame, factor: int = 0) -> DataFrame:
     """Neighbouring chunks are not added for any factor; the hits pass unchanged."""
     return hits
 
-
-EMBEDDERS: dict[str, Callable[[], Embedder]] = {"hashed": HashedEmbedder}

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import json
+import logging
 import uuid
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.functions.text import citations
-from chunkwell.operators import chunking, retrieval
+from chunkwell.functions.text import citations, is_blank
+from chunkwell.operators import chat, chunking, retrieval
 from chunkwell.operators.retrieval import Embedder, HashedEmbedder
 from chunkwell.plans import prompt as prompts
+from chunkwell.schema import SESSION, TURN
 from chunkwell.settings import Settings
 from chunkwell.sources.files import read_directory
-from chunkwell.sources.store import Store, with_ids
+from chunkwell.sources.store import Store, embedded, with_ids
+
+_LOG = logging.getLogger(__name__)
+#: Fixed value: characters of a question that are logged.
+LOGGED = 100
 
 
 class Generator(Protocol):
@@ -42,8 +48,8 @@ class ExtractiveGenerator:
         return None
 
 
-EMPTY_ANSWER = "I'm sorry, I couldn't generate a response."
-FAILED_ANSWER = "I'm sorry, something went wrong while generating a response."
+EMPTY_ANSWER = "The generator gave no answer to this question."
+FAILED_ANSWER = "The generator failed on this question."
 
 
 def safe_answer(generator: Generator, prompt: str) -> str:
@@ -69,31 +75,40 @@ class NotFound(LookupError):
 
 
 class Engine:
-    """One session of the engine; conversations live as long as it does."""
+    """One session of the engine; conversations are tables that live as long as it does."""
 
     def __init__(self, spark: SparkSession, settings: Settings | None = None, embedder: Embedder | None = None, generator: Generator | None = None) -> None:
         self.spark, self.settings = spark, settings or Settings()
-        self.store = Store(spark, self.settings.store_path)
+        self.store = Store(spark, self.settings.store_path, self.settings.max_records)
         self.embedder, self.generator = embedder or HashedEmbedder(), generator or ExtractiveGenerator()
-        self.chats: dict[str, list[tuple[str, str]]] = {}
+        self._turns: DataFrame = spark.createDataFrame([], TURN)
+        self._sessions: DataFrame = spark.createDataFrame([], SESSION)
 
-    def ingest(self, files: DataFrame | str, repo_name: str, mode: str = "upsert") -> None:
-        """Chunk files, or those of a directory, and write them to the repository's collection."""
+    def ingest(self, files: DataFrame | str, repo_name: str, mode: str = "upsert") -> list[dict]:
+        """Chunk files, or those of a directory, embed the chunks and write them; the files that gave no chunk, by path."""
         rows = read_directory(self.spark, files, repo_name) if isinstance(files, str) else files
-        self.store.write(repo_name, with_ids(chunking.chunk_files(rows)), mode)
+        self.store.write(repo_name, embedded(with_ids(chunking.chunk_files(rows)), self.embedder), mode)
+        return [r.asDict() for r in self.unchunked(rows, repo_name).collect()]
+
+    def unchunked(self, files: DataFrame, repo_name: str) -> DataFrame:
+        """(file_path, error) of files of which the collection holds nothing, so that none is lost unseen."""
+        there = self.store.read(repo_name).select("file_path").distinct()
+        reason = F.when(F.col("content").isNull(), "no content").when(is_blank("content"), "blank").otherwise("no chunk")
+        return files.select("file_path", reason.alias("error")).join(there, "file_path", "left_anti")
 
     def retrieve(self, repo_name: str, queries: list[str], top_k: int) -> DataFrame:
-        """Hits of every query, in order: query_no, rank and chunk columns."""
+        """Hits of every query, in order: query_no, rank and chunk columns, as a local table of at most queries * top_k rows."""
         records = self.store.read(repo_name)
-        asked = self.spark.createDataFrame(list(enumerate(queries)), "query_no long, text string")
-        items = self.embedder.embed(records, ["id"], "content")
-        best = retrieval.sparse_top_k(items, "id", self.embedder.embed(asked, ["query_no"], "text"), "query_no", top_k)
-        return best.join(records, "id")
+        asked = self.embedder.embed(self.spark.createDataFrame(list(enumerate(queries)), "query_no long, text string"), ["query_no"], "text")
+        best = retrieval.sparse_top_k(records.select("id", "embedding"), "id", asked, "query_no", top_k)
+        found = F.broadcast(best).join(records.drop("embedding"), "id")
+        return self.spark.createDataFrame(found.collect(), found.schema)
 
     def query(self, repo_name: str, question: str, conversation_id: str | None = None, top_k: int | None = None, two_pass: bool | None = None) -> dict:
-        """{query, answer, sources, conversation_id, status}; NotFound for a missing repository or no hit."""
+        """{query, answer, sources, conversation_id, status}; NotFound for a missing repository, no hit, or an answer that says so."""
         if top_k is not None and top_k < 3:
             raise ValueError("top_k must be at least 3")
+        _LOG.info("query of %s: %s...", repo_name, question[:LOGGED])
         if not self.store.exists(repo_name):
             raise NotFound(repo_name)
         k = top_k or self.settings.top_k
@@ -110,20 +125,41 @@ class Engine:
             row = prompts.rag_prompt(hits, question, past).collect()[0]
             found = bool(hits.take(1))
         except Exception as error:  # noqa: BLE001
-            return base | {"answer": f"Retrieval error: {error}", "status": "error"}
+            return base | {"answer": f"The search failed: {error}", "status": "error"}
         if not found:
             raise NotFound(prompts.NOT_FOUND)
         answer = safe_answer(self.generator, row["prompt"])
-        cited = self.spark.range(1).select(citations(F.lit(answer)).alias("c")).collect()[0]["c"]
+        literal = F.lit(answer)
+        told = self.spark.range(1).select(citations(literal).alias("c"), prompts.is_not_found(literal).alias("none")).collect()[0]
+        if told["none"]:
+            raise NotFound(answer)
         if conversation_id is not None:
-            self.chats.setdefault(conversation_id, []).append((question, answer))
-        return base | {"answer": answer, "sources": [c.asDict() for c in cited], "status": "ok"}
+            new = self.spark.createDataFrame([(conversation_id, 1, question, answer)], "conversation_id string, at int, query string, response string")
+            self._turns = self._local(chat.add_messages(self._turns, new))
+            self._know(conversation_id)
+        return base | {"answer": answer, "sources": [c.asDict() for c in told["c"]], "status": "ok"}
+
+    def _local(self, rows: DataFrame) -> DataFrame:
+        """The rows as a table without lineage: a session's turns are few."""
+        return self.spark.createDataFrame(rows.collect(), rows.schema)
+
+    def _know(self, conversation_id: str) -> None:
+        if conversation_id not in self.sessions():
+            at = len(self.sessions())
+            self._sessions = self._local(self._sessions.union(self.spark.createDataFrame([(conversation_id, at)], SESSION)))
 
     def _history(self, conversation_id: str | None) -> Column:
-        turns = self.chats.get(conversation_id, []) if conversation_id is not None else []
-        if not turns:
+        own = chat.history(self._turns.where(F.col("conversation_id").eqNullSafe(F.lit(conversation_id)))).collect()
+        if not own:
             return F.lit("")
-        return prompts.history_text(F.array(*[F.struct(F.lit(q).alias("query"), F.lit(a).alias("response")) for q, a in turns]))
+        pairs = [F.struct(F.lit(t["query"]).alias("query"), F.lit(t["response"]).alias("response")) for t in own[0]["turns"]]
+        return prompts.history_text(F.array(*pairs))
+
+    @property
+    def chats(self) -> dict[str, list[tuple[str, str]]]:
+        """The turns of every known conversation, in order."""
+        found = {r["conversation_id"]: [(t["query"], t["response"]) for t in r["turns"]] for r in chat.history(self._turns).collect()}
+        return {name: found.get(name, []) for name in self.sessions()}
 
     def repos(self) -> list[str]:
         return self.store.list()
@@ -135,12 +171,13 @@ class Engine:
 
     def new_session(self) -> str:
         name = str(uuid.uuid4())
-        self.chats[name] = []
+        self._know(name)
         return name
 
     def clear(self, conversation_id: str) -> None:
         """Forget a conversation; an unknown one changes nothing."""
-        self.chats.pop(conversation_id, None)
+        gone = self.spark.createDataFrame([(conversation_id,)], "conversation_id string")
+        self._turns, self._sessions = (self._local(chat.clear(rows, gone)) for rows in (self._turns, self._sessions))
 
     def sessions(self) -> list[str]:
-        return list(self.chats)
+        return [r["conversation_id"] for r in self._sessions.orderBy("at").collect()]

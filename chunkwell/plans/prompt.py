@@ -19,12 +19,13 @@ You split a question about a collection of source files into 3 to 7 smaller ones
 Each must ask for one thing, be fit for a search, use the words of the excerpts, and repeat nothing already answered.
 Reply with a JSON object only: {"subquestions": ["...", "..."]}
 """
+#: The answer when nothing was found, and how such answers are told.
 NOT_FOUND = "I could not find any relevant information in the codebase for your query."
 NOT_FOUND_MARK = "I could not find any relevant information"
 
 
 def history_text(turns: Column) -> Column:
-    """Conversation text from an array of (query, response); empty for none."""
+    """Conversation text from an array of (query, response); empty for none.  Its labels are fixed values."""
     lines = F.transform(
         turns,
         lambda t, i: F.concat(
@@ -36,7 +37,7 @@ def history_text(turns: Column) -> Column:
 
 
 def chunk_text() -> Column:
-    """A chunk as it stands in a prompt; nulls are empty."""
+    """A chunk as it stands in a prompt, a fixed format; nulls are empty."""
     part = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     return F.concat(
         F.lit("\n<DOC_START>\nFile: "), part("file_path"), F.lit("\nLanguage: "), part("language"), F.lit("\nType: "), part("chunk_type"), F.lit(" "), part("name"),
@@ -65,13 +66,13 @@ def _assemble(hits: DataFrame, system: str, head: str, query: str, context: str,
 
 def rag_prompt(hits: DataFrame, query: str, history: Column | None = None, system: str = SYSTEM, limit: int = MAX_TOKENS) -> DataFrame:
     """One row (prompt, chunks) from hits (place, chunk columns); the history's tokens are not counted."""
-    ending = "Based on the provided context and your instructions, please answer the user's query."
+    ending = "Answer the query above from these excerpts, as the instructions say."
     return _assemble(hits, system, "User Query: ", query, "Relevant Code Context:", history if history is not None else F.lit(""), False, ending, limit)
 
 
 def subquestion_prompt(hits: DataFrame, query: str, history: Column | None = None, system: str = SUBQUESTION_SYSTEM, limit: int = MAX_TOKENS) -> DataFrame:
     """One row (prompt, chunks) that asks for sub-questions; the history's tokens are counted."""
-    ending = "Based on the above, generate sub-questions as a JSON object."
+    ending = "Reply with the JSON object of smaller questions now."
     return _assemble(hits, system, "Original User Query: ", query, "Initial Code Context:", history if history is not None else F.lit(""), True, ending, limit)
 
 

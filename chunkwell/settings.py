@@ -9,11 +9,11 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
-    """A key is required by generators that call a service; the offline default needs none."""
+    """A key is required by generators that call a service, the offline default needs none; files of at most `max_records` records, 0 for any number."""
 
     store_path: str = "collections"
     api_key: str = ""
-    embedder: str = "hashed"
+    max_records: int = 0
     top_k: int = 3
     context_expansion: int = 0
     two_pass: bool = True
@@ -23,7 +23,7 @@ class Settings:
         env = os.environ if env is None else env
         get = lambda name, default: env.get(f"CHUNKWELL_{name}", default)
         out = cls(
-            get("STORE_PATH", cls.store_path), get("API_KEY", ""), get("EMBEDDER", cls.embedder), int(get("TOP_K", cls.top_k)),
+            get("STORE_PATH", cls.store_path), get("API_KEY", ""), int(get("MAX_RECORDS", 0)), int(get("TOP_K", cls.top_k)),
             int(get("CONTEXT_EXPANSION", 0)), str(get("TWO_PASS", "true")).lower() in ("1", "true", "yes"),
         )
         if key_required and not out.api_key.strip():

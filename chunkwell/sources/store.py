@@ -1,20 +1,26 @@
-"""Collections of chunks as versioned Parquet folders; a pointer row names the version that counts.
+"""Collections of chunks as versioned Parquet folders; a numbered pointer file names the version that counts.
 
-A collection is a folder `<root>/<collection>`; each write makes a new version folder and then a new
-pointer file, so a reader never sees half a write and a failed write changes nothing.
+A collection is a folder `<root>/<collection>`.  A write makes a new version folder from the one that
+counts, then the pointer file of the next number, which fails if another writer has made it
+meanwhile; the write is then made again from that writer's version.  So a reader never sees half a
+write, a failed write changes nothing, and of two writers none loses rows.  Versions older than the
+last two are removed.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkwell.functions.text import chunk_id, collection_name
+from chunkwell.operators.retrieval import EMBEDDING, Embedder
 from chunkwell.schema import CHUNK
 
-RECORD = f"id string, {CHUNK}"
+RECORD = f"id string, {CHUNK}, embedding {EMBEDDING}"
+KEPT_VERSIONS = 2
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:
@@ -35,11 +41,24 @@ def merged(existing: DataFrame, new: DataFrame, mode: str = "upsert") -> DataFra
     return existing.join(new.select("id").distinct(), "id", "left_anti").unionByName(new)
 
 
+def embedded(records: DataFrame, embedder: Embedder, text: str = "content") -> DataFrame:
+    """Add `embedding`, empty for a text without a word."""
+    found = embedder.embed(records, ["id"], text)
+    none = F.array().cast(EMBEDDING)
+    return records.join(found, "id", "left").withColumn("embedding", F.coalesce("embedding", none))
+
+
+def scratch_store(spark: SparkSession, name: str) -> Store:
+    """A new store below the folder that the cluster shares: spark.checkpoint.dir, else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return Store(spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
 class Store:
-    """Collections below a root folder of any store that Spark writes."""
+    """Collections below a root folder of any store that Spark writes; files of at most `max_records` records, if given."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, max_records: int = 0) -> None:
+        self.spark, self.root, self.max_records = spark, root.rstrip("/"), max_records
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -51,40 +70,91 @@ class Store:
     def list(self) -> list[str]:
         """Names of the collections, in order; an unreadable root has none."""
         try:
-            return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory())
-        except Exception:  # noqa: BLE001
+            return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory() and s.getPath().getName()[0] != ".")
+        except Py4JJavaError:
             return []
 
     def exists(self, name: str) -> bool:
         return self._normal(name) in self.list()
 
-    def _current(self, name: str) -> str | None:
-        pointer = f"{self.root}/{name}/pointer"
-        if not self._fs.exists(self._path(pointer)):
-            return None
-        row = self.spark.read.json(pointer).orderBy(F.col("n").desc()).limit(1).collect()
-        return f"{self.root}/{name}/{row[0]['version']}" if row else None
+    def _pointers(self, normal: str) -> list[tuple[int, str]]:
+        """Numbers and versions of a collection's pointers, the last first; those still being written are not there yet."""
+        at = self._path(f"{self.root}/{normal}/pointers")
+        if not self._fs.exists(at):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(at) if s.getLen() > 0]
+        out = []
+        for name in sorted((n for n in names if n.isdigit()), reverse=True)[: KEPT_VERSIONS + 1]:
+            stream = self._fs.open(self._path(f"{at.toString()}/{name}"))
+            out.append((int(name), bytes(stream.readAllBytes()).decode()))
+            stream.close()
+        return out
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.option("maxRecordsPerFile", self.max_records).parquet(path)
+        return self.spark.read.schema(RECORD).parquet(path)
 
     def read(self, name: str) -> DataFrame:
         """Records of a collection; none if it is missing."""
-        at = self._current(self._normal(name))
-        return self.spark.read.schema(RECORD).parquet(at) if at else self.spark.createDataFrame([], RECORD)
+        normal = self._normal(name)
+        found = self._pointers(normal)
+        return self.spark.read.schema(RECORD).parquet(f"{self.root}/{normal}/{found[0][1]}") if found else self.spark.createDataFrame([], RECORD)
 
     def write(self, name: str, records: DataFrame, mode: str = "upsert") -> None:
-        """Merge records into a collection, made if missing; no records change nothing."""
-        if not records.take(1):
-            return
+        """Merge records into a collection, made if missing; no records change nothing.  The records are computed once."""
         normal = self._normal(name)
-        version = f"v-{uuid.uuid4().hex}"
-        names = [x.split()[0] for x in RECORD.split(", ")]
-        merged(self.read(name).select(*names), records.select(*names), mode).write.parquet(f"{self.root}/{normal}/{version}")
-        pointer = f"{self.root}/{normal}/pointer"
-        n = 1 + (self.spark.read.json(pointer).count() if self._fs.exists(self._path(pointer)) else 0)
-        self.spark.createDataFrame([(n, version)], "n long, version string").coalesce(1).write.mode("append").json(pointer)
+        names = self.spark.createDataFrame([], RECORD).columns
+        staged = f"{self.root}/{normal}/new-{uuid.uuid4().hex}"
+        fresh = not self._fs.exists(self._path(f"{self.root}/{normal}"))
+        new = self._write(records.select(*names), staged)
+        try:
+            if not new.take(1):
+                if fresh:
+                    self._fs.delete(self._path(f"{self.root}/{normal}"), True)
+                return
+            while True:
+                before = self._pointers(normal)
+                version = f"v-{uuid.uuid4().hex}"
+                self._write(merged(self.read(name).select(*names), new, mode), f"{self.root}/{normal}/{version}")
+                if self._point(normal, 1 + (before[0][0] if before else 0), version):
+                    break
+                self._fs.delete(self._path(f"{self.root}/{normal}/{version}"), True)
+            for number, old in before[KEPT_VERSIONS - 1 :]:
+                self._fs.delete(self._path(f"{self.root}/{normal}/{old}"), True)
+                self._fs.delete(self._path(f"{self.root}/{normal}/pointers/{number:012d}"), False)
+        finally:
+            self._fs.delete(self._path(staged), True)
+
+    def write_all(self, records: DataFrame, name: Column) -> None:
+        """Put records into the collections that their `name` column says, in one pass; these then hold nothing else."""
+        columns, staged = self.spark.createDataFrame([], RECORD).columns, f"{self.root}/.new-{uuid.uuid4().hex}"
+        rows = records.select(*columns, collection_name(name).alias("_collection")).where("_collection <> ''")
+        rows.write.option("maxRecordsPerFile", self.max_records).partitionBy("_collection").parquet(staged)
+        for status in self._fs.listStatus(self._path(staged)):
+            if not status.isDirectory():
+                continue
+            normal, version = status.getPath().getName().partition("=")[2], f"v-{uuid.uuid4().hex}"
+            self._fs.mkdirs(self._path(f"{self.root}/{normal}"))
+            self._fs.rename(status.getPath(), self._path(f"{self.root}/{normal}/{version}"))
+            while not self._point(normal, 1 + max([0, *(n for n, _ in self._pointers(normal))]), version):
+                pass
+        self._fs.delete(self._path(staged), True)
+
+    def _point(self, normal: str, number: int, version: str) -> bool:
+        """Make a pointer; False if its number is taken."""
+        try:
+            stream = self._fs.create(self._path(f"{self.root}/{normal}/pointers/{number:012d}"), False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in str(error.java_exception.getClass().getName()):
+                return False
+            raise
+        stream.write(bytearray(version.encode()))
+        stream.close()
+        return True
 
     def delete(self, name: str) -> bool:
         """Remove a collection; False if it was missing or could not be removed."""
         try:
             return bool(self.exists(name) and self._fs.delete(self._path(f"{self.root}/{self._normal(name)}"), True))
-        except Exception:  # noqa: BLE001
+        except Py4JJavaError:
             return False

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from chunkwell.operators import chunking
+from chunkwell.operators import chunking, definitions
 from chunkwell.operators.definitions import tree_lines
 
 MARKDOWN = "intro\n\n# A\ntext\n```\n# not\n```\n### C\nx\n## B\ny\n####### deep\nz\n#nohead\n# D #\n"
@@ -68,6 +68,67 @@ def test_code(spark):
     assert {(r.chunk_type, r.name) for r in parts} == {("function_part", "f")} and len(parts) == 3
 
 
+def test_many_blocks_keep_their_order(spark):
+    text = "".join(f"a{i} = {i}\ndef f{i}():\n    return {i}\n" for i in range(12_000))
+    rows = chunking.python_chunks(chunking.dispatch(files(spark, a__py=text))).select("seq", "start_line", "chunk_type").collect()
+    assert len(rows) == 24_000 == len({r.seq for r in rows})
+    for kind in ("function", "top_level_code"):
+        lines = [r.start_line for r in sorted(rows, key=lambda r: r.seq) if r.chunk_type == kind]
+        assert lines == sorted(lines)
+    long = "x = 1\n" * 3000 + "def f():\n    pass\n" + "y = 2\n" * 3000
+    rows = chunking.python_chunks(chunking.dispatch(files(spark, a__py=long))).collect()
+    loose = [r.start_line for r in sorted(rows, key=lambda r: r.seq) if r.chunk_type == "top_level_code"]
+    assert loose == sorted(loose) and len({r.seq for r in rows}) == len(rows)
+
+
+def test_size_holds_for_definitions_too(spark):
+    text = "class Box {\n" + "".join(f"  m{i}() {{\n    return {i};\n  }}\n" for i in range(24)) + "}\n"
+    assert 600 < len(text) < 1500
+    kinds = lambda size: {r.chunk_type for r in chunking.code_chunks(chunking.dispatch(files(spark, a__js=text)), size, 50).collect()}
+    assert kinds(1500) == {"class", "method"} and kinds(500) == {"class_part"}
+
+
+class FakeNode:
+    """A syntax node as the grammars' parser gives it."""
+
+    def __init__(self, type, first, last, *children, name=None, text=""):
+        self.type, self.start_point, self.end_point, self.children, self.text = type, (first, 0), (last, 0), list(children), text.encode()
+        self.named = FakeNode("identifier", first, first, text=name) if name else None
+
+    def child_by_field_name(self, field):
+        return self.named if field == "name" else None
+
+
+def test_syntax_trees_of_grammars():
+    method = FakeNode("method_definition", 2, 3, name="m")
+    wrapper = FakeNode("class_body", 1, 4, FakeNode("{", 1, 1), method)
+    root = FakeNode("program", 0, 9, FakeNode("lexical_declaration", 0, 0), FakeNode("class_declaration", 1, 4, wrapper, name="Box"), FakeNode("function_declaration", 6, 8, FakeNode("identifier", 6, 6, text="f")))
+    loose, box, f = definitions.tree_nodes(root)
+    assert (loose.kind, loose.first, loose.last) == (None, 1, 1)
+    assert (box.kind, box.name, box.first, box.last, [(c.kind, c.name, c.first) for c in box.children]) == ("class", "Box", 2, 5, [("method", "m", 3)])
+    assert (f.kind, f.name) == ("function", "f")
+    assert definitions.grammar_nodes("class A {}\n", "javascript")[0].name == "A"
+
+
+CODE = {
+    "go": ("package a\n\ntype Box struct {\n}\n\nfunc (b Box) Size() int {\n\treturn 1\n}\n\nfunc Run() {\n}\n", [("struct", "Box"), ("method", "Size"), ("function", "Run")]),
+    "rs": ("struct Box {\n}\n\nimpl Box {\n    fn size() -> i32 {\n        1\n    }\n}\n\ntrait T {\n}\n\npub fn run() {\n}\n", [("struct", "Box"), ("implementation", "Box"), ("function", "size"), ("trait", "T"), ("function", "run")]),
+    "java": ("class Box {\n  Box() {\n  }\n  int size() {\n    return 1;\n  }\n}\ninterface I {\n}\n", [("class", "Box"), ("constructor", "Box"), ("method", "size"), ("interface", "I")]),
+    "cpp": ("struct P {\n};\nint run(int x) {\n  return x;\n}\n", [("struct", "P"), ("function", "run")]),
+    "rb": ("module M\n  class Box\n    def size\n      1\n    end\n  end\nend\n", [("module", "M"), ("class", "Box"), ("method", "size")]),
+    "ts": ("interface I {\n}\nfunction run(x: number) {\n  return x;\n}\n", [("interface", "I"), ("function", "run")]),
+    "php": ("function run($x) {\n  return $x;\n}\nclass Box {\n}\n", [("function", "run"), ("class", "Box")]),
+    "cs": ("class Box {\n  int Size() {\n    return 1;\n  }\n}\n", [("class", "Box"), ("method", "Size")]),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(CODE))
+def test_definitions_of_other_languages(spark, kind):
+    text, expected = CODE[kind]
+    rows = chunking.code_chunks(chunking.dispatch(files(spark, **{f"a__{kind}": text}))).orderBy("seq").collect()
+    assert [(r.chunk_type, r.name) for r in rows if r.chunk_type != "top_level_code"] == expected
+
+
 def test_one_line_markup_keeps_its_first_window(spark):
     rows = files(spark, a__html="x" * 4000)
     assert chunking.markup_chunks(rows).count() == 1

@@ -6,8 +6,11 @@ import duckdb
 import pytest
 
 from chunkwell import catalogue
+from chunkwell.operators import chunking, retrieval
+from chunkwell.operators.retrieval import HashedEmbedder
 from chunkwell.plans.engine import EMPTY_ANSWER, FAILED_ANSWER, Engine, NotFound, safe_answer, subquestions
 from chunkwell.settings import Settings
+from chunkwell.sources.store import Store, embedded, with_ids
 
 DATA = "/root/testdata/sf0.001"
 RAW = "repo_name string, file_path string, file_type string, content string"
@@ -53,6 +56,63 @@ def test_engine(spark, tmp_path):
     assert engine.sessions() == [session]
 
 
+def test_answers_that_find_nothing_are_not_kept(spark, tmp_path):
+    engine = Engine(spark, Settings(store_path=str(tmp_path / "store"), two_pass=False), generator=Asking("Sorry. I could not find any relevant information here."))
+    lost = engine.ingest(spark.createDataFrame([("r", "a.txt", "txt", "the parser"), ("r", "b.txt", "txt", " \n"), ("r", "c.txt", "txt", None)], RAW), "r")
+    assert sorted((x["file_path"], x["error"]) for x in lost) == [("b.txt", "blank"), ("c.txt", "no content")]
+    session = engine.new_session()
+    with pytest.raises(NotFound):
+        engine.query("r", "parser", session)
+    assert engine.chats == {session: []}
+    engine.generator = Asking("fine")
+    for n in range(3):
+        engine.query("r", f"parser {n}", session)
+    engine.query("r", "parser", "given")
+    assert [q for q, _ in engine.chats[session]] == ["parser 0", "parser 1", "parser 2"] and engine.sessions() == [session, "given"]
+    engine.clear(session)
+    assert engine.chats == {"given": [("parser", "fine")]}
+
+
+def test_writers_lose_nothing(spark, tmp_path):
+    root = str(tmp_path / "store")
+    a, b = Store(spark, root), Store(spark, root, max_records=1)
+    chunks = lambda path: embedded(with_ids(chunking.chunk_files(spark.createDataFrame([("r", path, "txt", f"words of {path}")], RAW))), HashedEmbedder())
+    a.write("R", chunks("a.txt"))
+    point, raced = a._point, []
+
+    def late(normal, number, version):
+        if not raced:
+            raced.append(b.write("r", chunks("b.txt")))  # another writer comes first
+        return point(normal, number, version)
+
+    a._point = late
+    a.write("r", chunks("c.txt"))
+    assert {r.file_path for r in b.read("r").collect()} == {"a.txt", "b.txt", "c.txt"}
+    folders = [p.name for p in (tmp_path / "store" / "r").iterdir()]
+    assert len([f for f in folders if f.startswith("v-")]) == 2 and not [f for f in folders if f.startswith("new-")]
+    b.write("r", a.read("r"))
+    assert len(list((tmp_path / "store" / "r" / b._pointers("r")[0][1]).glob("part-*.parquet"))) >= 3
+    a.write("empty", chunks("a.txt").where("false"))
+    assert a.list() == ["r"] and not a.delete("empty") and a.delete("R") and a.list() == []
+
+
+def test_sparse_top_k_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = lambda n: [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 9)))) for i in range(n)]
+    items, asked, model = texts(120), texts(150), HashedEmbedder()
+    tables = [model.embed(spark.createDataFrame(x, f"{n} long, t string"), [n], "t") for x, n in ((items, "i"), (asked, "q"))]
+    vectors = [{r[0]: {e.bucket: e.weight for e in r.embedding} for r in t.collect()} for t in tables]
+    expected = set()
+    for q, v in vectors[1].items():
+        score = lambda w, v=v: sum(x * w.get(b, 0) for b, x in v.items()) / (sum(x * x for x in v.values()) ** 0.5 * sum(x * x for x in w.values()) ** 0.5)
+        best = sorted((-round(score(w), 12), i) for i, w in vectors[0].items() if score(w) > 0)[:4]
+        expected |= {(q, s) for s, _ in best}
+    got = retrieval.sparse_top_k(tables[0], "i", tables[1], "q", 4, most_queries=40).collect()
+    assert {(r.q, -round(r.score, 12)) for r in got} == expected
+
+
 def test_generators():
     assert safe_answer(Asking(), "p") == FAILED_ANSWER
     assert safe_answer(Asking(" "), "p") == EMPTY_ANSWER

@@ -55,6 +55,31 @@ def test_digest(spark):
     assert {(r.file_path, r.content) for r in rows} == {("a/b.py", "x = 1\ny"), ("c d.md", "# T"), ("Z", "last\n" + "=" * 50)}
 
 
+def test_digest_headers_as_they_come(spark):
+    bar = "=" * 48
+    heads = [f"{bar}\nFILE:b.py\n{bar}\nx", f"{bar}\nFILE: \n{bar}\nlost", f"{bar} FILE:  c.md  {bar} y", f"{bar}\n\nFILE:\td e.txt\n\n{bar}\n\nz"]
+    rows = [("n", "\n".join(heads)), ("r", "\r\n".join(heads).replace("\n", "\r\n").replace("\r\r", "\r"))]
+    got = sources.split_digest(spark.createDataFrame(rows, "repo_name string, digest string")).collect()
+    assert sorted((r.repo_name, r.file_path, r.content) for r in got) == [(n, p, c) for n in "nr" for p, c in (("b.py", "x"), ("c.md", "y"), ("d e.txt", "z"))]
+
+
+def test_undecodable_files_do_not_end_the_scan(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes("é".encode("latin-1") + b" x")
+    (tmp_path / "b.md").write_text("fine")
+    rows = sources.read_directory(spark, str(tmp_path), "r").orderBy("file_path").collect()
+    assert [r.content for r in rows] == ["\ufffd x", "fine"]
+
+
+def test_strip_takes_the_blanks_of_unicode(spark):
+    blanks = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    assert one(spark, T.strip(F.lit(blanks + "a \u3000b" + blanks))) == "a \u3000b" == (blanks + "a \u3000b" + blanks).strip()
+    assert one(spark, T.is_blank(F.lit(blanks))) and not one(spark, T.is_blank(F.lit("\u200b")))
+
+
+def test_urls_that_cannot_be_read(spark):
+    assert [one(spark, T.repository_name(F.lit(u))) for u in ("http://[::1/a/b", "http://h/a[b", "http://[::1]/a/b")] == ["default-repo-name", "a[b", "a--b"]
+
+
 def test_globs(spark):
     paths = ["a.py", "x/y.md", "node_modules/a.js", "q/node_modules/z/a.js", "b.min.js", "Makefile", "a.bin", "x/package.json"]
     rows = spark.createDataFrame([(p,) for p in paths], "p string").where(sources.wanted(F.col("p"))).collect()
