@@ -597,3 +597,150 @@ def test_documents_shorter_than_an_item(spark):
     got = decontam.find_passages(docs(spark, rows), bench).collect()
     assert {(r.doc_id, r.item_id): r.similarity for r in got} == pytest.approx(expected)
     assert decontam.drop_contaminated(docs(spark, rows), bench).count() == len(rows) - len({i for i, _ in expected})
+
+
+def test_toxicity_scores_equal_plain_convolution(spark):
+    """The score of every text, by loops over windows, filters and words, from the same weights."""
+    table, labels, _ = _labelled(spark, 300)
+    table = table.union(awkward(spark)).union(docs(spark, [(990, "eins", "de"), (991, "a . b", "en"), (991, "a . b", "en")]))
+    model = toxicity.train(table, labels)
+
+    def by_hand(text):
+        vectors = [sum((model.embed[i].astype(float) for i in toxicity._pieces(w)), np.zeros(toxicity.DIM)) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        out = float(model.bias)
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = 0.0  # a window may run past the end, where it sees nothing
+                for i in range(len(vectors)):
+                    best = max(best, sum(float(v @ model.filters[k][j][:, f]) for j, v in enumerate(vectors[i : i + width])))
+                out += best * float(model.out[k * toxicity.FILTERS + f])
+        return 1 / (1 + math.exp(-(model.scale * out + model.shift)))
+
+    rows = [(r.text, r.lang) for r in table.orderBy("doc_id", "text").collect() if len(r.text or "") < 10_000]
+    scored, value, mark = toxicity.score(table, model)
+    got = [r for r in scored.orderBy("doc_id", "text").collect() if len(r.text or "") < 10_000]
+    assert [r[value] for r in got] == pytest.approx([by_hand(t) for t, _ in rows], abs=1e-5)
+    assert all(r[mark] == (r[value] >= model.thresholds.get(r.lang, toxicity.THRESHOLD)) for r in got)
+
+
+def test_toxicity_gradients_lower_the_loss_and_thresholds_are_best(spark):
+    rng = np.random.default_rng(12)
+    score, label = rng.random(400), rng.random(400)
+    label = (label < score).astype(float)
+    lang = np.array(["a"] * 200 + ["b"] * 190 + ["c"] * 10, dtype=object)
+    found = toxicity._thresholds(score, label, lang, np.ones(400))
+    assert set(found) == {"a", "b"}
+    for one, limit in found.items():
+        s, y = score[lang == one], label[lang == one]
+        f1 = lambda t, s=s, y=y: 2 * ((s >= t) * y).sum() / ((s >= t).sum() + y.sum())
+        inside = [t for t in s if toxicity.LIMITS[0] < t < toxicity.LIMITS[1]]
+        assert f1(limit) >= max(map(f1, inside)) - 1e-9 or limit in toxicity.LIMITS
+
+
+def test_languages_equal_plain_forward_backward(spark):
+    """The shares of every text, word after word over the whole text, from the same weights."""
+    table, *_ = _labelled(spark, 200)
+    field = langid.train(table)
+    rng = random.Random(33)
+    long = " ".join(rng.choice(["en5xing", "de7xung", "12", "mixed"]) for _ in range(langid.BLOCK * 3 + 17))
+    rows = docs(spark, [(1, long, None), (2, "en1xing de2xung", None), (2, "en1xing de2xung", None), (3, "... 12", None), (4, None, None), (5, "a" * 3000, None)])
+    features, a = langid.Features(field.lexicon), np.exp(field.moves)
+
+    def by_hand(text):
+        e = []
+        for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+            ids, _ = features([w])
+            if len(ids):
+                total = field.weights[ids].sum(axis=0)
+                e.append(np.exp(total - total.max()))
+        if not e:
+            return "und", 0.0
+        ahead, back = [e[0] / e[0].sum()], [np.ones(len(field.names))]
+        for x in e[1:]:
+            ahead.append((ahead[-1] @ a) * x)
+            ahead[-1] /= ahead[-1].sum()
+        for x in e[:0:-1]:
+            back.append(a @ (back[-1] * x))
+            back[-1] /= back[-1].sum()
+        mass = [p * q / (p * q).sum() for p, q in zip(ahead, back[::-1], strict=True)]
+        share = np.mean(mass, axis=0)
+        return field.names[int(share.argmax())], float(share.max())
+
+    got = sorted(langid.identify(rows, field).collect(), key=lambda r: r.doc_id)
+    expected = [by_hand(r.text) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
+    assert [r.lang_pred for r in got] == [x for x, _ in expected]
+    assert [r.score for r in got] == pytest.approx([x for _, x in expected], abs=1e-9)
+
+
+def test_mixing_equals_brute_force(spark):
+    """Posteriors by counting words in Python, rates by the same steps in numpy."""
+    table, labels, _ = _labelled(spark, 120)
+    extra = [(500 + i, f"de{i}xung en{i}xing x", None) for i in range(30)] + [(600, None, "en"), (601, " ", "de"), (7, "en9xing", "en"), (7, "en9xing", "en")]
+    table = table.union(docs(spark, extra))
+    weights = {"en": 0.25, "de": 0.75}
+    rows, names, targets = mixing.mix(table, labels, weights=weights)
+    got = {r.doc_id: r for r in rows.collect()}
+    bucket = lambda w: (xxhash.xxh64_intdigest(w.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    split = lambda t: [bucket(w) % mixing.BUCKETS for w in re.split("[ \t\n\x0b\x0c\r]", (t or "").lower()) if w]
+    given = table.collect()
+    marked = {r.doc_id for r in labels.collect()} - {None}
+    counts, size = np.zeros((2, mixing.BUCKETS)), np.zeros(2)
+    for r in given:
+        if r.doc_id in marked and r.lang is not None:
+            size[names.index(r.lang)] += 1
+            for b in split(r.text):
+                counts[names.index(r.lang), b] += 1
+    logs = np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + mixing.BUCKETS))
+    texts = {}
+    for r in given:
+        texts.setdefault(r.doc_id, []).extend(split(r.text))
+    n = np.array([len(texts[i]) for i in got])
+    g = np.array([logs[:, texts[i]].sum(axis=1) + np.log(size / size.sum()) for i in got])
+    p = np.exp(g - g.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    assert [(r.n_tokens, r.p0, r.p1) for r in got.values()] == [(int(c), pytest.approx(a, abs=1e-9), pytest.approx(b, abs=1e-9)) for c, (a, b) in zip(n, p, strict=True)]
+    totals = n @ p
+    want = np.array([weights[x] for x in names])
+    target = want * (totals / want).max()
+    rate = np.ones(len(n))
+    for _ in range(mixing.STEPS):
+        error = ((rate * n) @ p - target) / totals.sum()
+        if np.abs(error / (totals / totals.sum())).max() < mixing.TOLERANCE:
+            break
+        rate = np.maximum(rate - p @ (error / (totals / totals.sum())), 0)
+    assert targets == pytest.approx(target) and [r.rate for r in got.values()] == pytest.approx(rate, abs=1e-6)
+
+
+def test_mixing_tells_what_it_cannot_reach(spark, monkeypatch):
+    table, labels, _ = _labelled(spark, 60)
+    monkeypatch.setattr(mixing, "STEPS", 0)
+    with pytest.warns(UserWarning, match="off their targets"):
+        mixing.mix(table, labels, weights={"en": 0.1, "de": 0.9})
+
+
+def test_stages_keep_columns_of_any_name_and_empty_tables(spark):
+    table, labels, _ = _labelled(spark, 120)
+    names = ["toxic_score", "toxic_rejected", "_id", "_n", "_k", "_own", "_count", "_copy", "_bucket", "_bits", "_key"]
+    wide = table.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    bench = spark.createDataFrame([(1, "no such words in any of these texts")], "item_id long, text string")
+    stages = {
+        "toxicity": lambda d: toxicity.drop_toxic(d, labels), "near": minhash.one_of_each_group,
+        "decontamination": lambda d: decontam.drop_contaminated(d, bench), "mixing": lambda d: mixing.mixed_documents(d, labels),
+    }
+    for name, stage in stages.items():
+        left = stage(wide).collect()
+        assert left and all(r[n] == f"{n}:{r.doc_id}" for r in left for n in names), name
+        assert stage(wide).columns == wide.columns and stage(wide.where("false")).count() == 0, name
+        odd = stage(awkward(spark)).collect()
+        assert {r.doc_id for r in odd} >= {1, 2, 3, 4, 5, 6, None}, name
+    twice = docs(spark, [(None, "the same words here", "en"), (None, "the same words here", "en"), (3, "x", "en"), (3, "x", "en")])
+    assert sorted((r.doc_id or 0) for r in minhash.one_of_each_group(twice).collect()) == [0, 0, 3]
+
+
+def test_samples_are_bounded(spark):
+    from chunkwell.llm._shared import hash_sample
+
+    rows = spark.range(20_000).withColumn("hot", F.lit(1))
+    assert 700 < hash_sample(rows, 20_000, 1000, "id").count() <= 1000
+    assert hash_sample(rows, 20_000, 1000, "hot").count() in (0, 1000)  # one key has all rows
+    assert hash_sample(rows.limit(10), 10, 1000, "id").count() == 10
