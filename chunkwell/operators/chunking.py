@@ -22,7 +22,8 @@ WHOLE_FILE = ("html", "css")  # grammars without a definition at top level
 
 
 def _choose(column: str, values: dict[str, str]) -> Column:
-    return F.coalesce(*[F.when(F.col(column) == k, F.lit(v)) for k, v in values.items()])
+    """The value of a column's text, null for others; the column is named once, as its expression may be long."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col(column))
 
 
 def dispatch(files: DataFrame) -> DataFrame:
