@@ -39,20 +39,25 @@ def _check(size: int, overlap: int) -> int:
     return size - overlap
 
 
-def windows(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: str = "content") -> DataFrame:
-    """A row for each window of each block's text that is not blank: content, start_line and end_line in the block, seq."""
+def windows(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: str = "content", whole: Column | None = None) -> DataFrame:
+    """A row for each window of each block's text that is not blank: content, start_line and end_line in the block, seq.
+
+    A block for which `whole` holds is one window, its text as it is.
+    """
     step = _check(size, overlap)
+    whole = F.lit(False) if whole is None else whole
     rest = [c for c in blocks.columns if c != text]
     length = F.length(text)
-    offsets = F.when(length > 0, F.sequence(F.lit(0), length - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    offsets = F.when(whole, F.array(F.lit(0))).when(length > 0, F.sequence(F.lit(0), length - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
     rows = blocks.where(~is_blank(text)).withColumn("_at", offsets)
     # newlines are counted once a step and summed up; a window's part gives those up to its end
     each = F.transform("_at", lambda o: newlines(F.substring(F.col(text), o + 1, F.lit(step))))
     lines = F.aggregate(each, F.array(F.lit(1)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
-    parts = F.transform("_at", lambda o: F.substring(F.col(text), o + 1, F.lit(size)))
-    rows = rows.select(*rest, F.posexplode(F.arrays_zip(lines.alias("l"), parts.alias("p"))).alias("seq", "_w")).where("_w.p is not null")
+    parts = F.when(whole, F.array(text)).otherwise(F.transform("_at", lambda o: F.substring(F.col(text), o + 1, F.lit(size))))
+    rows = rows.select(*rest, whole.alias("_one"), F.posexplode(F.arrays_zip(lines.alias("l"), parts.alias("p"))).alias("seq", "_w")).where("_w.p is not null")
     inner = newlines(F.substring("_w.p", F.lit(1), F.length("_w.p") - 1))
-    rows = rows.select(*rest, strip("_w.p").alias(text), F.col("_w.l").alias("start_line"), (F.col("_w.l") + inner).alias("end_line"), F.col("seq").cast("int").alias("seq"))
+    cut = F.when(F.col("_one"), F.col("_w.p")).otherwise(strip("_w.p"))
+    rows = rows.select(*rest, cut.alias(text), F.col("_w.l").alias("start_line"), (F.col("_w.l") + inner).alias("end_line"), F.col("seq").cast("int").alias("seq"))
     return rows.where(F.col(text) != "")
 
 
@@ -70,7 +75,7 @@ def generic_chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -
     return as_chunks(windows(files, size, overlap), chunk_type=F.lit("text_block"), language=F.col("file_type"))
 
 
-def span_dedup(chunks: DataFrame, span: list[str] | None = None) -> DataFrame:
+def span_dedup(chunks: DataFrame, span: list[str | Column] | None = None) -> DataFrame:
     """The first chunk, by seq, of each span of lines of a file."""
     order = Window.partitionBy(*FILE_KEY, *(span or ["start_line", "end_line"])).orderBy("seq")
     return chunks.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
@@ -120,32 +125,38 @@ def sections(lines: DataFrame, key: list[str]) -> DataFrame:
     return as_chunks(rows, chunk_type=F.lit("heading_section"), language=F.lit("markdown"))
 
 
-def _shifted(blocks: DataFrame, size: int, overlap: int, **values: Column) -> DataFrame:
-    """Windows of blocks of files, their lines shifted to the file's and numbered on from the block's number."""
-    rows = windows(blocks.withColumnRenamed("seq", "_block"), size, overlap)
-    shift = F.col("first_line") - 1
-    return as_chunks(rows, start_line=F.col("start_line") + shift, end_line=F.col("end_line") + shift, seq=F.col("_block") + F.col("seq"), **values)
+def _block_chunks(blocks: DataFrame, size: int, overlap: int, whole: Column, windowed_type: Column, language: Column) -> DataFrame:
+    """Chunks of the blocks of files in one pass over them: whole blocks, and windows of the others.
+
+    Lines are shifted to the file's, and windows numbered on from their block's number; a file that did
+    not parse is a block of its own, chunked as plain text.
+    """
+    rows = windows(blocks.withColumnRenamed("seq", "_block"), size, overlap, whole=whole)
+    plain = F.col("kind") == "unparsed"
+    shift = F.coalesce(F.col("first_line") - 1, F.lit(0))
+    return as_chunks(
+        rows, start_line=F.col("start_line") + shift, end_line=F.when(whole, F.col("last_line")).otherwise(F.col("end_line") + shift),
+        chunk_type=F.when(plain, "text_block").when(whole, F.col("chunk_type")).otherwise(windowed_type),
+        language=F.when(plain, F.col("file_type")).otherwise(language), seq=F.col("_block") + F.col("seq"),
+    )
 
 
 def python_chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Definitions by their syntax tree, windows of the lines between; a file that does not parse is windowed whole."""
     found = files.where(~is_blank("content")).mapInArrow(definitions.python_blocks(_check(size, overlap)), definitions.BLOCK)
-    defined = as_chunks(found.where("kind = 'definition'"), start_line=F.col("first_line"), end_line=F.col("last_line"), language=F.lit("python"))
-    # leading blanks of a block are cut before its lines are counted
-    between = found.where("kind = 'between'").withColumn("content", strip("content"))
-    loose = _shifted(between, size, overlap, chunk_type=F.lit("top_level_code"), language=F.lit("python"))
-    return defined.union(loose).union(generic_chunks(found.where("kind = 'unparsed'").select(*FILE_KEY, "file_type", "content"), size, overlap))
+    # leading blanks of a block between definitions are cut before its lines are counted
+    found = found.withColumn("content", F.when(F.col("kind") == "between", strip("content")).otherwise(F.col("content")))
+    return _block_chunks(found, size, overlap, F.col("kind") == "definition", F.lit("top_level_code"), F.lit("python"))
 
 
 def code_chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, parser: str = "grammar") -> DataFrame:
     """Definitions of other languages, oversize ones windowed as `<type>_part`, top-level code between windowed."""
     found = files.where(~is_blank("content")).mapInArrow(definitions.code_blocks(parser, size, _check(size, overlap)), definitions.BLOCK)
-    whole = (F.col("kind") == "definition") & (F.length("content") <= size)
-    kept = as_chunks(found.where(whole), start_line=F.col("first_line"), end_line=F.col("last_line"), language=F.col("grammar"))
-    large = found.where((F.col("kind") == "definition") & (F.length("content") > size))
-    parts = _shifted(large, size, overlap, chunk_type=F.concat("chunk_type", F.lit("_part")), language=F.col("grammar"), name=F.col("name"), parent_name=F.col("parent_name"))
-    loose = _shifted(found.where("kind = 'between'"), size, overlap, chunk_type=F.lit("top_level_code"), language=F.col("grammar"))
-    return span_dedup(kept.union(parts).union(loose)).union(generic_chunks(found.where("kind = 'unparsed'").select(*FILE_KEY, "file_type", "content"), size, overlap))
+    found = found.withColumn("_whole", (F.col("kind") == "definition") & (F.length("content") <= size))
+    cut = F.when(F.col("kind") == "definition", F.concat("chunk_type", F.lit("_part"))).otherwise("top_level_code")
+    rows = _block_chunks(found, size, overlap, F.col("_whole"), cut, F.col("grammar"))
+    plain = F.when(F.col("chunk_type") == "text_block", F.col("seq"))  # windows of plain text stay, whatever their lines
+    return span_dedup(rows, ["start_line", "end_line", plain])
 
 
 def chunk_files(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
