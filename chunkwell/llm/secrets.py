@@ -17,7 +17,8 @@ not controlled.
 Defined results: null or empty text has no span and the digest of no spans; each input row gives a
 row, repeated rows too; rows that share a doc_id are scanned each on its own; columns other than
 doc_id and text are ignored; runs of equal p-value share their fate.  A very long text is scanned
-whole, in time linear in its length; its matches are placed in runs of FOLD.
+whole, in time linear in its length but for the order of its spans and a binary search for each run; its
+matches are placed in runs of FOLD.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ RUNS = r"[A-Za-z0-9+/_=-]{16,}"
 FDR, FDR_SHORT = 0.01, 0.1
 #: Matches of one text that are placed by one fold, so that its growing array stays short.
 FOLD = 512
+#: Steps of a binary search: a text of less than 2 GB has fewer than 2 ** STEPS matches of 14 characters or more.
+STEPS = 28
 #: Fixed alphabets.
 ALPHABETS = {
     16: "0123456789abcdef",
@@ -83,12 +86,25 @@ def _kind(found: Column | str, order: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("k"), x["e"].alias("e")))
 
 
-def base_spans(assign: str, access: str, hexadecimal: str) -> Column:
-    """Spans (s, k, e) of the base kinds, by start, then kind as listed, from the matches of their patterns."""
+def kept(assign: str, access: str) -> tuple[Column, Column]:
+    """The matches of the first two kinds that are long enough; hex runs always are."""
     long_value = rf"\A{ASSIGN}\z"
-    assigned = F.filter(assign, lambda x: F.length(F.regexp_extract(x["hit"], long_value, 2)) >= 8)
-    accessed = F.filter(access, lambda x: F.length(x["hit"]) >= 16)
-    return F.array_sort(F.concat(_kind(assigned, 0), _kind(accessed, 1), _kind(hexadecimal, 2)))
+    return (
+        F.filter(assign, lambda x: F.length(F.regexp_extract(x["hit"], long_value, 2)) >= 8),
+        F.filter(access, lambda x: F.length(x["hit"]) >= 16),
+    )
+
+
+def base_spans(assign: str, access: str, hexadecimal: str) -> Column:
+    """Spans (s, k, e) of the base kinds, by start, then kind as listed, from the matches that are kept."""
+    return F.array_sort(F.concat(_kind(assign, 0), _kind(access, 1), _kind(hexadecimal, 2)))
+
+
+def _meets(spans: str, x: Column) -> Column:
+    """Whether a span overlaps one of others, which are in order and apart: by binary search for the last that starts before its end."""
+    steps = F.array(*[F.lit(1 << b) for b in range(STEPS - 1, -1, -1)])
+    before = F.aggregate(steps, F.lit(0), lambda at, by: F.when(F.get(F.col(spans), at + by - 1)["s"] < x["e"], at + by).otherwise(at))
+    return (F.size(spans) > 0) & F.coalesce(F.get(F.col(spans), before - 1)["e"] > x["s"], F.lit(False))
 
 
 #: Of the complementary error function by Chebyshev fitting (Numerical Recipes), highest power first.
@@ -152,9 +168,11 @@ def scan(documents: DataFrame) -> DataFrame:
     """doc_id, base spans, and candidates (s, e, p with family and p) that overlap none of them."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = _matches(rows, "text", {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "runs": RUNS})
-    rows = found.select("doc_id", base_spans("assign", "access", "hex").alias("base"), "runs")
+    assign, access = kept("assign", "access")
+    rows = found.select("doc_id", assign.alias("assign"), access.alias("access"), "hex", "runs")
+    rows = rows.select("*", base_spans("assign", "access", "hex").alias("base"))
     fit = lambda x: (F.length(F.rtrim(x["hit"], F.lit("="))) >= RUN) & x["hit"].rlike("[A-Za-z]")
-    free = F.filter("runs", lambda x: fit(x) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    free = F.filter("runs", lambda x: fit(x) & ~_meets("assign", x) & ~_meets("access", x) & ~_meets("hex", x))
     rows = rows.select("doc_id", "base", free.alias("runs"))
     values = F.transform("runs", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["hit"]).alias("b")))
     tested = F.transform(values, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _tests(x["b"]).alias("p")))

@@ -531,6 +531,8 @@ def test_random_spans_equal_brute_force(spark):
         parts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([3, 8, 15, 16, 17, 20, 23, 24, 25, 31, 32, 40, 47, 48, 64, 100]))) + rng.choice(["", "", "=", "=="]) for alphabet in rng.choices(letters, k=6)]
         texts.append(" é ".join(parts))
     texts.append(" ".join("".join(rng.choice(letters[2]) for _ in range(20)) for _ in range(3 * secrets.FOLD + 7)))  # many matches in one text
+    near = ["token=", "x", "AKIA", "zz" + "0" * 32, " ", "/", "secret: ", '"']  # base spans beside and within runs, many in one text
+    texts.append("".join(rng.choice(near) + "".join(rng.choice(letters[rng.choice([1, 2])]) for _ in range(rng.randint(4, 30))) + rng.choice(" /é,") for _ in range(1200)))
     assign = re.compile(secrets.ASSIGN.replace("(?i:(password|passwd|secret|token|api_?key))", "(password|passwd|secret|token|api_?key)"), re.I | re.A)
     found, families = [], {}
     for i, text in enumerate(texts):
