@@ -123,7 +123,7 @@ def _upper(z: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """The size k of the inferred alphabet of a run of letters, and the numbers v of its letters."""
+    """The size k of the inferred alphabet of a run of letters, and the numbers v of its letters; `=` before the end is -1."""
     bare = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
     k = (
         F.when(bare.rlike(r"\A([0-9a-f]+|[0-9A-F]+)\z"), 16)

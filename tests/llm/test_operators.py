@@ -507,7 +507,7 @@ def battery_by_hand(token):
     """Encoding, length class and combined p-value of a run, in plain Python."""
     bare = token.rstrip("=").replace("-", "+").replace("_", "/")
     k = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", bare) else 32 if re.fullmatch("[A-Z2-7]+", bare) else 64
-    v = [secrets.ALPHABETS[k].index(c) for c in (bare.lower() if k == 16 else bare)]
+    v = [secrets.ALPHABETS[k].find(c) for c in (bare.lower() if k == 16 else bare)]
     n, tail = len(v), lambda z: math.erfc(min(z, 30) / math.sqrt(2)) / 2
     chi = k * sum(c * c for c in Counter(v).values()) / n - n
     cube = ((max(chi, 1e-9) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
