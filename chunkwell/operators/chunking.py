@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkwell.functions.arrays import folded, running_sums
 from chunkwell.functions.text import is_blank, newlines, strip
 from chunkwell.operators import definitions
 from chunkwell.schema import CHUNK_COLUMNS, FILE_KEY
@@ -47,14 +48,15 @@ def windows(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: s
     step = _check(size, overlap)
     whole = F.lit(False) if whole is None else whole
     rest = [c for c in blocks.columns if c != text]
-    length = F.length(text)
-    offsets = F.when(whole, F.array(F.lit(0))).when(length > 0, F.sequence(F.lit(0), length - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    rows = blocks.where(~is_blank(text)).withColumn("_at", offsets)
-    # newlines are counted once a step and summed up; a window's part gives those up to its end
-    each = F.transform("_at", lambda o: newlines(F.substring(F.col(text), o + 1, F.lit(step))))
-    lines = F.aggregate(each, F.array(F.lit(1)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
-    parts = F.when(whole, F.array(text)).otherwise(F.transform("_at", lambda o: F.substring(F.col(text), o + 1, F.lit(size))))
-    rows = rows.select(*rest, whole.alias("_one"), F.posexplode(F.arrays_zip(lines.alias("l"), parts.alias("p"))).alias("seq", "_w")).where("_w.p is not null")
+    # the text is cut once, and windows are joined from pieces: a substring would be looked for from the start of the text
+    pieces = F.when(whole, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)))
+    rows = blocks.where(~is_blank(text)).select(*rest, whole.alias("_one"), pieces.alias("_p"))
+    before = F.concat(F.array(F.lit(0)), running_sums(F.transform("_p", newlines)))
+    more = -(-overlap // step)
+    joined = lambda x, k: F.substring(F.array_join(F.slice("_p", k + 1, F.lit(1 + more)), ""), 1, size)
+    parts = F.when(F.col("_one"), F.col("_p")).otherwise(F.transform("_p", joined) if more else F.col("_p"))
+    lines = F.transform(F.slice(before, F.lit(1), F.size("_p")), lambda n: n + 1)
+    rows = rows.select(*rest, "_one", F.posexplode(F.arrays_zip(lines.alias("l"), parts.alias("p"))).alias("seq", "_w"))
     inner = newlines(F.substring("_w.p", F.lit(1), F.length("_w.p") - 1))
     cut = F.when(F.col("_one"), F.col("_w.p")).otherwise(strip("_w.p"))
     rows = rows.select(*rest, cut.alias(text), F.col("_w.l").alias("start_line"), (F.col("_w.l") + inner).alias("end_line"), F.col("seq").cast("int").alias("seq"))
@@ -94,34 +96,34 @@ def numbered_lines(files: DataFrame, text: str = "content") -> DataFrame:
 
 
 def markdown_sections(files: DataFrame) -> DataFrame:
-    """A chunk for each heading outside fences, and the text before the first, with its path of headings."""
-    key = FILE_KEY
-    lines = numbered_lines(files.where(~is_blank("content")).select(*key, "content"))
-    upto = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    fence = strip("line").startswith("```")
-    lines = lines.withColumn("fences", F.sum(fence.cast("int")).over(upto))
-    heading = ~fence & (F.col("fences") % 2 == 0) & F.col("line").rlike(r"(?U)\A#+\s")
-    lines = lines.withColumn("heading", heading).withColumn("sec", F.sum(heading.cast("int")).over(upto))
-    return sections(lines, key)
-
-
-def sections(lines: DataFrame, key: list[str]) -> DataFrame:
-    """Lines (pos, line, heading, sec) -> chunks."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    level, title = F.length(F.regexp_extract("line", r"(?U)\A(#+)\s", 1)), strip(F.regexp_extract("line", r"(?U)\A#+\s(.*)", 1))
-    head = F.max(F.when(F.col("heading"), F.struct(level.alias("level"), title.alias("title"))))
-    parts = lines.groupBy(*key, "sec").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), ordered.alias("ls"), head.alias("head"))
-    # headings of one file stand in one row already, so the stack is a fold over those before
-    upto = Window.partitionBy(*key).orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("heads", F.collect_list("head").over(upto))
-    empty = F.array().cast("array<struct<level: int, title: string>>")
-    stack = F.aggregate("heads", empty, lambda s, h: F.concat(F.filter(s, lambda x: x["level"] < h["level"]), F.array(h)))
-    parts = parts.withColumn("path", F.when(F.col("head").isNotNull(), F.transform(stack, lambda x: x["title"])))
-    text = strip(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
-    rows = parts.select(
-        *key, (F.col("a") + 1).alias("start_line"), (F.col("b") + 1).alias("end_line"), text.alias("content"), F.col("sec").cast("int").alias("seq"),
-        F.array_join("path", "/").alias("section"), F.try_element_at("path", F.lit(-1)).alias("name"), F.try_element_at("path", F.lit(-2)).alias("parent_name"),
-    ).where("content <> ''")
+    """A chunk for each heading outside fences, and the text before the first, with its path of headings.
+
+    A file stays in its row, and each step goes through its lines once, whatever the number of headings.
+    """
+    rest = [c for c in FILE_KEY if c in files.columns]
+    rows = files.where(~is_blank("content")).select(*rest, F.split(F.regexp_replace("content", r"\n\z", ""), "\n").alias("_lines"))
+    rows = rows.withColumn("_fence", F.transform("_lines", lambda x: strip(x).startswith("```").cast("int")))
+    rows = rows.withColumn("_fences", running_sums(F.col("_fence")))
+    numbered = F.transform(F.arrays_zip(F.col("_lines").alias("t"), F.col("_fences").alias("n")), lambda x, k: F.struct(k.alias("at"), x["t"].alias("t"), x["n"].alias("n")))
+    heads = F.filter(numbered, lambda x: (x["n"] % 2 == 0) & x["t"].rlike(r"(?U)\A#+\s"))  # a closing fence is no heading
+    level = lambda x: F.length(F.regexp_extract(x["t"], r"(?U)\A(#+)\s", 1))
+    title = lambda x: strip(F.regexp_extract(x["t"], r"(?U)\A#+\s(.*)", 1))
+    rows = rows.select(*rest, "_lines", F.transform(heads, lambda x: F.struct(x["at"].alias("at"), level(x).alias("level"), title(x).alias("title"))).alias("_heads"))
+    stack = "array<struct<at: int, level: int, title: string>>"  # of levels that rise
+    paths = folded(F.col("_heads"), F.array(), lambda open_, h: F.concat(F.filter(open_, lambda x: x["level"] < h["level"]), F.array(h)), stack)
+    starts = F.transform("_heads", lambda h: h["at"])
+    ends = F.concat(F.slice(starts, F.lit(2), F.size("_heads")), F.array(F.size("_lines")))
+    first = F.struct(F.lit(0).alias("a"), F.coalesce(F.get(starts, F.lit(0)), F.size("_lines")).alias("b"), F.lit(None).cast(stack).alias("p"))
+    later = F.slice(F.arrays_zip(starts.alias("a"), ends.alias("b"), paths.alias("p")), F.lit(1), F.size("_heads"))
+    # texts are joined before sections become rows: a row with all lines for each section would be copied as often
+    text = lambda x: strip(F.array_join(F.slice("_lines", x["a"] + 1, x["b"] - x["a"]), "\n"))
+    found = F.transform(F.concat(F.array(first), later), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.transform(x["p"], lambda h: h["title"]).alias("path"), text(x).alias("text")))
+    rows = rows.select(*rest, F.posexplode(found).alias("seq", "_s")).where("_s.b > _s.a and _s.text <> ''")
+    path = F.col("_s.path")
+    rows = rows.select(
+        *rest, (F.col("_s.a") + 1).alias("start_line"), F.col("_s.b").alias("end_line"), F.col("_s.text").alias("content"), F.col("seq").cast("int").alias("seq"),
+        F.array_join(path, "/").alias("section"), F.try_element_at(path, F.lit(-1)).alias("name"), F.try_element_at(path, F.lit(-2)).alias("parent_name"),
+    )
     return as_chunks(rows, chunk_type=F.lit("heading_section"), language=F.lit("markdown"))
 
 

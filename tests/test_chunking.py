@@ -154,15 +154,54 @@ def test_tree():
     assert tree_lines("x = 1\n")[:2] == [(0, "Module", "x = 1"), (1, "Assign", "x = 1")]
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(alphabet="ab \n", max_size=60), min_size=1, max_size=5))
-def test_windows_equal_a_model(spark, texts):
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="ab \n\r😀é", max_size=60), min_size=1, max_size=5), st.sampled_from([(10, 4), (10, 8), (10, 9), (7, 0), (200, 199)]))
+def test_windows_equal_a_model(spark, texts, sizes):
+    size, overlap = sizes
     rows = spark.createDataFrame([("r", str(i), "txt", t) for i, t in enumerate(texts)], "repo_name string, file_path string, file_type string, content string")
-    got = sorted((r.file_path, r.seq, r.content, r.start_line, r.end_line) for r in chunking.generic_chunks(rows, 10, 4).collect())
+    got = sorted((r.file_path, r.seq, r.content, r.start_line, r.end_line) for r in chunking.generic_chunks(rows, size, overlap).collect())
     expected = []
     for i, t in enumerate(texts):
-        for k, at in enumerate(range(0, len(t), 6)):
-            part = t[at : at + 10]
+        for k, at in enumerate(range(0, len(t), size - overlap)):
+            part = t[at : at + size]
             if t.strip() and part.strip():
-                expected.append((str(i), k, part.strip(), 1 + t[:at].count("\n"), 1 + t[: min(at + 10, len(t)) - 1].count("\n")))
+                expected.append((str(i), k, part.strip(), 1 + t[:at].count("\n"), 1 + t[: min(at + size, len(t)) - 1].count("\n")))
     assert got == sorted(expected)
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    text = "".join(f"line {i} of a very long text\n" for i in range(150_000))  # 4 MB
+    rows = chunking.generic_chunks(files(spark, a__txt=text)).select("seq", "start_line", "end_line", "content").collect()
+    starts = range(0, len(text), 1300)
+    assert len(rows) == len(starts)
+    for r in rows[:: len(rows) // 50]:
+        at = starts[r.seq]
+        assert (r.content, r.start_line) == (text[at : at + 1500].strip(), 1 + text.count("\n", 0, at))
+
+
+def test_very_many_headings(spark):
+    levels = [1 + (i * 7919) % 11 for i in range(100_000)]
+    text = "before\n" + "".join(f"{'#' * n} h{i}\ntext\n" for i, n in enumerate(levels))
+    stack, expected = [], {}
+    for i, n in enumerate(levels):
+        stack = [x for x in stack if x[0] < n] + [(n, f"h{i}")]
+        expected[i + 1] = (2 * i + 2, 2 * i + 3, "/".join(h for _, h in stack))
+    rows = chunking.markdown_sections(files(spark, a__md=text)).select("seq", "start_line", "end_line", "section").collect()
+    found = {r.seq: (r.start_line, r.end_line, r.section) for r in rows}
+    assert found.pop(0) == (1, 1, None) and found == expected
+
+
+def test_running_sums_and_folds(spark):
+    from pyspark.sql import functions as F
+
+    from chunkwell.functions.arrays import folded, running_sums
+
+    for n in (0, 1, 63, 64, 65, 4200):
+        numbers = [(i * 37) % 11 - 5 for i in range(n)]
+        row = spark.createDataFrame([(numbers,)], "x array<int>").select(running_sums(F.col("x")).alias("s"), folded(F.col("x"), F.lit(0), lambda s, x: F.greatest(s + x, F.lit(0)), "int").alias("f")).collect()[0]
+        sums, states, total, state = [], [], 0, 0
+        for x in numbers:
+            total, state = total + x, max(state + x, 0)
+            sums.append(total)
+            states.append(state)
+        assert (row.s, row.f) == (sums, states)
