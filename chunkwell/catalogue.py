@@ -10,13 +10,13 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkwell.functions import text as T
-from chunkwell.operators import chat, chunking, retrieval
+from chunkwell.operators import cells, chat, chunking, retrieval
 from chunkwell.plans import prompt as prompts
-from chunkwell.plans.engine import ExtractiveGenerator, safe_answer
+from chunkwell.plans.engine import ExtractiveGenerator, answer_many, safe_answer
 from chunkwell.sources import files as sources
 from chunkwell.sources.store import Store, merged, scratch_store, with_ids
 
@@ -251,8 +251,6 @@ def chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chunk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five chunks of each repository, shortened: a report of five rows is the feature."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("repo_name").orderBy("file_path", "seq"))
     rows = chunking.generic_chunks(raw_files(spark, sf_dir)).withColumn("n", n).where("n <= 5")
     return rows.select("repo_name", "file_path", "seq", F.substring("content", 1, 200).alias("preview"))
@@ -332,7 +330,7 @@ _SEARCH_SQL = f"""{_embed_sql('de', 'documents', 'doc_id')}, {_embed_sql('qe', '
 def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = retrieval.HashedEmbedder()
     asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0")
-    return retrieval.sparse_top_k(model.embed(table(spark, sf_dir, "documents"), ["doc_id"], "text"), "doc_id", model.embed(asked, ["item_id"], "text"), "item_id", QUESTION_TOP)
+    return retrieval.sparse_top_k(model.add(table(spark, sf_dir, "documents"), "text"), "doc_id", model.add(asked, "text"), "item_id", QUESTION_TOP)
 
 
 @query(f'WITH {_SEARCH_SQL} SELECT item_id, CAST(r AS INTEGER) AS "rank", doc_id, score FROM hits')
@@ -340,6 +338,43 @@ def text_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir).select("item_id", "rank", "doc_id", "score")
 
 
+@query(f'WITH {_BATCH_SQL} SELECT query_no, CAST(r AS INTEGER) AS "rank", vec_id, distance FROM h')
+def cells_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of all cells of an index over the vectors."""
+    return _by_cells(spark, sf_dir, None)
+
+
+@query()
+def cells_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search of the cells nearest to each query only; its recall is measured in the tests."""
+    return _by_cells(spark, sf_dir, cells.PROBES)
+
+
+def _by_cells(spark: SparkSession, sf_dir: str, probes: int | None) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = cells.train(rows, "vec_id", "embedding")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_no"), F.col("embedding").alias("point"))
+    return cells.search(cells.with_cell(rows, model, "embedding"), model, asked, 3, probes, vector="embedding")
+
+
+_DENSE_SQL = f"""{_embed_sql('de', 'documents', 'doc_id').replace('% 256', '% 384')}, {_embed_sql('qe', '(SELECT * FROM benchmark WHERE item_id % 50 = 0)', 'item_id').replace('% 256', '% 384')},
+    dn AS (SELECT doc_id, coalesce((SELECT sum(w * w) FROM de WHERE de.doc_id = documents.doc_id), 0) AS a FROM documents WHERE text IS NOT NULL),
+    qn AS (SELECT item_id, coalesce((SELECT sum(w * w) FROM qe WHERE qe.item_id = benchmark.item_id), 0) AS b FROM benchmark WHERE item_id % 50 = 0 AND text IS NOT NULL),
+    dots AS (SELECT item_id, doc_id, sum(de.w * qe.w) AS dot FROM de JOIN qe USING (b) GROUP BY ALL),
+    sc AS (SELECT item_id, doc_id, (a + b - 2 * coalesce(dot, 0))::DOUBLE AS distance FROM dn CROSS JOIN qn LEFT JOIN dots USING (item_id, doc_id))"""
+
+
+@query(f'WITH {_DENSE_SQL} SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id) AS INTEGER) AS "rank", doc_id, distance FROM sc QUALIFY "rank" <= 6')
+def dense_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents nearest to questions by dense vectors that a model makes on the executors."""
+    model = retrieval.ModelEmbedder(retrieval.HashedVectors)
+    docs = model.add(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "vector")
+    asked = model.add(table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select("item_id", "text"), "text")
+    points = asked.where("vector is not null").select(F.col("item_id").alias("query_no"), F.col("vector").alias("point"))
+    found = retrieval.nearest_to_each(docs, points, QUESTION_TOP, key="doc_id", embedding="vector")
+    return found.select(F.col("query_no").alias("item_id"), "rank", "doc_id", "distance")
+
+
 # ---------------------------------------------------------------- prompts
 
 
@@ -404,6 +439,32 @@ def subquestion_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.subquestion_prompt(_hits(spark, sf_dir), "What is in this collection?", _past(), limit=4000)
 
 
+_ANSWERS_SQL = f"""{_SEARCH_SQL.replace('score DESC, doc_id', 'score DESC, doc_id::VARCHAR').replace(f'r <= {QUESTION_TOP}', 'r <= 3')},
+    ct AS (SELECT item_id, r, doc_id, 1 + length(text) - length(replace(text, chr(10), '')) AS n,
+        length(text) + length('src/' || doc_id) + length(lang) + length(n::VARCHAR) + {len("<DOC_START>") + len("File: ") + len("Language: ") + len("Type: text_block  (Parent: )") + len("Lines: 1-") + len("<DOC_END>") + 9 - 1} AS size
+        FROM hits JOIN documents USING (doc_id)),
+    s AS (SELECT *, sum(size // 4) OVER (PARTITION BY item_id ORDER BY r) AS c FROM ct),
+    k AS (SELECT s.*, b.text AS q FROM s JOIN benchmark b USING (item_id) WHERE {len(prompts.SYSTEM) // 4} + ({len(prompts.QUERY_LABEL + prompts.CONTEXT_LABEL) + 2} + length(b.text)) // 4 + c < {prompts.MAX_TOKENS}),
+    a AS (SELECT item_id, count(*) AS chunks, string_agg('See [FILE: src/' || doc_id || ', LINES: 1-' || n || '].', chr(10) ORDER BY r) AS answer FROM k GROUP BY item_id)"""
+
+
+@query(
+    f"""WITH {_ANSWERS_SQL} SELECT b.item_id, CAST(coalesce(chunks, 0) AS INTEGER) AS chunks, coalesce(answer, {_quote(prompts.NOT_FOUND)}) AS answer, CAST(coalesce(chunks, 0) AS INTEGER) AS sources,
+    CASE WHEN answer IS NULL THEN 'not_found' ELSE 'ok' END AS status FROM benchmark b LEFT JOIN a USING (item_id) WHERE b.item_id % 50 = 0 AND b.text IS NOT NULL"""
+)
+def answers_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question of a table answered in one plan: search, budget, prompt, answer and sources by question."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = chunking.as_chunks(
+        docs, repo_name=F.lit("documents"), file_path=F.concat(F.lit("src/"), F.col("doc_id").cast("string")), start_line=F.lit(1), end_line=1 + T.newlines(F.col("text")),
+        chunk_type=F.lit("text_block"), language=F.col("lang"), name=F.lit(None).cast("string"), content=F.col("text"), seq=F.lit(0),
+    )
+    model = retrieval.HashedEmbedder()
+    records = model.add(chunks.withColumn("id", F.substring("file_path", 5, 40)), "content")
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0 and text is not null").select("item_id", F.col("text").alias("query"))
+    return answer_many(records, asked, "item_id", model).withColumn("sources", F.size("sources"))
+
+
 def _answers() -> Column:
     a = 1 + F.col("doc_id") % 50
     one = F.concat(F.lit(" [FILE: src/"), F.col("doc_id").cast("string"), F.lit(".py, LINES: "), a.cast("string"), F.lit("-"), (a + F.col("doc_id") % 7).cast("string"), F.lit("]"))
@@ -483,7 +544,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> Store:
     """A store with a collection of each source, a record of each document."""
     rows = raw_files(spark, sf_dir)
     chunks = chunking.as_chunks(rows, start_line=F.lit(1), end_line=1 + T.newlines(F.col("content")), chunk_type=F.lit("text_block"), language=F.col("file_type"), seq=F.lit(0))
-    store = scratch_store(spark, "catalogue")
+    store = scratch_store(spark, "catalogue", buckets=1)
     store.write_all(chunks.withColumn("id", F.col("file_path")).withColumn("embedding", F.array().cast(retrieval.EMBEDDING)), F.col("repo_name"))
     return store
 
@@ -568,8 +629,6 @@ def _defs_sql(template: str, kind: str, language: str, rows: list[tuple]) -> str
 
 def _defined(chunks: DataFrame) -> DataFrame:
     """Chunks with their place among those of their file."""
-    from pyspark.sql import Window
-
     return chunks.withColumn("nth", F.row_number().over(Window.partitionBy("repo_name", "file_path").orderBy("seq"))).select(*_DEFINED)
 
 
@@ -592,6 +651,37 @@ def code_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _defined(chunking.code_chunks(chunking.dispatch(_code(spark, sf_dir, _JS, "js"))))
 
 
+_TREE = "x = {n}\n\ndef f{n}(a):\n    return a\n"
+_BROKEN = "def broken{n}(:\n    pass\n"
+_NODES = [(0, "Module", 1), (1, "Assign", 1), (2, "Name", 1), (3, "Store", 1), (2, "Constant", 1), (1, "FunctionDef", 3), (2, "arguments", 1), (3, "arg", 3), (2, "Return", 4), (3, "Name", 4), (4, "Load", 1)]
+
+
+def _python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file for each document; every third does not parse."""
+    whole, broken = (_code(spark, sf_dir, x, "py") for x in (_TREE, _BROKEN))
+    third = F.regexp_extract("file_path", r"(\d+)\.py", 1).cast("long") % 3 == 0
+    return chunking.dispatch(whole.where(~third).union(broken.where(third)))
+
+
+@query("SELECT 'src/' || doc_id || '.py' AS file_path, unnest(CASE WHEN doc_id % 3 = 0 THEN ['text_block', 'parse_error'] ELSE ['function', 'top_level_code'] END) AS chunk_type, doc_id % 3 = 0 AS failed FROM documents")
+def chunks_and_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and the errors of files that did not parse, from one pass over the files."""
+    rows = chunking.chunk_files(_python_files(spark, sf_dir), errors=True)
+    failed = F.max((F.col("chunk_type") == chunking.PARSE_ERROR) & F.startswith("content", F.lit("SyntaxError"))).over(Window.partitionBy("file_path"))
+    return rows.select("file_path", "chunk_type", failed.alias("failed"))
+
+
+@query(
+    "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {d}, '{k}', {line})" for n, (d, k, line) in enumerate(_NODES)) + """) v(n, depth, kind, ln))
+    SELECT 'src/' || doc_id || '.py' AS file_path, CAST(n AS INTEGER) AS n, CAST(depth AS INTEGER) AS depth, kind, CASE ln WHEN 1 THEN 'x = ' || doc_id WHEN 3 THEN 'def f' || doc_id || '(a):' ELSE 'return a' END AS line
+    FROM documents, t WHERE doc_id % 3 <> 0 UNION ALL SELECT 'src/' || doc_id || '.py', 0, 0, 'ERROR', 'SyntaxError' FROM documents WHERE doc_id % 3 = 0"""
+)
+def syntax_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The syntax trees of Python files as rows; a file that does not parse is a row of kind ERROR."""
+    rows = chunking.syntax_trees(_python_files(spark, sf_dir))
+    return rows.select("file_path", "n", "depth", "kind", F.when(F.col("kind") == "ERROR", F.substring_index("line", ":", 1)).otherwise(F.col("line")).alias("line"))
+
+
 @query()
 def chunk_all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_files(raw_files(spark, sf_dir))
@@ -602,8 +692,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = with_ids(chunking.chunk_files(raw_files(spark, sf_dir)))
     model = retrieval.HashedEmbedder()
     asked = spark.createDataFrame([(0, "What do the documents say?")], "query_no long, text string")
-    best = retrieval.sparse_top_k(model.embed(chunks, ["id"], "content"), "id", model.embed(asked, ["query_no"], "text"), "query_no", 3)
-    hits = retrieval.first_wins(best.join(chunks, "id"))
+    records = model.add(chunks, "content")
+    best = retrieval.sparse_top_k(records, "id", model.add(asked, "text"), "query_no", 3)
+    found = [r["id"] for r in best.select("id").collect()]  # three ids at most: the chunks are made again, but only these are joined
+    hits = retrieval.first_wins(best.join(chunks.where(F.col("id").isin(*found)), "id"))
     answer = safe_answer(ExtractiveGenerator(), prompts.rag_prompt(hits, "What do the documents say?").collect()[0]["prompt"])
     return spark.range(1).select(F.lit("What do the documents say?").alias("query"), F.lit(answer).alias("answer"), T.citations(F.lit(answer)).alias("sources"))
 

@@ -1,52 +1,37 @@
-"""Functions on arrays that take time in proportion to their length."""
+"""Functions on arrays that take time in proportion to their length, as texts of SQL: a plan of many small calls takes seconds to build."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-#: Elements that are folded into one growing array; folds of more are folds of such parts.
+#: Elements that are folded into one growing array; folds of more are folds of such parts, as each step copies what it grows.
 PART = 64
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(name: str, value: str, body: str) -> str:
+    """`body` with a name for a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def parts(array: Column) -> Column:
-    """An array cut into arrays of PART elements."""
-    starts = lambda x: F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x), F.lit(PART))).otherwise(F.array().cast("array<int>"))
-    return let(array, lambda x: F.transform(starts(x), lambda a: F.slice(x, a, F.lit(PART))))
+def parts(name: str) -> str:
+    """A named array cut into arrays of PART elements."""
+    starts = f"CASE WHEN size({name}) > 0 THEN sequence(1, size({name}), {PART}) ELSE CAST(array() AS array<int>) END"
+    return f"transform({starts}, _a -> slice({name}, _a, {PART}))"
 
 
-def running_sums(numbers: Column) -> Column:
-    """Sums of an array of ints up to each element, that element included.
-
-    A fold copies the array it grows at each step, so sums run within parts, and over the parts' totals.
-    """
-    grown = lambda array, total: F.aggregate(array, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + total(x))))
-    within = F.transform(parts(numbers), lambda part: grown(part, lambda x: x))
-    before = lambda sums: grown(sums, lambda part: F.element_at(part, -1))
-    return let(within, lambda sums: F.flatten(F.zip_with(sums, F.slice(before(sums), F.lit(1), F.size(sums)), lambda part, at: F.transform(F.slice(part, F.lit(2), F.size(part) - 1), lambda x: x + at))))
+def running_sums(numbers: str) -> str:
+    """Sums of an array of ints up to each element, that element included: sums run within parts, and over the parts' totals."""
+    grown = lambda array, value: f"aggregate({array}, array(0), (_d, _e) -> concat(_d, array(element_at(_d, -1) + {value})))"
+    shifted = f"flatten(zip_with(_w, slice({grown('_w', 'element_at(_e, -1)')}, 1, size(_w)), (_p, _b) -> transform(slice(_p, 2, size(_p) - 1), _v -> _v + _b)))"
+    return let("_n", numbers, let("_w", f"transform({parts('_n')}, _p -> {grown('_p', '_e')})", shifted))
 
 
-def folded(array: Column, start: Column, step: Callable[[Column, Column], Column], state_type: str) -> Column:
-    """The state after each element, from a small state, the one before and the element.
+def folded(array: str, start: str, step: str, state_type: str) -> str:
+    """The state after each element, from a small state; `step` is of the state `s` and the element `x`.
 
     One pass finds the states between parts, another goes through each part from the state before it.
     """
-    none = F.array().cast(f"array<{state_type}>")
-    kept = lambda now, acc: F.struct(now.alias("s"), F.concat(acc["d"], F.array(now)).alias("d"))
-
-    def between(cut: Column) -> Column:
-        first = start.cast(state_type)
-        after = F.aggregate(cut, F.struct(first.alias("s"), none.alias("d")), lambda acc, part: kept(F.aggregate(part, acc["s"], step), acc))
-        return F.concat(F.array(first), after["d"])
-
-    def within(part: Column, before: Column) -> Column:
-        return F.aggregate(part, F.struct(before.alias("s"), none.alias("d")), lambda acc, x: kept(step(acc["s"], x), acc))["d"]
-
-    return let(parts(array), lambda cut: F.flatten(F.zip_with(cut, F.slice(between(cut), F.lit(1), F.size(cut)), within)))
+    first, none = f"CAST({start} AS {state_type})", f"CAST(array() AS array<{state_type}>)"
+    over = lambda array, state, now: f"aggregate({array}, named_struct('s', {state}, 'd', {none}), (_acc, _x) -> named_struct('s', {now}, 'd', concat(_acc.d, array({now})))).d"
+    bound = lambda state, element: let("s", state, let("x", element, step))
+    between = over("_cut", first, f"aggregate(_x, _acc.s, (s, x) -> {step})")
+    within = over("_part", "_before", bound("_acc.s", "_x"))
+    return let("_cut", let("_n", array, parts("_n")), f"flatten(zip_with(_cut, slice(concat(array({first}), {between}), 1, size(_cut)), (_part, _before) -> {within}))")

@@ -24,6 +24,15 @@ def strip(x: Column | str) -> Column:
     return F.btrim(_col(x), F.lit(_BLANKS))
 
 
+def strip_sql(x: str) -> str:
+    """`strip` as a text of SQL."""
+    return f"btrim({x}, decode(unhex('{_BLANKS.encode().hex()}'), 'UTF-8'))"
+
+
+def newlines_sql(x: str) -> str:
+    return f"CAST(length({x}) - length(replace({x}, chr(10), '')) AS int)"
+
+
 def is_blank(x: Column | str) -> Column:
     return strip(x) == ""
 

@@ -70,13 +70,19 @@ def _numbered(rows: Iterator[dict], step: int) -> Iterator[dict]:
         seq += max(1, -(-len(row["content"]) // step))
 
 
+def _unparsed(base: dict, text: str, error: Exception) -> Iterator[dict]:
+    """The blocks of a file that did not parse: its text, and what the parser said."""
+    yield base | {"kind": "unparsed", "content": text}
+    yield base | {"kind": "error", "content": f"{type(error).__name__}: {error}"}
+
+
 def _python(row: dict) -> Iterator[dict]:
     text = row["content"]
     base = {n: row.get(n) for n in ("repo_name", "file_path", "file_type", "grammar")}
     try:
         found = python_definitions(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):  # too deep for the parser, or no Python: the file is windowed whole
-        yield base | {"kind": "unparsed", "content": text}
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:  # too deep for the parser, or no Python: the file is windowed whole
+        yield from _unparsed(base, text, error)
         return
     lines = text.split("\n")
     covered = {n for d in found for n in range(d.first, d.last + 1)}
@@ -271,8 +277,8 @@ def _code(parser: str, size: int) -> Callable[[dict], Iterator[dict]]:
         base = {n: row.get(n) for n in ("repo_name", "file_path", "file_type", "grammar")}
         try:
             nodes = PARSERS[parser](text, row["grammar"])
-        except Exception:  # noqa: BLE001  a parser's failure costs its file's structure, not the run
-            yield base | {"kind": "unparsed", "content": text}
+        except Exception as error:  # noqa: BLE001  a parser's failure costs its file's structure, not the run
+            yield from _unparsed(base, text, error)
             return
         lines = text.split("\n")
         held: tuple[int, int] | None = None
@@ -313,16 +319,36 @@ def code_blocks(parser: str, size: int, step: int) -> Callable[[Iterator[pa.Reco
     return run
 
 
-def tree_lines(text: str) -> list[tuple[int, str, str]]:
-    """(depth, node type, first line) of a Python syntax tree, in pre-order."""
+def tree_lines(text: str, grammar: str = "python") -> list[tuple[int, str, str]]:
+    """(depth, node type, first line) of a syntax tree, in pre-order: of Python by its own parser, of others by their grammar where it is installed."""
     lines = text.split("\n")
+    line = lambda at: lines[at - 1].strip() if at <= len(lines) else ""
+    if grammar == "python":
+        root, parts, told = ast.parse(text), lambda n: list(ast.iter_child_nodes(n)), lambda n: (type(n).__name__, line(getattr(n, "lineno", 1)))
+    else:
+        import tree_sitter_language_pack
+
+        root = tree_sitter_language_pack.get_parser(grammar).parse(text.encode()).root_node
+        parts, told = lambda n: n.children, lambda n: (n.type, line(n.start_point[0] + 1))
     out: list[tuple[int, str, str]] = []
+    open_ = [(root, 0)]
+    while open_:  # a stack of its own: trees may be deeper than Python's
+        node, depth = open_.pop()
+        out.append((depth, *told(node)))
+        open_ += [(child, depth + 1) for child in reversed(parts(node))]
+    return out
 
-    def visit(node: ast.AST, depth: int) -> None:
-        at = getattr(node, "lineno", 1)
-        out.append((depth, type(node).__name__, lines[at - 1].strip() if at <= len(lines) else ""))
-        for child in ast.iter_child_nodes(node):
-            visit(child, depth + 1)
 
-    visit(ast.parse(text), 0)
-    return out
+class SyntaxTree:
+    """A table function: a row (n, depth, kind, line) for each node of a file's syntax tree; of one that does not parse a row of kind ERROR with the message."""
+
+    def eval(self, text: str, grammar: str) -> Iterator[tuple[int, int, str, str]]:
+        try:
+            found = tree_lines(text or "", grammar or "python")
+        except Exception as error:  # noqa: BLE001  one file's failure is a row
+            found = [(0, "ERROR", f"{type(error).__name__}: {error}")]
+        for n, (depth, kind, line) in enumerate(found):
+            yield n, depth, kind, line
+
+
+TREE = "n int, depth int, kind string, line string"

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterator
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from chunkwell.functions.arrays import let
 from chunkwell.schema import FILE_KEY
 
 DIMENSIONS = 256
@@ -17,22 +26,97 @@ EMBEDDING = "array<struct<bucket: int, weight: long>>"
 SPAN = [*FILE_KEY, "start_line", "end_line"]
 
 
+VECTOR = "array<float>"
+
+
 class Embedder(Protocol):
-    """Turns texts into sparse vectors: key columns and `embedding`, of type EMBEDDING; rows without a word may be left out."""
+    """Adds a column to rows of texts: `embedding`, of type EMBEDDING, if `kind` is sparse; `vector`, of type VECTOR, if it is dense."""
+
+    kind: str
+
+    def add(self, rows: DataFrame, text: str) -> DataFrame: ...
 
-    def embed(self, texts: DataFrame, key: list[str], text: str) -> DataFrame: ...
+
+def hashed_counts(text: str, dimensions: int = DIMENSIONS) -> Column:
+    """Counts of a text's words by hashed bucket, within the row: buckets are sorted, and their runs measured."""
+    words = r"filter(split(lower(_t), r'[^\p{L}\p{N}]+'), w -> w <> '')"
+    buckets = f"array_sort(transform({words}, w -> CAST(CAST(conv(substring(md5(CAST(w AS binary)), 1, 8), 16, 10) AS bigint) % {dimensions} AS int)))"
+    starts = "filter(sequence(1, size(_b)), i -> i = 1 OR get(_b, i - 2) <> get(_b, i - 1))"
+    runs = let("_i", starts, "zip_with(_i, concat(slice(_i, 2, size(_i)), array(size(_b) + 1)), (i, j) -> named_struct('bucket', get(_b, i - 1), 'weight', CAST(j - i AS bigint)))")
+    none = f"CAST(array() AS {EMBEDDING})"
+    return F.expr(let("_t", f"coalesce({text}, '')", let("_b", buckets, f"CASE WHEN size(_b) > 0 THEN {runs} ELSE {none} END")))
 
 
 class HashedEmbedder:
     """Counts of words by hashed bucket; a stand-in without a model, exact on every engine."""
 
-    def embed(self, texts: DataFrame, key: list[str], text: str) -> DataFrame:
-        # dealt by key first, the texts are all that moves: both sums find a key's rows together
-        dealt = texts.select(*key, F.lower(text).alias("_t")).repartition(*key)
-        words = dealt.select(*key, F.explode(F.split("_t", r"[^\p{L}\p{N}]+")).alias("w")).where("w <> ''")
-        bucket = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long") % DIMENSIONS
-        counts = words.select(*key, bucket.cast("int").alias("bucket")).groupBy(*key, "bucket").agg(F.count("*").alias("weight"))
-        return counts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("embedding"))  # DIMENSIONS buckets
+    kind = "sparse"
+
+    def add(self, rows: DataFrame, text: str) -> DataFrame:
+        return rows.withColumn("embedding", hashed_counts(text))
+
+
+class VectorModel(Protocol):
+    """A model on an executor: texts to rows of `dimensions` floats."""
+
+    dimensions: int
+
+    def encode(self, texts: list[str]) -> np.ndarray: ...
+
+
+_MODELS: dict[bytes, VectorModel] = {}
+
+
+def _model(name: bytes, load: Callable[[], VectorModel]) -> VectorModel:
+    """A worker's model."""
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
+class ModelEmbedder:
+    """Dense vectors by a model that each Python worker loads once, over Arrow batches; a null text has no vector."""
+
+    kind = "dense"
+
+    def __init__(self, load: Callable[[], VectorModel], batch: int = 256) -> None:
+        self.load, self.batch, self.name = load, batch, uuid.uuid4().bytes
+
+    def add(self, rows: DataFrame, text: str) -> DataFrame:
+        load, most, name = self.load, self.batch, self.name
+        schema = StructType([*(f for f in rows.schema if f.name != "vector"), StructField("vector", ArrayType(FloatType()))])
+        names = [f.name for f in schema][:-1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = _model(name, load)
+            for whole in batches:
+                for start in range(0, whole.num_rows, most):
+                    batch = whole.slice(start, most)
+                    texts = batch.column(text)
+                    found = np.asarray(model.encode([t or "" for t in texts.to_pylist()]), dtype=np.float32)
+                    if found.shape != (batch.num_rows, model.dimensions):
+                        raise ValueError(f"the model gave {found.shape} for {batch.num_rows} texts of {model.dimensions} dimensions")
+                    ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * model.dimensions)
+                    vectors = pa.ListArray.from_arrays(ends, pa.array(found.reshape(-1)))
+                    vectors = pc.if_else(texts.is_valid(), vectors, pa.scalar(None, vectors.type))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), vectors], names=[*names, "vector"])
+
+        return rows.mapInArrow(run, schema)
+
+
+class HashedVectors:
+    """A stand-in for a model: counts of words in as many buckets as it has dimensions, as floats."""
+
+    def __init__(self, dimensions: int = 384) -> None:
+        self.dimensions = dimensions
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dimensions), dtype=np.float32)
+        for k, text in enumerate(texts):
+            words = Counter(w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w)
+            for word, n in words.items():
+                out[k, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dimensions] += n
+        return out
 
 
 def _blocks(queries: DataFrame, key: str, most: int) -> Iterator[list[dict]]:
@@ -48,25 +132,27 @@ def _each(rows: list[dict], kind: str) -> Column:
     return F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>"))
 
 
-def _dense(entries: list[dict]) -> list[int]:
-    out = [0] * (1 + max((e["bucket"] for e in entries), default=-1))
-    for e in entries:
-        out[e["bucket"]] = e["weight"]
-    return out
+#: Blocks of queries that are broadcast at a time: vectors of 64 times as many queries.
+BLOCKS = 64
 
 
 def sparse_top_k(items: DataFrame, item: str, queries: DataFrame, query: str, k: int, most_queries: int = 64) -> DataFrame:
     """Cosine top-k of sparse vectors: query, rank, item, score; vectors without a common bucket never meet.
 
-    The queries, numbers by `query`, go to the items in blocks as they are few; no vector is shuffled,
-    and of the scores each task sends on its k best at most.
+    The queries go to the items in blocks of about `most_queries`, a row each, of which at most BLOCKS are broadcast
+    at a time; no vector is shuffled or collected, and of the scores each task sends on its k best at most.
     """
-    parts, zero = [], F.lit(0).cast("long")
-    for block in _blocks(queries.select(query, "embedding"), query, most_queries):
-        asked = [{"q": r[query], "v": (v := _dense(r["embedding"])), "b": sum(x * x for x in v)} for r in block]
-        norm = F.aggregate("embedding", zero, lambda s, w: s + w["weight"] * w["weight"])
-        dot = F.aggregate("embedding", zero, lambda s, w: s + w["weight"] * F.coalesce(F.get(F.col("_q.v"), w["bucket"]), zero))
-        rows = items.select(item, "embedding", norm.alias("a"), _each(asked, "q long, v array<long>, b long").alias("_q"))
+    norm = "aggregate(embedding, 0L, (s, w) -> s + w.weight * w.weight)"
+    places = "CASE WHEN size(embedding) > 0 THEN sequence(0, array_max(transform(embedding, w -> w.bucket))) ELSE CAST(array() AS array<int>) END"
+    dense = let("_m", "map_from_entries(embedding)", f"transform({places}, b -> coalesce(try_element_at(_m, b), 0L))")
+    asked = queries.select(F.col(query).alias("q"), F.expr(dense).alias("v"), F.expr(norm).alias("b"))
+    blocks = max(1, -(-queries.count() // most_queries))
+    dealt = asked.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("q", "v", "b")).alias("_all"))
+    parts = []
+    for start in range(0, blocks, BLOCKS):
+        block = F.broadcast(dealt.where(F.col("_block").between(start, start + BLOCKS - 1)).select("_all"))  # BLOCKS rows
+        rows = items.select(item, "embedding", F.expr(norm).alias("a")).crossJoin(block).select(item, "embedding", "a", F.explode("_all").alias("_q"))
+        dot = F.expr("aggregate(embedding, 0L, (s, w) -> s + w.weight * coalesce(get(_q.v, w.bucket), 0L))")
         rows = rows.select(F.col("_q.q").alias(query), item, dot.alias("dot"), "a", F.col("_q.b").alias("b")).where("dot > 0")
         parts.append(rows.select(query, item, (F.col("dot") / (F.sqrt(F.col("a").cast("double")) * F.sqrt(F.col("b").cast("double")))).alias("score")))
     order = Window.partitionBy(query).orderBy(F.col("score").desc(), F.col(item))
@@ -87,23 +173,23 @@ def nearest(vectors: DataFrame, query: list[float] | Column, k: int, key: str =
     return found.withColumn("rank", F.row_number().over(order))
 
 
-def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
-    """k nearest vectors (vec_id, embedding, ...) of each query (query_no, point), in blocks of `most_queries` queries."""
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 1000, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """k nearest vectors (key, embedding, ...) of each query (query_no, point), in blocks of `most_queries` queries."""
     parts = []
     for block in _blocks(queries.select("query_no", "point"), "query_no", most_queries):
         asked = [{"q": r["query_no"], "p": r["point"]} for r in block]
-        rows = vectors.where(F.col("embedding").isNotNull()).withColumn("_q", _each(asked, "q long, p array<double>"))
-        rows = rows.withColumn("distance", squared_distance("embedding", "_q.p")).withColumn("query_no", F.col("_q.q")).drop("_q")
+        rows = vectors.where(F.col(embedding).isNotNull()).withColumn("_q", _each(asked, "q long, p array<double>"))
+        rows = rows.withColumn("distance", squared_distance(embedding, "_q.p")).withColumn("query_no", F.col("_q.q")).drop("_q")
         parts.append(rows)
-    order = Window.partitionBy("query_no").orderBy("distance", "vec_id")
+    order = Window.partitionBy("query_no").orderBy("distance", key)
     return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def first_wins(hits: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """The first hit, by query_no and rank, of each key; `place` numbers what is left from 1."""
-    order = Window.partitionBy(*(key or SPAN)).orderBy("query_no", "rank")
+def first_wins(hits: DataFrame, key: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """The first hit, by query_no and rank, of each key, for each value of `by`; `place` numbers what is left from 1."""
+    order = Window.partitionBy(*(by or []), *(key or SPAN)).orderBy("query_no", "rank")
     left = hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    place = Window.orderBy("query_no", "rank")  # at most (1 + sub-questions) * k rows
+    place = Window.partitionBy(*(by or [])).orderBy("query_no", "rank")  # at most (1 + sub-questions) * k rows
     return left.withColumn("place", F.row_number().over(place))
 
 

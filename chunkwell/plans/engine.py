@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import logging
 import uuid
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from chunkwell.functions.text import citations, is_blank
 from chunkwell.operators import chat, chunking, retrieval
@@ -70,10 +73,64 @@ def subquestions(generator: Generator, prompt: str) -> list[str]:
         return []
 
 
+def _replies(prompts_: DataFrame, key: str, load: Callable[[], Generator], reply: Callable[[Generator, str], object], kind: DataType) -> DataFrame:
+    """key and `reply`, of type `kind`, to each prompt (key, prompt), by a generator on the executors over Arrow batches."""
+    rows, arrow = prompts_.select(key, "prompt"), pa.list_(pa.string()) if isinstance(kind, ArrayType) else pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        generator = load()
+        for batch in batches:
+            found = [reply(generator, p) for p in batch.column("prompt").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, arrow)], names=[key, "reply"])
+
+    return rows.mapInArrow(run, StructType([rows.schema[key], StructField("reply", kind)]))
+
+
+def answered(prompts_: DataFrame, key: str, load: Callable[[], Generator] = ExtractiveGenerator) -> DataFrame:
+    """key, answer, sources and status (ok, or not_found where the answer says so) of many prompts (key, prompt)."""
+    rows = _replies(prompts_, key, load, safe_answer, StringType()).withColumnRenamed("reply", "answer")
+    return rows.select(key, "answer", citations("answer").alias("sources"), F.when(prompts.is_not_found("answer"), "not_found").otherwise("ok").alias("status"))
+
+
+def asked_further(questions: DataFrame, prompts_: DataFrame, key: str, load: Callable[[], Generator] = ExtractiveGenerator) -> DataFrame:
+    """Every search of many questions (key, query): key, query_no (0 is the question itself, then its sub-questions), text."""
+    further = _replies(prompts_, key, load, subquestions, ArrayType(StringType()))
+    own = questions.select(key, F.lit(0).alias("query_no"), F.col("query").alias("text"))
+    return own.unionByName(further.select(key, F.posexplode("reply").alias("n", "text")).select(key, (F.col("n") + 1).alias("query_no"), "text"))
+
+
 class NotFound(LookupError):
     """No such repository, or nothing relevant in it."""
 
 
+def search_many(records: DataFrame, searches: DataFrame, key: str, embedder: Embedder, top_k: int) -> DataFrame:
+    """Hits of many searches (key, query_no, text) among records (id, embedding, chunk columns), first wins within each key."""
+    numbered = searches.withColumn("_search", F.xxhash64(key, "query_no"))
+    best = retrieval.sparse_top_k(records.select("id", "embedding"), "id", embedder.add(numbered, "text"), "_search", top_k)
+    hits = best.join(numbered.select("_search", key, "query_no"), "_search").join(records.drop("embedding"), "id")
+    return retrieval.first_wins(hits, by=[key])
+
+
+def answer_many(
+    records: DataFrame, questions: DataFrame, key: str, embedder: Embedder, top_k: int = 3, two_pass: bool = False,
+    load: Callable[[], Generator] = ExtractiveGenerator, limit: int = prompts.MAX_TOKENS,
+) -> DataFrame:
+    """key, chunks, answer, sources, status for each of many questions (key, query) from records; those without a hit are not_found."""
+    rows = questions.select(key, "query", F.lit("").alias("history"))
+    searches = rows.select(key, F.lit(0).alias("query_no"), F.col("query").alias("text"))
+    hits = search_many(records, searches, key, embedder, top_k)
+    if two_pass:
+        searches = asked_further(rows, prompts.subquestion_prompts(hits, rows, key), key, load)
+        hits = search_many(records, searches, key, embedder, top_k)
+    made = prompts.rag_prompts(hits, rows, key, limit=limit)
+    none = F.col("chunks") == 0
+    told = made.select(key, "chunks").join(answered(made, key, load), key)
+    return told.select(
+        key, "chunks", F.when(none, prompts.NOT_FOUND).otherwise(F.col("answer")).alias("answer"),
+        F.when(none, F.array().cast(told.schema["sources"].dataType)).otherwise(F.col("sources")).alias("sources"), F.when(none, "not_found").otherwise(F.col("status")).alias("status"),
+    )
+
+
 class Engine:
     """One session of the engine; conversations are tables that live as long as it does."""
 
@@ -87,7 +144,8 @@ class Engine:
     def ingest(self, files: DataFrame | str, repo_name: str, mode: str = "upsert") -> list[dict]:
         """Chunk files, or those of a directory, embed the chunks and write them; the files that gave no chunk, by path."""
         rows = read_directory(self.spark, files, repo_name) if isinstance(files, str) else files
-        self.store.write(repo_name, embedded(with_ids(chunking.chunk_files(rows)), self.embedder), mode)
+        chunks = with_ids(chunking.chunk_files(rows, errors=True))
+        self.store.write(repo_name, embedded(chunks, self.embedder), mode, failed=F.col("chunk_type") == chunking.PARSE_ERROR)
         return [r.asDict() for r in self.unchunked(rows, repo_name).collect()]
 
     def unchunked(self, files: DataFrame, repo_name: str) -> DataFrame:
@@ -98,12 +156,31 @@ class Engine:
 
     def retrieve(self, repo_name: str, queries: list[str], top_k: int) -> DataFrame:
         """Hits of every query, in order: query_no, rank and chunk columns, as a local table of at most queries * top_k rows."""
-        records = self.store.read(repo_name)
-        asked = self.embedder.embed(self.spark.createDataFrame(list(enumerate(queries)), "query_no long, text string"), ["query_no"], "text")
-        best = retrieval.sparse_top_k(records.select("id", "embedding"), "id", asked, "query_no", top_k)
-        found = F.broadcast(best).join(records.drop("embedding"), "id")
+        asked = self.spark.createDataFrame(list(enumerate(queries)), "query_no long, text string")
+        best = self._best(repo_name, asked, top_k).select("query_no", "rank", "id")
+        hits = self.spark.createDataFrame(best.collect(), best.schema)
+        found = hits.join(self.store.fetch(repo_name, [r["id"] for r in hits.select("id").distinct().collect()]).drop("embedding", "vector", "cell"), "id")
         return self.spark.createDataFrame(found.collect(), found.schema)
 
+    def _best(self, repo_name: str, asked: DataFrame, top_k: int) -> DataFrame:
+        """query_no, rank, id of the records nearest to each of some queries (query_no, text): dense ones in the collection's cells where it has them."""
+        made = self.embedder.add(asked, "text")
+        if self.embedder.kind == "sparse":
+            return retrieval.sparse_top_k(self.store.read(repo_name).select("id", "embedding"), "id", made, "query_no", top_k)
+        return self.store.nearest(repo_name, {r["query_no"]: r["vector"] for r in made.collect()}, top_k, self.settings.probes or None)
+
+    def query_many(self, repo_name: str, questions: DataFrame, key: str, top_k: int | None = None, two_pass: bool | None = None, load: Callable[[], Generator] = ExtractiveGenerator) -> DataFrame:
+        """key, chunks, answer, sources, status for each of many questions (key, query), in one plan and without a history.
+
+        Searches, budgets and prompts are keyed by the question, and the generator that `load` makes runs on the executors.
+        """
+        if not self.store.exists(repo_name):
+            raise NotFound(repo_name)
+        if self.embedder.kind != "sparse":
+            raise ValueError("many questions need sparse embeddings")
+        records = self.store.read(repo_name)
+        return answer_many(records, questions, key, self.embedder, top_k or self.settings.top_k, self.settings.two_pass if two_pass is None else two_pass, load)
+
     def query(self, repo_name: str, question: str, conversation_id: str | None = None, top_k: int | None = None, two_pass: bool | None = None) -> dict:
         """{query, answer, sources, conversation_id, status}; NotFound for a missing repository, no hit, or an answer that says so."""
         if top_k is not None and top_k < 3:

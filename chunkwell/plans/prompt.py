@@ -52,28 +52,51 @@ def within_budget(rows: DataFrame, base: Column | int, limit: int = MAX_TOKENS,
     return rows.withColumn("_sum", F.sum(tokens).over(window)).where(base + F.col("_sum") < limit).drop("_sum")
 
 
-def _assemble(hits: DataFrame, system: str, head: str, query: str, context: str, history: Column, counted: bool, ending: str, limit: int) -> DataFrame:
-    base = token_estimate(F.lit(system)) + token_estimate(F.concat(F.lit(head), F.lit(query), F.lit("\n\n" + context)))
+#: The labels before a question, before its excerpts, and the same where sub-questions are asked for.
+QUERY_LABEL, CONTEXT_LABEL = "User Query: ", "Relevant Code Context:"
+FIRST_QUERY_LABEL, FIRST_CONTEXT_LABEL = "Original User Query: ", "Initial Code Context:"
+ANSWER_NOW = "Answer the query above from these excerpts, as the instructions say."
+SPLIT_NOW = "Reply with the JSON object of smaller questions now."
+
+
+def _assemble(hits: DataFrame, questions: DataFrame, key: list[str], system: str, labels: tuple[str, str], counted: bool, ending: str, limit: int) -> DataFrame:
+    """A row (key, prompt, chunks) for each question (key, query, history), from the hits (key, place, chunk columns) of its own that fit."""
+    label, context = labels
+    base = token_estimate(F.lit(system)) + token_estimate(F.concat(F.lit(label), F.col("query"), F.lit("\n\n" + context)))
     if counted:
-        base = base + token_estimate(history)
-    texts = hits.select("place", chunk_text().alias("text")).withColumn("tokens", token_estimate("text"))
-    kept = within_budget(texts, base, limit)
-    joined = kept.agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("c"))  # within the budget
+        base = base + token_estimate("history")
+    texts = hits.select(*key, "place", chunk_text().alias("text")).withColumn("tokens", token_estimate("text"))
+    kept = within_budget(texts.join(questions.select(*key, base.alias("_base")), key) if key else texts.crossJoin(questions.select(base.alias("_base"))), F.col("_base"), limit, key=key)
+    joined = kept.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("c"))  # within the budget
+    rows = questions.join(joined, key, "left") if key else questions.crossJoin(joined)
+    rows = rows.withColumn("c", F.coalesce("c", F.array().cast("array<struct<place: int, text: string>>")))
     body = F.array_join(F.transform("c", lambda x: x["text"]), "\n\n")
-    prompt = F.concat(F.lit(system + "\n\n---\n"), history, F.lit(head), F.lit(query), F.lit("\n\n" + context + "\n"), body, F.lit("\n\n---\n" + ending + "\n"))
-    return joined.select(strip(prompt).alias("prompt"), F.size("c").alias("chunks"))
+    prompt = F.concat(F.lit(system + "\n\n---\n"), F.col("history"), F.lit(label), F.col("query"), F.lit("\n\n" + context + "\n"), body, F.lit("\n\n---\n" + ending + "\n"))
+    return rows.select(*key, strip(prompt).alias("prompt"), F.size("c").alias("chunks"))
+
+
+def _one(hits: DataFrame, query: str, history: Column | None) -> DataFrame:
+    return hits.sparkSession.range(1).select(F.lit(query).alias("query"), (history if history is not None else F.lit("")).alias("history"))
 
 
 def rag_prompt(hits: DataFrame, query: str, history: Column | None = None, system: str = SYSTEM, limit: int = MAX_TOKENS) -> DataFrame:
     """One row (prompt, chunks) from hits (place, chunk columns); the history's tokens are not counted."""
-    ending = "Answer the query above from these excerpts, as the instructions say."
-    return _assemble(hits, system, "User Query: ", query, "Relevant Code Context:", history if history is not None else F.lit(""), False, ending, limit)
+    return _assemble(hits, _one(hits, query, history), [], system, (QUERY_LABEL, CONTEXT_LABEL), False, ANSWER_NOW, limit)
+
+
+def rag_prompts(hits: DataFrame, questions: DataFrame, key: str, system: str = SYSTEM, limit: int = MAX_TOKENS) -> DataFrame:
+    """A row (key, prompt, chunks) for each of many questions (key, query, history) from the hits of each."""
+    return _assemble(hits, questions, [key], system, (QUERY_LABEL, CONTEXT_LABEL), False, ANSWER_NOW, limit)
 
 
 def subquestion_prompt(hits: DataFrame, query: str, history: Column | None = None, system: str = SUBQUESTION_SYSTEM, limit: int = MAX_TOKENS) -> DataFrame:
     """One row (prompt, chunks) that asks for sub-questions; the history's tokens are counted."""
-    ending = "Reply with the JSON object of smaller questions now."
-    return _assemble(hits, system, "Original User Query: ", query, "Initial Code Context:", history if history is not None else F.lit(""), True, ending, limit)
+    return _assemble(hits, _one(hits, query, history), [], system, (FIRST_QUERY_LABEL, FIRST_CONTEXT_LABEL), True, SPLIT_NOW, limit)
+
+
+def subquestion_prompts(hits: DataFrame, questions: DataFrame, key: str, system: str = SUBQUESTION_SYSTEM, limit: int = MAX_TOKENS) -> DataFrame:
+    """A row (key, prompt, chunks) for each of many questions (key, query, history) that asks for its sub-questions."""
+    return _assemble(hits, questions, [key], system, (FIRST_QUERY_LABEL, FIRST_CONTEXT_LABEL), True, SPLIT_NOW, limit)
 
 
 def is_not_found(answer: Column | str) -> Column:

@@ -198,7 +198,7 @@ def test_running_sums_and_folds(spark):
 
     for n in (0, 1, 63, 64, 65, 4200):
         numbers = [(i * 37) % 11 - 5 for i in range(n)]
-        row = spark.createDataFrame([(numbers,)], "x array<int>").select(running_sums(F.col("x")).alias("s"), folded(F.col("x"), F.lit(0), lambda s, x: F.greatest(s + x, F.lit(0)), "int").alias("f")).collect()[0]
+        row = spark.createDataFrame([(numbers,)], "x array<int>").select(F.expr(running_sums("x")).alias("s"), F.expr(folded("x", "0", "greatest(s + x, 0)", "int")).alias("f")).collect()[0]
         sums, states, total, state = [], [], 0, 0
         for x in numbers:
             total, state = total + x, max(state + x, 0)

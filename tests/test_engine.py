@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+
 import duckdb
+import numpy as np
 import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from chunkwell import catalogue
-from chunkwell.operators import chunking, retrieval
-from chunkwell.operators.retrieval import HashedEmbedder
-from chunkwell.plans.engine import EMPTY_ANSWER, FAILED_ANSWER, Engine, NotFound, safe_answer, subquestions
+from chunkwell.operators import cells, chunking, retrieval
+from chunkwell.operators.retrieval import HashedEmbedder, HashedVectors, ModelEmbedder
+from chunkwell.plans.engine import EMPTY_ANSWER, FAILED_ANSWER, Engine, ExtractiveGenerator, NotFound, safe_answer, subquestions
 from chunkwell.settings import Settings
-from chunkwell.sources.store import Store, embedded, with_ids
+from chunkwell.sources.store import Manifest, Store, embedded, with_ids
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors do not import the tests
 DATA = "/root/testdata/sf0.001"
 RAW = "repo_name string, file_path string, file_type string, content string"
 
@@ -73,37 +79,173 @@ def test_answers_that_find_nothing_are_not_kept(spark, tmp_path):
     assert engine.chats == {"given": [("parser", "fine")]}
 
 
+def chunks_of(spark, *paths, text="words of {}"):
+    rows = [("r", p, "txt", text.format(p)) for p in paths]
+    return embedded(with_ids(chunking.chunk_files(spark.createDataFrame(rows, RAW))), HashedEmbedder())
+
+
 def test_writers_lose_nothing(spark, tmp_path):
     root = str(tmp_path / "store")
-    a, b = Store(spark, root), Store(spark, root, max_records=1)
-    chunks = lambda path: embedded(with_ids(chunking.chunk_files(spark.createDataFrame([("r", path, "txt", f"words of {path}")], RAW))), HashedEmbedder())
-    a.write("R", chunks("a.txt"))
-    point, raced = a._point, []
+    a, b = Store(spark, root, keep_seconds=0), Store(spark, root, max_records=1, keep_seconds=0)
+    a.write("R", chunks_of(spark, "a.txt"))
+    publish, raced = a._publish, []
 
-    def late(normal, number, version):
+    def late(normal, number, manifest):
         if not raced:
-            raced.append(b.write("r", chunks("b.txt")))  # another writer comes first
-        return point(normal, number, version)
+            raced.append(b.write("r", chunks_of(spark, "b.txt")))  # another writer comes first
+        return publish(normal, number, manifest)
 
-    a._point = late
-    a.write("r", chunks("c.txt"))
+    a._publish = late
+    a.write("r", chunks_of(spark, "c.txt"))
     assert {r.file_path for r in b.read("r").collect()} == {"a.txt", "b.txt", "c.txt"}
-    folders = [p.name for p in (tmp_path / "store" / "r").iterdir()]
-    assert len([f for f in folders if f.startswith("v-")]) == 2 and not [f for f in folders if f.startswith("new-")]
+    assert len(b._manifests("r")) == 2 and not list((tmp_path / "store" / "r").rglob("new-*")) and not list((tmp_path / "store" / "r" / "manifests").glob(".??*[0-9a-f]"))
     b.write("r", a.read("r"))
-    assert len(list((tmp_path / "store" / "r" / b._pointers("r")[0][1]).glob("part-*.parquet"))) >= 3
-    a.write("empty", chunks("a.txt").where("false"))
+    assert len(list((tmp_path / "store" / "r" / "data").glob("*/*/part-*.parquet"))) >= 3
+    a.write("empty", chunks_of(spark, "a.txt").where("false"))
     assert a.list() == ["r"] and not a.delete("empty") and a.delete("R") and a.list() == []
 
 
+def test_writers_that_died_leave_no_trace(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.write("r", chunks_of(spark, "a.txt"))
+    manifests = tmp_path / "store" / "r" / "manifests"
+    (manifests / "000000000002").write_bytes(b"")  # made, but never written
+    (manifests / ".half").write_text('{"buckets"')
+    (tmp_path / "store" / "r" / "data" / "v-dead").mkdir()
+    assert [r.file_path for r in store.read("r").collect()] == ["a.txt"]
+    store.write("r", chunks_of(spark, "b.txt"))
+    assert sorted(r.file_path for r in store.read("r").collect()) == ["a.txt", "b.txt"]
+    (manifests / "000000000004").write_bytes(b"")
+    store.write_all(chunks_of(spark, "c.txt"), F.col("repo_name"))
+    assert [r.file_path for r in store.read("r").collect()] == ["c.txt"]
+
+
+def test_only_buckets_with_new_ids_are_written(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), buckets=8, keep_seconds=0)
+    store.write("r", chunks_of(spark, *(f"{k}.txt" for k in range(60))))
+    before = store._last("r")[1].folders
+    files = lambda: {p.name: p.stat().st_mtime_ns for f in before.values() for p in (tmp_path / "store" / "r" / f).glob("*.parquet")}
+    there = files()
+    store.write("r", chunks_of(spark, "7.txt", "new.txt", text="changed {}"))
+    after = store._last("r")[1].folders
+    changed = {b for b in before if before[b] != after[b]}
+    assert 1 <= len(changed) <= 2 and files() == there and len(before) == 8
+    rows = {r.file_path: r.content for r in store.read("r").collect()}
+    assert len(rows) == 61 and rows["7.txt"] == "changed 7.txt" and rows["8.txt"] == "words of 8.txt" and rows["new.txt"] == "changed new.txt"
+    for k in range(3):  # folders that only older manifests name go
+        store.write("r", chunks_of(spark, "7.txt", text=f"again {k} {{}}"))
+    assert not any((tmp_path / "store" / "r" / before[b]).exists() for b in changed if before[b] != store._last("r")[1].folders[b])
+    ids = [r.id for r in store.read("r").where("file_path in ('3.txt', '7.txt')").collect()]
+    assert sorted(r.file_path for r in store.fetch("r", [*ids, "none"]).collect()) == ["3.txt", "7.txt"]
+    assert len(store.fetch("r", ids[:1]).inputFiles()) == 1 and store.fetch("other", ids).count() == 0
+
+
+def test_names_are_published_once_on_any_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    assert store._publish("r", 1, Manifest(4)) and not store._publish("r", 1, Manifest(5)) and store._last("r") == (1, Manifest(4))
+    store._links = False  # as on stores other than local folders
+    assert store._publish("r", 2, Manifest(6)) and not store._publish("r", 2, Manifest(7)) and store._last("r") == (2, Manifest(6))
+
+
+def test_reads_that_were_planned_may_end(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.write("r", chunks_of(spark, "a.txt"))
+    planned = store.read("r")
+    for k in range(4):
+        store.write("r", chunks_of(spark, "a.txt", text=f"v{k}"))
+    assert [r.content for r in planned.collect()] == ["words of a.txt"]
+
+
+class Planes:
+    """A model of 384 dimensions: the words of a text set places of a vector."""
+
+    dimensions = 384
+
+    def encode(self, texts):
+        return HashedVectors(384).encode(texts) / 2
+
+
+def test_dense_vectors_are_stored_and_retrieved(spark, tmp_path):
+    engine = Engine(spark, Settings(store_path=str(tmp_path / "store"), two_pass=False), embedder=ModelEmbedder(Planes))
+    topics = ["the parser reads tokens", "the cook boils pasta", "rain falls on hills", "ships cross the sea"]
+    rows = [("d", f"{k}.txt", "txt", f"{topics[k % 4]} {k}") for k in range(80)]
+    engine.ingest(spark.createDataFrame(rows, RAW), "d")
+    stored = engine.store.read("d").collect()
+    assert len(stored) == 80 and {len(r.vector) for r in stored} == {384} and all(r.cell is None and r.embedding == [] for r in stored)
+    answer = engine.query("d", "pasta the cook boils 1")
+    assert answer["sources"][0]["file_path"] == "1.txt"
+    assert engine.store.index("d", cells=6)
+    cells = {r.cell for r in engine.store.read("d").collect()}
+    assert None not in cells and 2 <= len(cells) <= 6
+    assert engine.query("d", "pasta the cook boils 1")["sources"] == answer["sources"]
+    engine.ingest(spark.createDataFrame([("d", "new.txt", "txt", "the cook boils pasta 1 again")], RAW), "d")  # later records get a cell too
+    assert engine.store.fetch("d", ["d_new_txt_1_1"]).collect()[0].cell in cells
+    plan = engine.store.nearest("d", {0: stored[0].vector}, 3, probes=1)._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and ("In(cell" in plan or "EqualTo(cell" in plan)
+
+
+@pytest.mark.parametrize("spread", [0.3, 1.0])
+def test_recall_of_cells(spark, tmp_path, spread):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 32))
+    points = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * spread
+    rows = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points.astype(np.float32))] + [(9000, None)], "vec_id long, vector array<float>")
+    model = cells.train(rows, "vec_id")
+    put = cells.with_cell(rows, model).cache()
+    assert put.where("cell is null").count() == 1 and put.columns == ["vec_id", "vector", "cell"]
+    queries = spark.createDataFrame([(k, (points[k] + 0.1).tolist()) for k in range(0, 4000, 50)], "query_no long, point array<double>")
+    exact = {(r.query_no, r.rank): (r.vec_id, r.distance) for r in retrieval.nearest_to_each(rows, queries, 10, embedding="vector").collect()}
+    every = {(r.query_no, r.rank): (r.vec_id, r.distance) for r in cells.search(put, model, queries, 10, probes=None, most_queries=33).collect()}
+    assert every == exact and len(exact) == 800
+    few = cells.search(put, model, queries, 10).collect()
+    truth = {(q, v) for (q, _), (v, _) in exact.items()}
+    recall = len(truth & {(r.query_no, r.vec_id) for r in few}) / len(truth)
+    assert recall >= 0.9
+    assert cells.train(rows.where("false"), "vec_id") is None
+
+
+def test_files_that_do_not_parse_are_reported(spark, tmp_path):
+    engine = Engine(spark, Settings(store_path=str(tmp_path / "store")))
+    rows = [("e", "bad.py", "py", "def broken(:\n    pass\n"), ("e", "good.py", "py", "x = 1\n"), ("e", "nul.py", "py", "x = '\0'\n"), ("e", "blank.txt", "txt", " ")]
+    lost = engine.ingest(spark.createDataFrame(rows, RAW), "e")
+    assert [x["file_path"] for x in lost] == ["blank.txt"]
+    assert {(r.file_path, r.chunk_type) for r in engine.store.read("e").collect()} == {("bad.py", "text_block"), ("good.py", "top_level_code"), ("nul.py", "text_block")}
+    assert {(r.file_path, r.error.split(":")[0]) for r in engine.store.errors("e").collect()} == {("bad.py", "SyntaxError"), ("nul.py", "SyntaxError")}
+    engine.delete("e")
+    assert engine.store.errors("e").count() == 0
+
+
+class Splitting(ExtractiveGenerator):
+    def structured(self, prompt):
+        return '{"subquestions": ["rain", "ships"]}' if "pasta" in prompt.split("Original User Query: ")[1].split("\n")[0] else "no"
+
+
+def test_many_questions_are_answered_as_one_by_one(spark, tmp_path):
+    texts = ["the parser reads tokens", "the cook boils pasta", "rain falls on hills", "ships cross the sea"]
+    rows = spark.createDataFrame([("m", f"{k}.txt", "txt", f"{t} {'x ' * 3000 if k == 3 else ''}") for k, t in enumerate(texts)], RAW)
+    asked = ["boils pasta", "zzz", "ships sea"]
+    for two_pass in (True,):
+        engine = Engine(spark, Settings(store_path=str(tmp_path / f"store{two_pass}"), two_pass=two_pass), generator=Splitting())
+        engine.ingest(rows, "m")
+        got = engine.query_many("m", spark.createDataFrame(list(enumerate(asked)), "q long, query string"), "q", load=Splitting)
+        found = {r.q: (r.answer, [s.asDict() for s in r.sources], r.status) for r in got.collect()}
+        assert len(found) == len(asked)
+        for q, text in enumerate(asked):
+            try:
+                one = engine.query("m", text)
+                assert found[q] == (one["answer"], one["sources"], "ok")
+            except NotFound:
+                assert found[q][2] == "not_found" and found[q][1] == []
+
+
 def test_sparse_top_k_equals_brute_force(spark):
     import random
 
     rng = random.Random(3)
     texts = lambda n: [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 9)))) for i in range(n)]
     items, asked, model = texts(120), texts(150), HashedEmbedder()
-    tables = [model.embed(spark.createDataFrame(x, f"{n} long, t string"), [n], "t") for x, n in ((items, "i"), (asked, "q"))]
-    vectors = [{r[0]: {e.bucket: e.weight for e in r.embedding} for r in t.collect()} for t in tables]
+    tables = [model.add(spark.createDataFrame(x, f"{n} long, t string"), "t") for x, n in ((items, "i"), (asked, "q"))]
+    vectors = [{r[0]: {e.bucket: e.weight for e in r.embedding} for r in t.collect() if r.embedding} for t in tables]
     expected = set()
     for q, v in vectors[1].items():
         score = lambda w, v=v: sum(x * w.get(b, 0) for b, x in v.items()) / (sum(x * x for x in v.values()) ** 0.5 * sum(x * x for x in w.values()) ** 0.5)
@@ -128,7 +270,7 @@ def tables():
     return connection
 
 
-def cells(frame):
+def values(frame):
     names = sorted(frame.columns)
     return sorted(repr([None if x is None or x != x else x for x in row]) for row in frame[names].astype(object).itertuples(index=False, name=None))
 
@@ -138,4 +280,4 @@ def test_query_equals_sql(spark, tables, name):
     got, expected = catalogue.QUERIES[name](spark, DATA).toPandas(), tables.sql(catalogue.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
     plain = lambda rows: [r.replace(".0", "") for r in rows]
-    assert plain(cells(got)) == plain(cells(expected))
+    assert plain(values(got)) == plain(values(expected))
