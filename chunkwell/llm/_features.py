@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm._shared import Words, hash_sample, held_out, slices, split_words
+from chunkwell.llm._shared import Words, hash_sample, held_out, ranges, slices, span_hashes, split_words
 
 CACHED_WORDS = 200_000
 
@@ -64,7 +64,36 @@ def sample(documents: DataFrame, label: str, most: int) -> DataFrame:
     return found.select("text", "label")
 
 
-def word_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
+#: Runs of more bytes are no words, and seen at each of their characters, GRAM characters at a time.
+LONGEST_WORD, GRAM = 40, 8
+
+
+def spread_words(words: Words) -> Words:
+    """The words, and in place of each run longer than LONGEST_WORD the grams that begin at its characters; in proportion to its length."""
+    long = np.flatnonzero(words.end - words.start > LONGEST_WORD)
+    if not len(long):
+        return words
+    size = words.end[long] - words.start[long]
+    place, run = ranges(words.start[long], size), np.repeat(np.arange(len(long)), size)
+    keep = (words.data[place] & 0xC0) != 0x80
+    place, run = place[keep], run[keep]
+    stop = np.repeat(words.end[long], np.bincount(run, minlength=len(long)))
+    ahead = np.full(len(place), 0, dtype=np.int64)
+    ahead[:-GRAM] = place[GRAM:] if len(place) > GRAM else 0
+    inside = np.zeros(len(place), dtype=bool)
+    inside[:-GRAM] = run[GRAM:] == run[:-GRAM] if len(place) > GRAM else False
+    end = np.where(inside, ahead, stop)
+    short = np.ones(len(words.start), dtype=bool)
+    short[long] = False
+    starts, ends = np.concatenate([words.start[short], place]), np.concatenate([words.end[short], end])
+    hashes = np.concatenate([words.hash[short], span_hashes(words.data, place, end)])
+    order = np.argsort(starts, kind="stable")
+    starts = starts[order]
+    return Words(words.data, words.offsets, starts, ends[order], hashes[order], np.searchsorted(starts, words.offsets))
+
+
+def word_slices(batches: Iterator[pa.RecordBatch], spread: bool = False) -> Iterator[tuple[pa.RecordBatch, Words]]:
     for whole in batches:
         for batch in slices(whole, "text"):
-            yield batch, split_words(batch.column("text"), fold=False)
+            words = split_words(batch.column("text"), fold=False)
+            yield batch, spread_words(words) if spread else words

@@ -509,19 +509,35 @@ def battery_by_hand(token):
     k = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", bare) else 32 if re.fullmatch("[A-Z2-7]+", bare) else 64
     v = [secrets.ALPHABETS[k].find(c) for c in (bare.lower() if k == 16 else bare)]
     n, tail = len(v), lambda z: math.erfc(min(z, 30) / math.sqrt(2)) / 2
-    chi = k * sum(c * c for c in Counter(v).values()) / n - n
-    cube = ((max(chi, 1e-9) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
-    high = [x >= k / 2 for x in v]
+    whole = {64: 52, 32: 26}.get(k) if bare.isalpha() and k != 16 else k
+    chi = whole * sum(c * c for c in Counter(v).values()) / n - n
+    cube = ((max(chi, 1e-9) / (whole - 1)) ** (1 / 3) - (1 - 2 / (9 * (whole - 1)))) / math.sqrt(2 / (9 * (whole - 1)))
+    high = [x >= whole / 2 for x in v]
     ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
     mean_runs = 1 + 2 * ones * (n - ones) / n
     z_runs = 8 if ones in (0, n) else abs(runs - mean_runs) / math.sqrt(max((mean_runs - 1) * (mean_runs - 2) / (n - 1), 1e-9))
     mean = sum(v) / n
     serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / max(sum((x - mean) ** 2 for x in v), 1e-9)
-    p = min(tail(cube), 2 * tail(z_runs), 2 * tail(abs((serial + 1 / n) * math.sqrt(n))))
+    cell = lambda c: "digit" if not c.isalpha() else ("letter" if k == 16 else ("V" if c.upper() in "AEIOU" else "C") + ("low" if c.islower() else "up"))
+    seen = Counter(map(cell, bare))
+    size = {16: {"digit": 10, "letter": 6}, 32: {"Vup": 5, "Cup": 21, "digit": 6}, 64: {"Vup": 5, "Cup": 21, "Vlow": 5, "Clow": 21, "digit": 12}}[k]
+    if k != 16 and not seen["digit"]:
+        del size["digit"]
+    merged = []
+    for join in (lambda c: c[1:] if c[0] in "VC" else c, lambda c: c):
+        own, whole = Counter(), Counter()
+        for c, x in size.items():
+            own[join(c)] += seen[c]
+            whole[join(c)] += n * x / sum(size.values())
+        df = len(whole) - 1
+        if df:
+            chi = sum((own[c] - e) ** 2 / e for c, e in whole.items())
+            merged.append(tail(((max(chi, 1e-9) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))))
+    p = min(tail(cube), *merged, 2 * tail(z_runs), 2 * tail(abs((serial + 1 / n) * math.sqrt(n))))
     kind, edge = 0, 1.5 * secrets.RUN
     while n >= edge:
         kind, edge = kind + 1, edge * (4 / 3 if kind % 2 == 0 else 1.5)
-    return k, kind, min(1.0, 3 * p)
+    return k, kind, min(1.0, 5 * p)
 
 
 def test_random_spans_equal_brute_force(spark):
@@ -545,8 +561,7 @@ def test_random_spans_equal_brute_force(spark):
                 families.setdefault(tuple(family), []).append(p)
     limit = {}
     for family, ps in families.items():
-        level = secrets.FDR if family[1] else secrets.FDR_SHORT
-        limit[family] = max((level * r / len(ps) for r, p in enumerate(sorted(ps), 1) if p <= level * r / len(ps)), default=-1.0)
+        limit[family] = max((secrets.FDR * r / len(ps) for r, p in enumerate(sorted(ps), 1) if p <= secrets.FDR * r / len(ps)), default=-1.0)
     expected = {(i, a, b) for i, a, b, family, p in found if p > limit[family]}
     got = set()
     for r in secrets.find_secrets(docs(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect():
@@ -575,6 +590,19 @@ def test_random_keys_are_found_at_any_length_and_share(spark):
     assert {r.n_random for r in secrets.find_secrets(line).collect()} == {0}
 
 
+def test_words_are_no_spans_and_keys_are_found(spark):
+    """Precision and recall over all words of the documents, and planted keys of 24 letters."""
+    rng, data = random.Random(31), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = {w for r in data.select("text").collect() for w in re.findall(r"[A-Za-z]{16,}", r.text or "") if w[1:].islower()}
+    heads, tails = ["Donau", "Gesell", "Wirt", "Land", "ver", "Unter"], ["dampfschiffahrt", "schaftsordnungen", "wirtschaftsministerium", "verschlechterung", "nehmensberatungen"]
+    words |= {a + b for a in heads for b in tails} | {"internationalization", "counterrevolutionary", "INTERNATIONALIZATION", "telecommunications", "characteristically", "interdisciplinary"}
+    keys = ["".join(rng.choice(secrets.ALPHABETS[64][:62]) for _ in range(24)) for _ in range(300)]
+    rows = [(i, f"the {t} of", "en") for i, t in enumerate([*sorted(words), *keys])]
+    found = {r.doc_id for r in secrets.find_secrets(docs(spark, rows)).collect() if r.n_random}
+    assert not {rows[i][1] for i in found if i < len(words)} - {"the INTERNATIONALIZATION of"}
+    assert len([i for i in found if i >= len(words)]) >= 0.97 * len(keys)
+
+
 def test_documents_shorter_than_an_item(spark):
     rng = random.Random(23)
     items = [(k, prose(rng, n)) for k, n in enumerate([38, 38, 8, 7, 60, 5, 3])]
@@ -625,6 +653,37 @@ def test_toxicity_scores_equal_plain_convolution(spark):
     assert all(r[mark] == (r[value] >= model.thresholds.get(r.lang, toxicity.THRESHOLD)) for r in got)
 
 
+def test_toxicity_sees_all_of_a_run_without_blanks(spark):
+    rng = random.Random(41)
+    table, labels, _ = _labelled(spark)
+    model = toxicity.train(table, labels)
+    letters = lambda n: "".join(rng.choice("bcdfghklmnpqrtvwxz") for _ in range(n))
+    clean = [letters(400) for _ in range(8)]
+    rows = [(i, t, "en") for i, t in enumerate([*clean, *(f"{c[:200]}scumbag{c[200:]}" for c in clean)])]
+    rows += [(90, "a\u00a0b\u3000" + "漢字" * 300, "en"), (91, "漢" * 39 + "x", "en"), (92, letters(41), "en"), (93, letters(40) + " " + letters(100_000), "en")]
+    scored, value, _ = toxicity.score(docs(spark, rows), model)
+    got = {r.doc_id: r[value] for r in scored.collect()}
+    assert len(got) == len(rows) and sum(got[i + 8] > got[i] for i in range(8)) >= 7
+
+
+def test_runs_are_spread_over_their_characters():
+    from chunkwell.llm._features import spread_words
+
+    texts = ["short words", "x" * 40, "y" * 41 + " end", None, "", "é" * 30 + "z", "漢字" * 20, "last"]
+    words = spread_words(_split(texts))
+    got = [[words.text(i) for i in range(words.ptr[k], words.ptr[k + 1])] for k in range(len(texts))]
+    grams = lambda t: [t[i : i + 8] for i in range(len(t))]
+    assert got == [["short", "words"], ["x" * 40], [*grams("y" * 41), "end"], [], [], grams("é" * 30 + "z"), grams("漢字" * 20), ["last"]]
+    again = _split([" ".join(x) for x in got if x])
+    assert words.hash.tolist() == again.hash.tolist()
+
+
+def _split(texts):
+    from chunkwell.llm._shared import split_words
+
+    return split_words(pa.array(texts, pa.string()), fold=False)
+
+
 def test_toxicity_gradients_lower_the_loss_and_thresholds_are_best(spark):
     rng = np.random.default_rng(12)
     score, label = rng.random(400), rng.random(400)
