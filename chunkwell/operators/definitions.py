@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 
+from chunkwell.operators.lexer import blanked
+
 BLOCK = (
     "repo_name string, file_path string, file_type string, grammar string, kind string, first_line int, last_line int, "
     "chunk_type string, name string, parent_name string, content string, seq int"
@@ -132,12 +134,6 @@ _TYPE = re.compile(rf"^(?:(?:export|default|abstract|public|private|protected|in
 _GO_TYPE = re.compile(rf"^type\s+(?P<name>{_W})")
 
 
-def _bare(text: str) -> str:
-    """The text with comments and string contents made blanks, newlines kept."""
-    token = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
-    return token.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-
-
 def _declares(line: str, grammar: str, inside: bool) -> tuple[str, str | None] | None:
     """Kind and name of the definition that a line starts, if any."""
     if grammar == "go" and (m := _GO_TYPE.match(line)):
@@ -160,7 +156,7 @@ def lexical_nodes(text: str, grammar: str) -> list[Node]:
     """Top-level nodes by braces and keywords; an approximation for languages with braces, and Ruby."""
     if grammar == "ruby":
         return _ruby(text)
-    bare = _bare(text).split("\n")
+    bare = blanked(text, grammar).split("\n")
     top: list[Node] = []
     stack: list[tuple[Node, int]] = []  # open definitions and the depth outside them
     depth, i = 0, 0
@@ -198,7 +194,7 @@ def lexical_nodes(text: str, grammar: str) -> list[Node]:
 def _ruby(text: str) -> list[Node]:
     top: list[Node] = []
     stack: list[tuple[Node, int]] = []
-    lines = text.split("\n")
+    lines = blanked(text, "ruby").split("\n")
     for i, line in enumerate(lines, 1):
         indent = len(line) - len(line.lstrip())
         m = re.match(r"\s*(class|module|def)\s+([\w:.?!=]+)", line)

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from chunkwell.operators import chunking, definitions
 from chunkwell.operators.definitions import tree_lines
+from chunkwell.operators.lexer import blanked
 
 MARKDOWN = "intro\n\n# A\ntext\n```\n# not\n```\n### C\nx\n## B\ny\n####### deep\nz\n#nohead\n# D #\n"
 PYTHON = '''"""doc"""
@@ -129,6 +130,45 @@ def test_definitions_of_other_languages(spark, kind):
     assert [(r.chunk_type, r.name) for r in rows if r.chunk_type != "top_level_code"] == expected
 
 
+#: Tokens that hold braces or keywords without meaning them, and the definitions of the text around them.
+TOKENS = {
+    "javascript": ("const t = `a ${ f({x: `}${'}'}`}) } {`;\nconst r = /[/{]+\\/{/g; const q = a / b / c; // {\nfunction one() {\n  return /}/.test('{');\n}\nclass Two {\n}\n", [("function", "one", 3, 5), ("class", "Two", 6, 7)]),
+    "typescript": ("/* { */ const s: string = `{\n{`;\ninterface One {\n}\nfunction two(x: string) {\n  return x.split(/{/);\n}\n", [("interface", "One", 3, 4), ("function", "two", 5, 7)]),
+    "go": ("var s = `{ \\`\nvar r = '{'\nfunc one() {\n\tx := \"}\"\n}\ntype Two struct {\n}\n", [("function", "one", 3, 5), ("struct", "Two", 6, 7)]),
+    "rust": ("/* a /* { */ { */\nfn one<'a>(x: &'a str) {\n  let r = r#\"} \" {\"#;\n  let c = '{'; let d = '\\'';\n}\nstruct Two {\n}\n", [("function", "one", 2, 5), ("struct", "Two", 6, 7)]),
+    "java": ("class One {\n  String s = \"\"\"\n  { \\\"\"\" {\n  \"\"\";\n  int two() {\n    char c = '{';\n    return 1;\n  }\n}\n", [("class", "One", 1, 9), ("method", "two", 5, 8)]),
+    "c": ("// a \\\n {\nint one(int x) {\n  char c = '}'; char *s = \"{\\\"{\";\n  return x;\n}\n", [("function", "one", 3, 6)]),
+    "cpp": ("int n = 1'000'000;\nauto s = R\"x({ )\" })x\";\nint one(int x) {\n  return x; /* } */\n}\nstruct Two {\n};\n", [("function", "one", 3, 5), ("struct", "Two", 6, 7)]),
+    "c_sharp": ("class One {\n  string a = @\"\\{ \"\" {\"; string b = $\"{{ {f($\"{1}\")} {{\"; string c = $@\"\\{1}\";\n  string d = \"\"\"\"{ \"\"\" {\"\"\"\";\n  int Two() {\n    return 1;\n  }\n}\n", [("class", "One", 1, 7), ("method", "Two", 4, 6)]),
+    "php": ("$a = <<<EOT\n{ function no() {\n  EOT;\n# {\n#[Attribute]\nfunction one($x) {\n  return \"{\n}{\";\n}\nclass Two {\n}\n", [("function", "one", 6, 9), ("class", "Two", 10, 11)]),
+    "dart": ("/* /* { */ { */\nvar a = r'\\{'; var b = \"\"\"{ ${f('}')} {\"\"\"; var c = '${{1}} {';\nclass Two {\n  int one() {\n    return 1;\n  }\n}\n", [("class", "Two", 3, 7), ("method", "one", 4, 6)]),
+    "ruby": ("=begin\ndef no\n=end\nA = <<~ONE + <<TWO\n  def neither\n  ONE\nend\nTWO\nmodule M\n  def one(x)\n    y = \"#{x.map { |z| \"end\" }} end\" # end\n    %q(end (end) class X) =~ /end/\n  end\nend\n", [("module", "M", 9, 14), ("method", "one", 10, 13)]),
+}
+
+
+@pytest.mark.parametrize("grammar", sorted(TOKENS))
+def test_tokens_that_hold_braces(grammar):
+    text, expected = TOKENS[grammar]
+    found = []
+
+    def visit(nodes):
+        for n in nodes:
+            if n.kind is not None:
+                found.append((n.kind, n.name, n.first, n.last))
+            visit(n.children)
+
+    visit(definitions.lexical_nodes(text, grammar))
+    assert found == expected
+    bare = blanked(text, grammar)
+    assert [len(x) for x in bare.split("\n")] == [len(x) for x in text.split("\n")]
+
+
+@given(st.text(alphabet="{}`$'\"/*\\#r@<~A(n\n ", max_size=60), st.sampled_from(sorted(TOKENS)))
+def test_any_text_keeps_its_lines(text, grammar):
+    bare = blanked(text, grammar)
+    assert len(bare) == len(text) and all(a in (b, " ") for a, b in zip(bare, text, strict=True)) and [c == "\n" for c in bare] == [c == "\n" for c in text]
+
+
 def test_one_line_markup_keeps_its_first_window(spark):
     rows = files(spark, a__html="x" * 4000)
     assert chunking.markup_chunks(rows).count() == 1
