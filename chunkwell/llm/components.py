@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm._shared import discard, is_empty, materialise
+from chunkwell.llm._shared import discard, is_empty, materialise, spread_join
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -14,17 +14,20 @@ def connected_components(links: DataFrame) -> DataFrame:
     Every round takes the least label of the neighbours, then the label of that label, so a path of
     n nodes needs about log n rounds; each round is written to the shared folder.  Nodes without a
     link do not appear.  Empty links give an empty table; self links and repeated links are harmless.
+    A node with very many links, and the label of a very large component, go to salts of their rows, so that
+    neither meets in one task.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialise(both, "links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        met = spread_join(both, labels.select(F.col("node").alias("b"), "label"), "b", F.xxhash64("a"))
+        near = met.groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.node == near.a, "left").select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("mid")
         )
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        found = step.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("label"))
+        found = spread_join(step, jump, "mid", F.xxhash64("node")).select("node", "old", F.least("mid", "far").alias("label"))
         found = materialise(found, "labels")
         discard(labels)
         labels = found

@@ -281,7 +281,7 @@ def _apart(shared: DataFrame, labels: DataFrame, signs: DataFrame, nearest: bool
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
     apart = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     apart = materialise(apart.select("key", F.col("top.size").alias("top_size"), F.col("top.label").alias("top_label")), "apart")
-    members = named.join(apart, "key").join(signs, "node")
+    members = spread_join(named, apart, "key", F.xxhash64("node")).where("top_size is not null").join(signs, "node")
     cells = lambda size: F.ceil(size / CELL).cast("int")
     small, top = F.col("n") <= CELL, F.col("label") == F.col("top_label")
     rest, most = cells(F.col("n") - F.col("top_size")), cells(F.col("top_size"))
@@ -314,7 +314,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     met = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("times"))
     best = met.groupBy("node").agg(F.max_by("hub", F.struct(F.col("times"), -F.col("hub"))).alias("hub"))
     pairs = best.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    pairs = pairs.join(signs.toDF("b", "sign_b"), "b").join(signs.toDF("a", "sign_a"), "a")
+    pairs = spread_join(pairs.join(signs.toDF("b", "sign_b"), "b"), signs.toDF("a", "sign_a"), "a", F.xxhash64("b"))  # a hub has very many pairs
     pairs = materialise(pairs.mapInArrow(_close, "a long, b long").distinct(), "pairs")
     links = confirm(docs, pairs)
     labels = connected_components(links)

@@ -218,3 +218,18 @@ def test_hot_limit(spark):
     pieces = spark.createDataFrame([(9,), (9,), (5,), (3,), (3,), (1,)], "freq long")
     assert [tokencount.hot_limit(pieces, k) for k in (2, 3, 4, 5, 6)] == [9, 5, 5, 3, 1]
     assert tokencount.hot_limit(pieces, 1) > 9 and tokencount.hot_limit(pieces.where(F.lit(False)), 5) > 9
+
+
+# ---------------------------------------------------------------- components
+
+
+def test_components_of_stars_paths_and_rings(spark):
+    from chunkwell.llm.components import connected_components
+
+    rng = random.Random(14)
+    links = [(0, k) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(700)] + [(7000 + k, 7000 + (k + 1) % 60) for k in range(60)] + [(9, 9), (9001, 9001), (9002, 9003), (9003, 9002)]
+    rng.shuffle(links)
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    expected = dict.fromkeys(range(3000), 0) | dict.fromkeys(range(5000, 5701), 5000) | dict.fromkeys(range(7000, 7060), 7000) | {9001: 9001, 9002: 9002, 9003: 9002}
+    assert got == expected
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
