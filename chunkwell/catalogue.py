@@ -17,6 +17,7 @@ from chunkwell.functions import text as T
 from chunkwell.operators import cells, chat, chunking, retrieval
 from chunkwell.plans import prompt as prompts
 from chunkwell.plans.engine import ExtractiveGenerator, answer_many, safe_answer
+from chunkwell.schema import CHUNK_COLUMNS
 from chunkwell.sources import files as sources
 from chunkwell.sources.store import Store, merged, scratch_store, with_ids
 
@@ -52,7 +53,7 @@ def _path() -> Column:
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = sources.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     return docs.select(F.col("source").alias("repo_name"), _path().alias("file_path"), T.file_type(_path()).alias("file_type"), F.col("text").alias("content"))
 
 
@@ -176,7 +177,7 @@ def digest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM p LEFT JOIN t USING (doc_id, sec) WHERE content <> ''"""
 )
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = sources.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
 
     def line(x: Column, i: Column) -> Column:
         headed = F.concat(F.substring(F.lit("###"), F.lit(1), (1 + i % 3).cast("int")), F.lit(" "), x)
@@ -330,7 +331,7 @@ _SEARCH_SQL = f"""{_embed_sql('de', 'documents', 'doc_id')}, {_embed_sql('qe', '
 def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = retrieval.HashedEmbedder()
     asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0")
-    return retrieval.sparse_top_k(model.add(table(spark, sf_dir, "documents"), "text"), "doc_id", model.add(asked, "text"), "item_id", QUESTION_TOP)
+    return retrieval.sparse_top_k(model.add(sources.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "text"), "doc_id", model.add(asked, "text"), "item_id", QUESTION_TOP)
 
 
 @query(f'WITH {_SEARCH_SQL} SELECT item_id, CAST(r AS INTEGER) AS "rank", doc_id, score FROM hits')
@@ -368,7 +369,7 @@ _DENSE_SQL = f"""{_embed_sql('de', 'documents', 'doc_id').replace('% 256', '% 38
 def dense_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents nearest to questions by dense vectors that a model makes on the executors."""
     model = retrieval.ModelEmbedder(retrieval.HashedVectors)
-    docs = model.add(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "vector")
+    docs = model.add(sources.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "text").select("doc_id", "vector")
     asked = model.add(table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select("item_id", "text"), "text")
     points = asked.where("vector is not null").select(F.col("item_id").alias("query_no"), F.col("vector").alias("point"))
     found = retrieval.nearest_to_each(docs, points, QUESTION_TOP, key="doc_id", embedding="vector")
@@ -454,7 +455,7 @@ _ANSWERS_SQL = f"""{_SEARCH_SQL.replace('score DESC, doc_id', 'score DESC, doc_i
 )
 def answers_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question of a table answered in one plan: search, budget, prompt, answer and sources by question."""
-    docs = table(spark, sf_dir, "documents")
+    docs = sources.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     chunks = chunking.as_chunks(
         docs, repo_name=F.lit("documents"), file_path=F.concat(F.lit("src/"), F.col("doc_id").cast("string")), start_line=F.lit(1), end_line=1 + T.newlines(F.col("text")),
         chunk_type=F.lit("text_block"), language=F.col("lang"), name=F.lit(None).cast("string"), content=F.col("text"), seq=F.lit(0),
@@ -598,7 +599,7 @@ _JS = "const a = {n};\nfunction run{n}(x) {{\n  return x;\n}}\nclass Box{n} {{\n
 
 
 def _code(spark: SparkSession, sf_dir: str, template: str, kind: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = sources.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     text: Column = F.lit(template.replace("{{", "{").replace("}}", "}"))
     text = F.replace(text, F.lit("{n}"), F.col("doc_id").cast("string"))
     text = F.replace(text, F.lit("{t}"), F.regexp_replace(F.col("text"), r'["\\]', ""))
@@ -692,10 +693,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = with_ids(chunking.chunk_files(raw_files(spark, sf_dir)))
     model = retrieval.HashedEmbedder()
     asked = spark.createDataFrame([(0, "What do the documents say?")], "query_no long, text string")
-    records = model.add(chunks, "content")
-    best = retrieval.sparse_top_k(records, "id", model.add(asked, "text"), "query_no", 3)
-    found = [r["id"] for r in best.select("id").collect()]  # three ids at most: the chunks are made again, but only these are joined
-    hits = retrieval.first_wins(best.join(chunks.where(F.col("id").isin(*found)), "id"))
+    best = retrieval.sparse_top_k(model.add(chunks, "content"), "id", model.add(asked, "text"), "query_no", 3, carry=CHUNK_COLUMNS)
+    hits = retrieval.first_wins(best)
     answer = safe_answer(ExtractiveGenerator(), prompts.rag_prompt(hits, "What do the documents say?").collect()[0]["prompt"])
     return spark.range(1).select(F.lit("What do the documents say?").alias("query"), F.lit(answer).alias("answer"), T.citations(F.lit(answer)).alias("sources"))
 

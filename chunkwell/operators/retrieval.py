@@ -136,12 +136,13 @@ def _each(rows: list[dict], kind: str) -> Column:
 BLOCKS = 64
 
 
-def sparse_top_k(items: DataFrame, item: str, queries: DataFrame, query: str, k: int, most_queries: int = 64) -> DataFrame:
-    """Cosine top-k of sparse vectors: query, rank, item, score; vectors without a common bucket never meet.
+def sparse_top_k(items: DataFrame, item: str, queries: DataFrame, query: str, k: int, most_queries: int = 64, carry: list[str] | None = None) -> DataFrame:
+    """Cosine top-k of sparse vectors: query, rank, item, score, and the columns of items in `carry`; vectors without a common bucket never meet.
 
     The queries go to the items in blocks of about `most_queries`, a row each, of which at most BLOCKS are broadcast
     at a time; no vector is shuffled or collected, and of the scores each task sends on its k best at most.
     """
+    more = carry or []
     norm = "aggregate(embedding, 0L, (s, w) -> s + w.weight * w.weight)"
     places = "CASE WHEN size(embedding) > 0 THEN sequence(0, array_max(transform(embedding, w -> w.bucket))) ELSE CAST(array() AS array<int>) END"
     dense = let("_m", "map_from_entries(embedding)", f"transform({places}, b -> coalesce(try_element_at(_m, b), 0L))")
@@ -151,13 +152,13 @@ def sparse_top_k(items: DataFrame, item: str, queries: DataFrame, query: str, k:
     parts = []
     for start in range(0, blocks, BLOCKS):
         block = F.broadcast(dealt.where(F.col("_block").between(start, start + BLOCKS - 1)).select("_all"))  # BLOCKS rows
-        rows = items.select(item, "embedding", F.expr(norm).alias("a")).crossJoin(block).select(item, "embedding", "a", F.explode("_all").alias("_q"))
+        rows = items.select(item, "embedding", F.expr(norm).alias("a"), *more).crossJoin(block).select(item, "embedding", "a", *more, F.explode("_all").alias("_q"))
         dot = F.expr("aggregate(embedding, 0L, (s, w) -> s + w.weight * coalesce(get(_q.v, w.bucket), 0L))")
-        rows = rows.select(F.col("_q.q").alias(query), item, dot.alias("dot"), "a", F.col("_q.b").alias("b")).where("dot > 0")
-        parts.append(rows.select(query, item, (F.col("dot") / (F.sqrt(F.col("a").cast("double")) * F.sqrt(F.col("b").cast("double")))).alias("score")))
+        rows = rows.select(F.col("_q.q").alias(query), item, dot.alias("dot"), "a", F.col("_q.b").alias("b"), *more).where("dot > 0")
+        parts.append(rows.select(query, item, *more, (F.col("dot") / (F.sqrt(F.col("a").cast("double")) * F.sqrt(F.col("b").cast("double")))).alias("score")))
     order = Window.partitionBy(query).orderBy(F.col("score").desc(), F.col(item))
     ranked = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(query, "rank", item, "score")
+    return ranked.select(query, "rank", item, "score", *more)
 
 
 def squared_distance(a: Column | str, b: Column | str) -> Column:
