@@ -204,6 +204,13 @@ def test_recall_of_cells(spark, tmp_path, spread):
     assert cells.train(rows.where("false"), "vec_id") is None
 
 
+def test_recall_of_cells_on_the_vectors_of_the_tables(spark):
+    from chunkwell.catalogue import QUERIES
+
+    few, every = ({(r.query_no, r.vec_id) for r in QUERIES[n](spark, DATA).collect()} for n in ("cells_search", "cells_exact"))
+    assert len(few & every) >= 0.9 * len(every) and len(every) >= 30
+
+
 def test_files_that_do_not_parse_are_reported(spark, tmp_path):
     engine = Engine(spark, Settings(store_path=str(tmp_path / "store")))
     rows = [("e", "bad.py", "py", "def broken(:\n    pass\n"), ("e", "good.py", "py", "x = 1\n"), ("e", "nul.py", "py", "x = '\0'\n"), ("e", "blank.txt", "txt", " ")]
