@@ -167,7 +167,7 @@ def _worded(codes: np.ndarray, use: np.ndarray, ptr: np.ndarray) -> tuple[np.nda
 
 
 def _lexicon(words: Words, label: np.ndarray, count: int) -> dict[str, int]:
-    """Words of five letters or fewer, or frequent ones, that nine in ten of their texts use in one language."""
+    """Frequent words that nine in ten of their texts use in one language."""
     seen: dict[str, Counter] = {}
     for i in range(len(label)):
         for w in {words.text(k).lower().strip(".,;:!?") for k in range(words.ptr[i], words.ptr[i + 1])}:

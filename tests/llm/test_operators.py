@@ -330,6 +330,7 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.85 and all(0 <= r.score <= 1 for r in got)
     left = toxicity.drop_toxic(table, labels)
     assert left.columns == table.columns and 0.6 * len(got) < left.count() < 0.9 * len(got)
+    assert toxicity.drop_toxic(table.drop("lang"), labels).columns == table.drop("lang").columns
     odd = toxicity.toxicity(awkward(spark), labels).collect()
     assert len(odd) == 8 and all(r.score is not None for r in odd)
     assert toxicity.toxicity(table.where("false"), labels.where("false")).count() == 0
