@@ -40,7 +40,7 @@ class Embedder(Protocol):
 def hashed_counts(text: str, dimensions: int = DIMENSIONS) -> Column:
     """Counts of a text's words by hashed bucket, within the row: buckets are sorted, and their runs measured."""
     words = r"filter(split(lower(_t), r'[^\p{L}\p{N}]+'), w -> w <> '')"
-    buckets = f"array_sort(transform({words}, w -> CAST(CAST(conv(substring(md5(CAST(w AS binary)), 1, 8), 16, 10) AS bigint) % {dimensions} AS int)))"
+    buckets = f"sort_array(transform({words}, w -> CAST(CAST(conv(substring(md5(CAST(w AS binary)), 1, 8), 16, 10) AS bigint) % {dimensions} AS int)))"
     starts = "filter(sequence(1, size(_b)), i -> i = 1 OR get(_b, i - 2) <> get(_b, i - 1))"
     runs = let("_i", starts, "zip_with(_i, concat(slice(_i, 2, size(_i)), array(size(_b) + 1)), (i, j) -> named_struct('bucket', get(_b, i - 1), 'weight', CAST(j - i AS bigint)))")
     none = f"CAST(array() AS {EMBEDDING})"
