@@ -7,16 +7,17 @@ only pages of the cells it probes, by a filter that reaches the scan.  Searching
 
 from __future__ import annotations
 
-import json
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from chunkwell.operators.retrieval import _blocks, squared_distance
+from chunkwell.operators.retrieval import nearest_to_each
 
 #: Vectors the centres are fitted to at most, and cells at most: with them the size of the centres is bounded.
 SAMPLE, MOST_CELLS = 100_000, 4096
@@ -55,29 +56,24 @@ def search(rows: DataFrame, model: KMeansModel, queries: DataFrame, k: int, prob
     """The k nearest of rows (key, vector, cell) of each query (query_no, point) in the cells nearest to it: query_no, rank, key, distance; ties to the smaller key.
 
     With probes None every cell is searched.  Queries go to the rows in blocks of `most_queries`; no vector is shuffled.
+    Of the cells that are searched only the numbers, at most MOST_CELLS, reach the driver, so that the filter reaches the scan.
     """
-    centres, parts = np.array(model.clusterCenters()), []
-    probes = len(centres) if probes is None else min(probes, len(centres))
-    for block in _blocks(queries.select("query_no", "point"), "query_no", most_queries):
-        points = np.array([r["point"] for r in block], dtype=np.float64).reshape(len(block), centres.shape[1])
-        asked: dict[int, list[int]] = {}
-        for i, cells in enumerate(_nearest_cells(centres, points, probes).tolist()):
-            for cell in cells:
-                asked.setdefault(cell, []).append(i)
-        parts.append(_block(rows, key, vector, [r["query_no"] for r in block], points, asked))
-    order = Window.partitionBy("query_no").orderBy("distance", key)
-    ranked = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_no", "rank", key, "distance")
-
-
-def _literal(value: object, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value)), kind)
-
-
-def _block(rows: DataFrame, key: str, vector: str, names: list[int], points: np.ndarray, asked: dict[int, list[int]]) -> DataFrame:
-    by_cell = _literal({str(c): q for c, q in asked.items()}, "map<string, array<int>>")
-    here = rows.where(F.col("cell").isin(*sorted(asked)) & F.col(vector).isNotNull())
-    pairs = here.select(key, vector, F.explode(F.try_element_at(by_cell, F.col("cell").cast("string"))).alias("_i"))
-    query = _literal([{"q": q, "p": p} for q, p in zip(names, points.tolist(), strict=True)], "array<struct<q: bigint, p: array<double>>>")
-    met = pairs.select(key, vector, F.get(query, F.col("_i")).alias("_q"))
-    return met.select(F.col("_q.q").alias("query_no"), key, squared_distance(vector, "_q.p").alias("distance"))
+    asked, there = queries.select("query_no", "point"), rows.select(key, vector)
+    if probes is not None and probes < model.getK():
+        asked = _probing(asked, np.array(model.clusterCenters()), probes)
+        wanted = sorted(r["cell"] for r in asked.select(F.explode("cells").alias("cell")).distinct().collect())
+        there = rows.select(key, vector, "cell").where(F.col("cell").isin(*wanted))
+    return nearest_to_each(there, asked, k, most_queries, key, vector).select("query_no", "rank", key, "distance")
+
+
+def _probing(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """Queries with the numbers of the cells nearest to each."""
+    schema = StructType([*queries.schema, StructField("cells", ArrayType(IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = np.array(batch.column("point").to_pylist(), dtype=np.float64).reshape(batch.num_rows, centres.shape[1])
+            cells = pa.array(_nearest_cells(centres, points, probes).tolist(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "cells"])
+
+    return queries.mapInArrow(run, schema)
