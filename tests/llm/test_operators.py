@@ -806,3 +806,27 @@ def test_samples_are_bounded(spark):
     assert 700 < hash_sample(rows, 20_000, 1000, "id").count() <= 1000
     assert hash_sample(rows, 20_000, 1000, "hot").count() in (0, 1000)  # one key has all rows
     assert hash_sample(rows.limit(10), 10, 1000, "id").count() == 10
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Words that mark few rows each are all learned, whatever the size of a shard; a sample of the rows missed most of them."""
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 60, raising=False)
+    monkeypatch.setattr(toxicity, "SHARD", 150, raising=False)
+    rng = random.Random(4)
+    rows, marks = [], []
+    for i in range(1200):
+        words = [f"plain{rng.randrange(40)}" for _ in range(8)]
+        if i % 3 == 0:
+            words[3] = f"{'abcdefghij'[i // 3 % 10] * 2}{'klmnopqrst'[i // 30 % 10] * 2}bad"
+        rows.append((i, " ".join(words), "en"))
+        marks.append((i, 1, int(i % 3 == 0)))
+    table = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = toxicity.toxicity(table, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
+    learned = [(r.score, r.doc_id % 3 == 0) for r in got if not r.held_out]
+    low, high = max(s for s, y in learned if not y), sorted(s for s, y in learned if y)
+    assert sum(s > low for s in high) >= 0.9 * len(high)
+
+
+def test_toxicity_orders_hold_each_row():
+    label = (np.arange(9000) % 30 == 0).astype(float)
+    assert set(np.concatenate(toxicity._order(label, 1)).tolist()) == set(range(9000))
