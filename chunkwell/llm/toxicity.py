@@ -4,9 +4,9 @@ A word's embedding is the sum of hashed vectors of the word and of its beginning
 that is too long for a word is seen at each of its characters, eight at a time.  Filters of
 several widths run over the words of the whole text; each filter's maximum over the text feeds a
 logistic output.  It is trained from every labelled row that is not held out: the rows are dealt to shards
-of about SHARD rows, each shard's task goes on with the common model in numpy, and after each of ROUNDS
-rounds the shards' models are averaged, a word's embedding over the shards that saw it; one shard needs
-one round.  A label that is rare has copies of its rows in several shards, about RARE in each.  Of
+of about SHARD rows, whose words are looked up and written once; each shard's task goes on with the common
+model in numpy, and after each of ROUNDS rounds the shards' models are averaged, a word's embedding over the
+shards that saw it; one shard takes the same path.  A label that is rare has copies of its rows in several shards, about RARE in each.  Of
 TUNED_FROM rows or more a fifth only fits the score's scale and, by language, the threshold for
 rejection, by counts of all of them at BINS places for each unit of the raw score.  The language chooses a threshold; it is no input of the
 score.  A language's threshold is THRESHOLD unless FEWEST rows of each label tune it, and lies
@@ -24,17 +24,21 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from chunkwell.llm._features import WordFeatures, bucket, spread_words, word_slices
-from chunkwell.llm._shared import Words, bound_batches, discard, free_names, held_out, materialise, release_memory, slices, split_words
+from chunkwell.llm._shared import Words, bound_batches, discard, free_names, held_out, materialise, release_memory, sieved, slices, split_words
 
 SHARD, ROUNDS, RARE, BINS = 16_000, 4, 64, 256
+#: Bytes of text from which shards have fewer rows, and that are packed at once.
+SHARD_BYTES, PIECE = 64 << 20, 4 << 20
 #: States of shards that a task adds up.
 ADDED = 16
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
@@ -230,39 +234,68 @@ def _restored(state: State) -> tuple[Model, dict]:
     return model, {"embed": state["embed_sum"], "out": state["out_sum"], "bias": state["bias"][1], "filters": [state[f"slow{k}"] for k in widths]}
 
 
-def _learned(state: State, total: int, part: int, parts: int) -> Callable[[pa.Table], pa.Table]:
-    """Rows (doc_id, text, toxic, shard) of a shard to one, the state after some steps; embeddings of words it did not see are 0 and `seen` marks the others."""
-
-    def fit(rows: pa.Table) -> pa.Table:
-        shard, parts_ = rows.column("shard")[0].as_py(), parts
-        rows = rows.filter(pa.array(~_tunes(rows.column("doc_id").to_numpy(), total))).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        label = rows.column("toxic").to_numpy().astype(np.float64)
-        if len(set(label.tolist())) < 2:
-            return pa.table({"n": pa.array([], pa.int64()), "value": pa.array([], pa.binary())})
-        known, codes, ptr = features(), [], [0]
-        for whole in rows.select(["text"]).combine_chunks().to_batches():
-            for batch in slices(whole, "text"):
-                words = spread_words(split_words(batch.column("text"), fold=False))
-                codes.append(known.keep(words))
-                ptr.extend(ptr[-1] + words.ptr[1:])
-        model, sums = _restored(state)
-        _fit(model, np.concatenate(codes), known.rows, np.array(ptr), label, 11 + shard, sums, part, parts_)
-        out = _state(model, sums)
-        seen = (out["embed_sum"] != state["embed_sum"]).astype(np.float32)
-        out |= {"embed": out["embed"] * seen[:, None], "embed_sum": out["embed_sum"] * seen, "seen": seen, "shards": np.ones(1)}
-        release_memory()
-        return pa.table({"n": pa.array([shard // ADDED], pa.int64()), "value": pa.array([pickle.dumps(out)], pa.binary())})
-
-    return fit
+def _packed(total: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc_id, text, lang, toxic, copy, shard) of a shard to one for each PIECE bytes of text, their words as numbers: all that training and tuning need of them."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = features()
+        for batch in (b for whole in batches for b in slices(whole, "text", PIECE)):
+            words = spread_words(split_words(batch.column("text"), fold=False))
+            codes, rows = known.of(words)
+            ids = batch.column("doc_id").to_numpy()
+            piece = {
+                "codes": codes.astype(np.int32), "rows": rows, "ptr": words.ptr, "id": ids, "label": batch.column("toxic").to_numpy().astype(np.float64),
+                "tunes": _tunes(ids, total), "first": batch.column("copy").to_numpy() == 0, "lang": batch.column("lang").to_pylist(),
+            }
+            del words, codes, rows
+            yield pa.RecordBatch.from_arrays([batch.column("shard").slice(0, 1), pa.array([pickle.dumps(piece)], pa.binary())], names=["shard", "value"])
+
+    return pack
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
+    return ((n, pickle.loads(v.as_buffer())) for b in batches for n, v in zip(b.column("shard").to_pylist(), b.column("value"), strict=True))
+
+
+def _joined(pieces: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, rows of words, first words and labels of the texts to learn from, in an order that does not depend on how they came."""
+    texts = [(i, part.sum(), k, t) for k, p in enumerate(pieces) for t, i in enumerate(p["id"].tolist()) if not p["tunes"][t] for part in [p["rows"][p["codes"][p["ptr"][t] : p["ptr"][t + 1]]]]]
+    texts.sort(key=lambda x: x[:2])
+    base = np.cumsum([0] + [len(p["rows"]) for p in pieces])
+    parts = [(pieces[k]["codes"][pieces[k]["ptr"][t] : pieces[k]["ptr"][t + 1]] + np.int32(base[k])) for *_, k, t in texts]
+    ptr = np.cumsum([0, *map(len, parts)])
+    return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([p["rows"] for p in pieces]), ptr, np.array([pieces[k]["label"][t] for *_, k, t in texts])
+
+
+def _learned(given: Broadcast[State], part: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed shards to their states after some steps; embeddings of words a shard did not see are 0 and `seen` marks the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, pieces in groupby(_unpacked(batches), key=lambda x: x[0]):
+            codes, rows, ptr, label = _joined([p for _, p in pieces])
+            if len(set(label.tolist())) < 2:
+                continue
+            state = given.value
+            model, sums = _restored(state)
+            _fit(model, codes, rows, ptr, label, 11 + n, sums, part, parts)
+            out = _state(model, sums)
+            seen = (out["embed_sum"] != state["embed_sum"]).astype(np.float32)
+            out |= {"embed": np.where(seen[:, None] > 0, out["embed"], np.float32(0)), "embed_sum": out["embed_sum"] * seen, "seen": seen, "shards": np.ones(1)}
+            yield pa.RecordBatch.from_arrays([pa.array([n // ADDED], pa.int64()), pa.array([n], pa.int64()), pa.array([pickle.dumps(out)], pa.binary())], names=["n", "shard", "value"])
+            del codes, rows, out
+            release_memory()
+
+    return run
 
 
 def _added(parts: pa.Table) -> pa.Table:
-    """The sum of at most ADDED states."""
+    """The sum of at most ADDED states, in the order of their shards."""
     out: State = {}
-    for value in parts.column("value"):
-        for name, array in pickle.loads(value.as_py()).items():
+    for value in parts.sort_by("shard").column("value"):
+        for name, array in pickle.loads(value.as_buffer()).items():
             out[name] = out[name] + array if name in out else array
-    return pa.table({"n": pa.array([parts.column("n")[0].as_py() // ADDED], pa.int64()), "value": pa.array([pickle.dumps(out)], pa.binary())})
+    n = parts.column("n")[0].as_py()
+    return pa.table({"n": pa.array([n // ADDED], pa.int64()), "shard": pa.array([n], pa.int64()), "value": pa.array([pickle.dumps(out)], pa.binary())})
 
 
 def _averaged(before: State, total: State) -> State:
@@ -272,38 +305,54 @@ def _averaged(before: State, total: State) -> State:
     return out | {"embed": np.where(seen[:, None], total["embed"] / times[:, None], before["embed"]), "embed_sum": np.where(seen, total["embed_sum"] / times, before["embed_sum"])}
 
 
-def _rounds(rows: DataFrame, share: dict[int, int], total: int) -> State | None:
-    """The state after all rounds over rows (doc_id, text, toxic); None where no shard has both labels to learn from."""
-    shards = max(1, -(-total // SHARD))
-    copies = F.when(F.col("toxic") == 1, F.lit(min(shards, -(-shards * RARE // share[1])))).otherwise(F.lit(min(shards, -(-shards * RARE // max(1, share.get(0, 0))))))
-    dealt = rows.select("doc_id", "text", "toxic", F.explode(F.sequence(F.lit(0), copies - 1)).alias("_copy"))
-    dealt = dealt.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", "text") + F.col("_copy"), F.lit(shards)).cast("int").alias("shard"))
+def _dealt(rows: DataFrame, there: dict[int, int], size: int) -> tuple[DataFrame, int]:
+    """Rows (doc_id, text, lang, toxic), of which so many have each label and whose texts have so many bytes, packed into shards (shard, value); the number of shards."""
+    total = sum(there.values())
+    shards = max(1, -(-total // SHARD), -(-size // SHARD_BYTES))
+    copies = F.when(F.col("toxic") == 1, F.lit(min(shards, -(-shards * RARE // max(1, there.get(1, 0)))))).otherwise(F.lit(min(shards, -(-shards * RARE // max(1, there.get(0, 0))))))
+    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text") + F.col("copy"), F.lit(shards)))
+    packed = dealt.groupBy("shard").applyInArrow(_packed(total), "shard long, value binary")
+    return materialise(packed, "toxicity-shards", "shard", compression="zstd", **{"parquet.block.size": 1 << 30}), shards  # one file and block for each, so that a task reads all of it
+
+
+def _rounds(packed: DataFrame, shards: int) -> State | None:
+    """The state after all rounds over packed shards; None where no shard has both labels to learn from.  Only states are shuffled."""
     model = Model()
-    state, parts = _state(model, _sums(model)), ROUNDS if shards > 1 else 1
-    for part in range(parts):
-        found, left = dealt.groupBy("shard").applyInArrow(_learned(state, total, part, parts), "n long, value binary"), shards
-        while left > 1:
-            found, left = found.groupBy("n").applyInArrow(_added, "n long, value binary"), -(-left // ADDED)
-        got = found.collect()  # one state
+    state, context = _state(model, _sums(model)), packed.sparkSession.sparkContext
+    for part in range(ROUNDS):
+        given, left = context.broadcast(state), shards
+        found = packed.mapInArrow(_learned(given, part, ROUNDS), "n long, shard long, value binary")
+        while True:
+            found, left = found.groupBy("n").applyInArrow(_added, "n long, shard long, value binary"), -(-left // ADDED)
+            if left == 1:
+                break
+        got = found.select("value").collect()  # one state
+        given.destroy()
         if not got:
             return None
         state = _averaged(state, pickle.loads(got[0]["value"]))
     return state
 
 
-def _tuned(model: Model, rows: DataFrame, share: dict[int, int], total: int) -> None:
+def _tuned(model: Model, packed: DataFrame, share: dict[int, int], total: int) -> None:
     """Fit the scale and thresholds to counts of the tuning rows, of which at most some thousands for each language reach the driver."""
-    given = rows.sparkSession.sparkContext.broadcast(model)
+    given = packed.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = given.value, features()
-        mine = (b.filter(pa.array(_tunes(b.column("doc_id").to_numpy(), total) | (total < TUNED_FROM))) for b in batches)
-        for batch, words in word_slices((b for b in mine if b.num_rows), spread=True):
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("toxic"), pa.array(model.raw(words, known), pa.float64())], names=["lang", "toxic", "raw"])
-
-    raws = rows.select("doc_id", "text", "lang", "toxic").mapInArrow(run, "lang string, toxic int, raw double")
+        for _, held in _unpacked(batches):
+            use = np.flatnonzero(held["first"] & (held["tunes"] | (total < TUNED_FROM)))
+            parts = [held["codes"][held["ptr"][t] : held["ptr"][t + 1]] for t in use]
+            own, local = np.unique(np.concatenate([np.zeros(0, np.int32), *parts]), return_inverse=True)
+            best, *_ = given.value.pooled(local, held["rows"][own], np.cumsum([0, *map(len, parts)]))
+            lang, raw = pa.array([held["lang"][t] for t in use], pa.string()), best @ given.value.out + given.value.bias
+            yield pa.RecordBatch.from_arrays([lang, pa.array(held["label"][use].astype(np.int32)), pa.array(raw, pa.float64())], names=["lang", "toxic", "raw"])
+            release_memory()
+
+    raws = packed.mapInArrow(run, "lang string, toxic int, raw double")
     bins = raws.groupBy("lang", "toxic", F.floor(F.col("raw") * BINS).alias("bin")).agg(F.count("*").alias("n"), F.avg("raw").alias("raw"))
     found = sorted(bins.collect(), key=lambda r: (r["lang"] or "", r["toxic"], r["bin"]))
+    given.destroy()
     if not found:
         return
     raw, y, n = (np.array([r[c] for r in found], dtype=np.float64) for c in ("raw", "toxic", "n"))
@@ -323,17 +372,24 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     constant.constant = positive / known if known else 0.0
     if not positive or positive == known:
         return constant
-    lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string").alias("lang")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang).where(~held_out("doc_id"))
     bound_batches(documents.sparkSession)
-    rows = materialise(rows.join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "lang", "toxic"), "toxicity-labelled")
-    state = _rounds(rows, share, rows.count())
+    lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string").alias("lang")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang, F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    rows = sieved(rows.where(~held_out("doc_id")), "doc_id", marks.select("_id"))  # so that of texts without a label few are shuffled
+    rows = rows.join(marks.hint("merge"), F.col("doc_id") == F.col("_id"))
+    counts = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()
+    there = {r["toxic"]: r["n"] for r in counts}
+    if len(there) < 2:
+        return constant
+    packed, shards = _dealt(rows.select("doc_id", "text", "lang", "toxic"), there, sum(r["bytes"] for r in counts))
+    state = _rounds(packed, shards)
     if state is None:
-        discard(rows)
+        discard(packed)
         return constant
     model, _ = _restored(state)
-    _tuned(model, rows, share, rows.count())
-    discard(rows)
+    _tuned(model, packed, share, sum(there.values()))
+    discard(packed)
+    release_memory()
     return model
 
 

@@ -830,3 +830,29 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
 def test_toxicity_orders_hold_each_row():
     label = (np.arange(9000) % 30 == 0).astype(float)
     assert set(np.concatenate(toxicity._order(label, 1)).tolist()) == set(range(9000))
+
+
+def _shuffled(spark):
+    """Bytes that stages have written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_toxicity_shuffles_texts_once_whatever_the_rounds(spark, monkeypatch):
+    """Later rounds move states only; before, each round shuffled all texts again."""
+    monkeypatch.setattr(toxicity, "SHARD", 100)
+    monkeypatch.setattr(toxicity, "STEPS", 40)
+    rng, moved = random.Random(8), []
+    words = ["".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(60)]
+    table = docs(spark, [(i, " ".join(rng.choice(words) for _ in range(1500)) + " vile" * (i % 3 == 0), "en") for i in range(300)]).repartition(2).cache()
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    table.count()
+    for rounds in (2, 6):
+        monkeypatch.setattr(toxicity, "ROUNDS", rounds)
+        before = _shuffled(spark)
+        model = toxicity.train(table, labels)
+        moved.append(sum(n for k, n in _shuffled(spark).items() if k not in before))
+        assert model.constant is None
+    assert moved[0] > 500_000 and moved[1] - moved[0] < 0.5 * moved[0], moved
