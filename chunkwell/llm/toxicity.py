@@ -248,23 +248,40 @@ def _packed(total: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 "tunes": _tunes(ids, total), "first": batch.column("copy").to_numpy() == 0, "lang": batch.column("lang").to_pylist(),
             }
             del words, codes, rows
-            yield pa.RecordBatch.from_arrays([batch.column("shard").slice(0, 1), pa.array([pickle.dumps(piece)], pa.binary())], names=["shard", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("shard").slice(0, 1), pa.array([_pressed(piece)], pa.binary())], names=["shard", "value"])
+            del piece
 
     return pack
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
-    return ((n, pickle.loads(v.as_buffer())) for b in batches for n, v in zip(b.column("shard").to_pylist(), b.column("value"), strict=True))
+def _pressed(piece: dict) -> bytes:
+    """A piece as few bytes, since the JVM holds all of a shard's at once."""
+    out = pa.BufferOutputStream()
+    with pa.CompressedOutputStream(out, "zstd") as stream:
+        pickle.dump(piece, stream, protocol=5)
+    return out.getvalue().to_pybytes()
 
 
-def _joined(pieces: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, rows of words, first words and labels of the texts to learn from, in an order that does not depend on how they came."""
-    texts = [(i, part.sum(), k, t) for k, p in enumerate(pieces) for t, i in enumerate(p["id"].tolist()) if not p["tunes"][t] for part in [p["rows"][p["codes"][p["ptr"][t] : p["ptr"][t + 1]]]]]
-    texts.sort(key=lambda x: x[:2])
-    base = np.cumsum([0] + [len(p["rows"]) for p in pieces])
-    parts = [(pieces[k]["codes"][pieces[k]["ptr"][t] : pieces[k]["ptr"][t + 1]] + np.int32(base[k])) for *_, k, t in texts]
-    ptr = np.cumsum([0, *map(len, parts)])
-    return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([p["rows"] for p in pieces]), ptr, np.array([pieces[k]["label"][t] for *_, k, t in texts])
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
+    for batch in batches:
+        for n, value in zip(batch.column("shard").to_pylist(), batch.column("value"), strict=True):
+            with pa.CompressedInputStream(pa.BufferReader(value.as_buffer()), "zstd") as stream:
+                yield n, pickle.load(stream)
+
+
+def _joined(pieces: Iterator[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, rows of words, first words and labels of the texts to learn from, in an order that does not depend on how they came; of each piece only these are kept."""
+    keys, parts, rows, base = [], [], [], 0
+    for piece in pieces:
+        for t in np.flatnonzero(~piece["tunes"]):
+            codes = piece["codes"][piece["ptr"][t] : piece["ptr"][t + 1]]
+            keys.append((piece["id"][t], piece["rows"][codes].sum(), piece["label"][t]))
+            parts.append(codes + np.int32(base))
+        rows.append(piece["rows"])
+        base += len(piece["rows"])
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    codes = np.concatenate([np.zeros(0, np.int32), *(parts[k] for k in order)])
+    return codes, np.concatenate(rows), np.cumsum([0, *(len(parts[k]) for k in order)]), np.array([keys[k][2] for k in order])
 
 
 def _learned(given: Broadcast[State], part: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -272,9 +289,10 @@ def _learned(given: Broadcast[State], part: int, parts: int) -> Callable[[Iterat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, pieces in groupby(_unpacked(batches), key=lambda x: x[0]):
-            codes, rows, ptr, label = _joined([p for _, p in pieces])
+            codes, rows, ptr, label = _joined(p for _, p in pieces)
             if len(set(label.tolist())) < 2:
                 continue
+            release_memory()
             state = given.value
             model, sums = _restored(state)
             _fit(model, codes, rows, ptr, label, 11 + n, sums, part, parts)
@@ -313,7 +331,7 @@ def _dealt(rows: DataFrame, there: dict[int, int], size: int) -> tuple[DataFrame
     dealt = rows.select("*", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text") + F.col("copy"), F.lit(shards)))
     packed = dealt.groupBy("shard").applyInArrow(_packed(total), "shard long, value binary")
-    return materialise(packed, "toxicity-shards", "shard", compression="zstd", **{"parquet.block.size": 1 << 30}), shards  # one file and block for each, so that a task reads all of it
+    return materialise(packed, "toxicity-shards", "shard", compression="none", **{"parquet.block.size": 1 << 30}), shards  # one file and block for each, so that a task reads all of it
 
 
 def _rounds(packed: DataFrame, shards: int) -> State | None:
@@ -375,9 +393,9 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     bound_batches(documents.sparkSession)
     lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string").alias("lang")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang, F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
-    rows = sieved(rows.where(~held_out("doc_id")), "doc_id", marks.select("_id"))  # so that of texts without a label few are shuffled
-    rows = rows.join(marks.hint("merge"), F.col("doc_id") == F.col("_id"))
-    counts = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()
+    rows, labelled = rows.where(~held_out("doc_id")), F.col("doc_id") == F.col("_id")
+    counts = rows.join(marks.hint("merge"), labelled).groupBy("toxic").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()
+    rows = sieved(rows, "doc_id", marks.select("_id")).join(marks.hint("merge"), labelled)  # so that of texts without a label few are shuffled
     there = {r["toxic"]: r["n"] for r in counts}
     if len(there) < 2:
         return constant
