@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of bytes outside these ASCII blanks.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
-BLOCK = 1 << 20
+#: Bytes that are hashed at once; each worker holds two tables of as many 64-bit numbers.
+BLOCK = 1 << 17
 ARROW_BYTES = 8 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)

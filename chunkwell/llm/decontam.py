@@ -40,6 +40,8 @@ WORDS, SIMILARITY = 5, 0.75
 BITS, RADIUS, BLOCKS = 64, 28, 8
 ITEM_BLOCK = 20_000
 PAIRS = 1 << 20
+#: Bytes of text that a task cuts into words at once.
+SLICE = 1 << 20
 _SIEVE = 1 << 22
 
 
@@ -185,13 +187,13 @@ def find_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, similarity double, first_word long"
-    found = [rows.sparkSession.createDataFrame([], schema)]
+    found = [rows.where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("first_word"))]  # an empty table of Python's starts workers of its own
     for index in item_blocks(benchmark):
         given = rows.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for whole in batches:
-                for batch in slices(whole, "text"):
+                for batch in slices(whole, "text", SLICE):
                     words = split_words(pc.utf8_lower(batch.column("text")))
                     hits = list(given.value.matches(words.hash, words.ptr))
                     ids = batch.column("doc_id").take(pa.array([h[0] for h in hits], pa.int64()))

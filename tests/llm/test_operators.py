@@ -131,6 +131,27 @@ def test_passages(spark):
     assert decontam.find_passages(docs(spark, rows), bench.where("false")).count() == 0
 
 
+def test_decontamination_starts_no_workers_but_its_own(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    rows = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("one two three four five six seven").alias("text"))
+    found = decontam.find_passages(rows, bench)
+    plan = found._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "LogicalRDD" not in plan  # a table of Python's has a pool of workers for itself
+    assert found.count() == 3 and found.columns == ["doc_id", "item_id", "similarity", "first_word"]
+
+
+def test_hashes_do_not_depend_on_blocks():
+    from chunkwell.llm import _shared
+
+    rng = random.Random(31)
+    texts = [prose(rng, 60_000), "", "x" * (3 * _shared.BLOCK + 5), prose(rng, 5)]
+    got = _shared.split_words(pa.array(texts, pa.string()))
+    alone = {w: int(_shared.split_words(pa.array([w], pa.string())).hash[0]) for w in set(" ".join(texts).split()) if len(w) < 100}
+    assert [alone[w] for w in texts[0].split()] == got.hash[: got.ptr[1]].tolist() and [alone[w] for w in texts[3].split()] == got.hash[got.ptr[3] :].tolist()
+    assert len(texts[0]) > 2 * _shared.BLOCK and got.ptr[3] - got.ptr[2] == 1
+    assert _shared._POWERS.nbytes + _shared._INVERSES.nbytes <= 4 << 20  # every worker holds them
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(2)
     family = decontam.Family(9, [(k, rng.integers(1, 2**63, 5).astype(np.uint64)) for k in range(30)])
