@@ -269,18 +269,22 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
-def _apart(shared: DataFrame, labels: DataFrame, signs: DataFrame, nearest: bool) -> DataFrame:
+def _split(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of shared keys with their labels, and the largest component of every key whose nodes are not yet in one, written."""
+    named = shared.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = materialise(named.select("key", "node", "n", "label"), "labelled")
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
+    apart = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    return named, materialise(apart.select("key", F.col("top.size").alias("top_size"), F.col("top.label").alias("top_label")), "apart")
+
+
+def _apart(named: DataFrame, apart: DataFrame, signs: DataFrame, nearest: bool) -> DataFrame:
     """Alike pairs across components under keys whose nodes are not yet in one component, written.
 
     The nodes of a key are cut into blocks of about CELL.  Those of the component that has most of
     them stand in blocks of their own, which are compared with the other blocks only, so beside one
     large component a few other nodes cost a pass over it and not its square.
     """
-    named = shared.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = materialise(named, "labelled")
-    sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
-    apart = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    apart = materialise(apart.select("key", F.col("top.size").alias("top_size"), F.col("top.label").alias("top_label")), "apart")
     members = spread_join(named, apart, "key", F.xxhash64("node")).where("top_size is not null").join(signs, "node")
     cells = lambda size: F.ceil(size / CELL).cast("int")
     small, top = F.col("n") <= CELL, F.col("label") == F.col("top_label")
@@ -293,9 +297,7 @@ def _apart(shared: DataFrame, labels: DataFrame, signs: DataFrame, nearest: bool
         "key", F.least("block", "other").alias("cell_a"), F.greatest("block", "other").alias("cell_b"), "block", "node", "label", "signature"
     )
     dealt = members.repartition("key", "cell_a", "cell_b").sortWithinPartitions("key", "cell_a", "cell_b")
-    found = materialise(dealt.mapInArrow(_within(nearest), "a long, b long").distinct(), "pairs")
-    discard(named, apart)
-    return found
+    return materialise(dealt.mapInArrow(_within(nearest), "a long, b long").distinct(), "pairs")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -313,15 +315,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     shared = materialise(keys.join(buckets, "key").select("key", "node", "hub", "n"), "shared")
     met = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("times"))
     best = met.groupBy("node").agg(F.max_by("hub", F.struct(F.col("times"), -F.col("hub"))).alias("hub"))
-    pairs = best.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    pairs = spread_join(pairs.join(signs.toDF("b", "sign_b"), "b"), signs.toDF("a", "sign_a"), "a", F.xxhash64("b"))  # a hub has very many pairs
+    best = materialise(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), "best")
+    pairs = spread_join(best.join(signs.toDF("b", "sign_b"), "b"), signs.toDF("a", "sign_a"), "a", F.xxhash64("b"))  # a hub has very many pairs
     pairs = materialise(pairs.mapInArrow(_close, "a long, b long").distinct(), "pairs")
     links = confirm(docs, pairs)
     labels = connected_components(links)
 
-    tested, written = pairs, [pairs, links]
+    tested, written, split = pairs, [best, pairs, links], ()
     for nearest in (True, True, False):
-        every = _apart(shared, labels, signs, nearest)
+        if split and nearest:
+            continue  # the labels are those of the last pass, and so are the nearest nodes
+        split = split or _split(shared, labels)
+        every = _apart(*split, signs, nearest)
         found = materialise(every.join(tested, ["a", "b"], "left_anti"), "pairs")
         discard(every)
         written.append(found)
@@ -333,7 +338,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         if not is_empty(again):
             links, before = links.union(again), labels
             labels = connected_components(links)
-            discard(before)
+            discard(before, *split)
+            split = ()
+    discard(*split)
     discard(buckets, shared, *written)
 
     named = nodes.select("set_id", "node").join(labels.select("node", "label"), "node", "left").select("set_id", F.coalesce("label", "node").alias("component"))

@@ -233,3 +233,50 @@ def test_components_of_stars_paths_and_rings(spark):
     expected = dict.fromkeys(range(3000), 0) | dict.fromkeys(range(5000, 5701), 5000) | dict.fromkeys(range(7000, 7060), 7000) | {9001: 9001, 9002: 9002, 9003: 9002}
     assert got == expected
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_take_rounds_only_where_chunks_disagree(spark, monkeypatch):
+    from chunkwell.llm import components
+
+    names, write = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: names.append(name) or write(df, name))
+    links = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1300)] + [(2000, 2000), (2**60 + 1, 2**60)]
+    expected = dict.fromkeys(range(301), 0) | dict.fromkeys(range(1000, 1300), 1000) | {2000: 2000, 2**60: 2**60, 2**60 + 1: 2**60}
+    for together in ("true", "false"):  # one chunk, or one for each of four partitions
+        names.clear()
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", together)
+        try:
+            got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == expected
+        assert names[:2] == ["stars", "labels"]
+        assert (len(names) == 2) == (together == "true")
+
+
+def test_least_reachable_equals_a_search():
+    import numpy as np
+
+    from chunkwell.llm.components import least_reachable
+
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 60, 400):
+        a, b = rng.integers(0, n, n // 2 + 1), rng.integers(0, n, n // 2 + 1)
+        label = {int(x): int(x) for x in (*a, *b)}
+        for _ in range(len(label)):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                label[x] = label[y] = min(label[x], label[y])
+        nodes, least = least_reachable(a, b)
+        assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == label
+
+
+def test_near_duplicates_do_not_repeat_a_pass_over_the_same_components(spark, monkeypatch):
+    from chunkwell.llm import minhash
+
+    names, write = [], minhash.materialise
+    monkeypatch.setattr(minhash, "materialise", lambda df, name: names.append(name) or write(df, name))
+    word = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(word)), (2, " ".join([*word[:59], "x"])), (3, " ".join([*word[:58], "y", "z"])), (4, "quite other words stand in this one")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert names.count("labelled") == names.count("apart") == 1
