@@ -245,6 +245,13 @@ def test_many_questions_are_answered_as_one_by_one(spark, tmp_path):
                 assert found[q][2] == "not_found" and found[q][1] == []
 
 
+def test_sparse_top_k_computes_each_product_once(spark):
+    rows = spark.createDataFrame([(k, f"word{k % 3} and more") for k in range(9)], "i long, text string")
+    made = retrieval.HashedEmbedder().add(rows.repartition(2), "text")
+    plan = retrieval.sparse_top_k(made, "i", made.withColumnRenamed("i", "q"), "q", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(".weight * coalesce(") == 1
+
+
 def test_sparse_top_k_equals_brute_force(spark):
     import random
 
